@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,15 +32,10 @@ def read_feature_sets(spark: SparkSession, path: str) -> DataFrame:
     which ``targets`` is not a set. Items are names or objects with a ``name``.
     """
     doc = _whole_json(spark, path)
-    as_list = F.from_json("doc", "array<string>", {"mode": "PERMISSIVE"})
-    as_map = F.from_json("doc", "map<string,string>", {"mode": "PERMISSIVE"})
     is_list = F.substring(F.ltrim("doc"), 1, 1) == "["
     sets = doc.select(
-        F.when(is_list, F.create_map(F.lit("features"), as_list.cast("string")))
-        .otherwise(F.lit(None))
-        .alias("unused"),
         F.when(is_list, F.col("doc")).alias("listed"),
-        F.when(~is_list, as_map).alias("m"),
+        F.when(~is_list, F.from_json("doc", "map<string,string>")).alias("m"),
     )
     one = F.lit("features")
     nested = F.from_json(F.col("m")["feature_sets"], "map<string,string>")
@@ -95,10 +88,6 @@ def read_weights(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def feature_catalogue_json(sets: dict[str, list[str]], targets: list[str]) -> str:
-    return json.dumps({"feature_sets": sets, "targets": targets}, indent=2)
-
-
 def read_prices(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Daily price history; fails early when a needed column is absent."""
     reader = spark.read.option("header", True) if fmt == "csv" else spark.read
