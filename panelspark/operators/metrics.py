@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelspark.functions import expr
 from panelspark.functions.correlation import spearman
 from panelspark.functions.ranking import exact_median
+from panelspark.session import bounded
 
 # Tolerances of the degenerate and Sharpe checks.
 CONSTANT_TOLERANCE = 1e-12
@@ -28,7 +29,7 @@ def era_sanity(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     middle = exact_median(rows, groups, value, "_median")
     away = (
         rows.select(*groups, value)
-        .join(middle, groups)
+        .join(bounded(middle), groups)
         .withColumn("_away", F.abs(F.col(value) - F.col("_median")))
     )
     mad = exact_median(away, groups, "_away", "mad")

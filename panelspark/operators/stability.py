@@ -218,24 +218,23 @@ def select_ratios(
     valid = {n: F.col(a).isNotNull() & F.col(b).isNotNull() for n, (a, b) in names.items()}
     counts = df.agg(
         F.count(F.lit(1)).alias("n"),
-        F.count(target).alias("n_target"),
         *[F.count_if(ok).alias(f"v{i}") for i, ok in enumerate(valid.values())],
     ).first()
     n = counts["n"]
     kept = [p for i, p in enumerate(names) if n and counts[f"v{i}"] / n >= RATIO_VALID_SHARE]
     if not kept:
         return df.sparkSession.createDataFrame([], empty)
-    whole = counts["n_target"] == n and all(
-        counts[f"v{i}"] == n for i, p in enumerate(names) if p in kept
-    )
+    whole = all(counts[f"v{i}"] == n for i, p in enumerate(names) if p in kept)
     made = df.select(
-        F.col(target).alias("_y"), *[ratio_of(*names[p]).alias(p) for p in kept]
+        F.lit("all").alias("_all"),
+        F.col(target).alias("_y"),
+        *[ratio_of(*names[p]).alias(p) for p in kept],
     )
-    if whole:
-        constant = made.withColumn("_all", F.coalesce(F.lit("all"), F.col("_y").cast("string")))
-        corrs = spearman_features(constant, ["_all"], kept, "_y")
+    if whole:  # the target's ranks are the same for every ratio
+        corrs = spearman_features(made, ["_all"], kept, "_y")
     else:
-        corrs = spearman(to_long(made, ["_y"], kept), ["feature"], "value", "_y", omit=True)
+        cells = to_long(made, ["_y"], kept).where(F.col("value").isNotNull())
+        corrs = spearman(cells, ["feature"], "value", "_y")
     numerators = F.create_map(*[F.lit(v) for p in kept for v in (p, names[p][0])])
     denominators = F.create_map(*[F.lit(v) for p in kept for v in (p, names[p][1])])
     return (
