@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from panelspark.plans import (  # noqa: F401  (importing registers)
+    metric_queries,
     regime_queries,
     source_queries,
+    stability_queries,
     target_queries,
 )
 from panelspark.plans.registry import ORACLES, QUERIES
