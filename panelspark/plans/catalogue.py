@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from panelspark.plans import (  # noqa: F401  (importing registers)
+    discovery_queries,
+    feature_queries,
     metric_queries,
+    model_queries,
     regime_queries,
     source_queries,
+    split_queries,
     stability_queries,
     target_queries,
 )
