@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.ranking import counted, distribution
+from panelspark.functions.ranking import WINDOW_BYTES, counted, distribution, input_bytes
 
 # Above this many columns rows are unfolded from an array instead of an expand node.
 MAX_UNPIVOT = 64
 
 
+def _coded(df: DataFrame, ids: list[str], features: list[str], value: str) -> DataFrame:
+    """One row per (row, feature) with the feature as its position ``_pos``."""
+    cells = [F.col(f).cast("double").alias(f"_c{i}") for i, f in enumerate(features)]
+    if len(features) <= MAX_UNPIVOT:
+        names = [f"_c{i}" for i in range(len(features))]
+        long = df.select(*ids, *cells).unpivot(ids, names, "_name", value)
+        return long.select(*ids, F.substring("_name", 3, 9).cast("int").alias("_pos"), value)
+    return df.select(*ids, F.posexplode(F.array(*cells)).alias("_pos", value))
+
+
+def _named(features: list[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(f) for f in features]), F.col("_pos") + 1).alias("feature")
+
+
 def to_long(df: DataFrame, ids: list[str], features: list[str], value: str = "value") -> DataFrame:
     """One row per (row, feature): ``ids``, ``feature``, ``value``."""
-    cells = [F.col(f).cast("double").alias(f) for f in features]
-    if len(features) <= MAX_UNPIVOT:
-        return df.select(*ids, *cells).unpivot(ids, features, "feature", value)
-    names = F.array(*[F.lit(f) for f in features])
-    return df.select(*ids, F.posexplode(F.array(*cells)).alias("_pos", value)).select(
-        *ids, F.element_at(names, F.col("_pos") + 1).alias("feature"), value
-    )
+    return _coded(df, ids, features, value).select(*ids, _named(features), value)
 
 
 def pearson_of(x: str, y: str) -> Column:
@@ -46,15 +54,28 @@ def _centred_rank(weight: str = "weight") -> Column:
     ) / F.col("total")
 
 
-def _with_target_rank(
+def _joined_rank(
     df: DataFrame, groups: list[str], y: str, weight: str | None, spread: bool | None
 ) -> DataFrame:
+    """Adds ``_ry``, the target's rank in its group, by joining the ranked distinct values.
+
+    Rows stay spread over all tasks however few groups there are.
+    """
     ranks = distribution(counted(df, groups, y, weight), groups, y, spread=spread).select(
         *groups, y, _centred_rank().alias("_ry")
     )
     return df.join(ranks, [*groups, y], "left")
 
 
+def _windowed_rank(df: DataFrame, groups: list[str], y: str) -> DataFrame:
+    """The same with one shuffle by group, for small inputs with many groups."""
+    by_group = Window.partitionBy(*groups).orderBy(F.col(y).asc_nulls_last())
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*groups, y))
+    total = F.count(y).over(Window.partitionBy(*groups))
+    rank = (F.rank().over(by_group) + (ties - 1) / 2 - (total + 1) / 2) / total
+    return df.withColumn("_ry", F.when(F.col(y).isNotNull(), rank))
+
+
 def _rank_corr(
     cells: DataFrame,
     groups: list[str],
@@ -102,7 +123,12 @@ def spearman(
     rows = df.select(*dict.fromkeys(keep))
     if omit:
         rows = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = _with_target_rank(rows, groups, y, weight, spread)
+    if spread is None:
+        spread = input_bytes(rows) > WINDOW_BYTES
+    if spread or weight:
+        ranked = _joined_rank(rows, groups, y, weight, spread)
+    else:
+        ranked = _windowed_rank(rows, groups, y)
     return _rank_corr(ranked, groups, x, weight, spread, out)
 
 
@@ -120,6 +146,10 @@ def spearman_features(
     feature value, which shrinks before the shuffle for coarse features.
     """
     rows = df.select(*dict.fromkeys([*groups, *features, y]))
-    ranked = _with_target_rank(rows, groups, y, None, spread)
-    cells = to_long(ranked, [*groups, "_ry"], features)
-    return _rank_corr(cells, [*groups, "feature"], "value", None, spread, out)
+    if spread is None:
+        spread = input_bytes(rows) > WINDOW_BYTES
+    ranked = _joined_rank(rows, groups, y, None, spread)
+    # shuffle keys carry the feature's position, not its name
+    cells = _coded(ranked, [*groups, "_ry"], features, "_value")
+    corrs = _rank_corr(cells, [*groups, "_pos"], "_value", None, spread, out)
+    return corrs.select(*groups, _named(features), out, "n")

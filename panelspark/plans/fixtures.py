@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.session import bounded
+from panelspark.session import bounded, spread
 
 FEATURES = [
     "feature_quantity", "feature_price", "feature_discount", "feature_tax", "feature_flip",
@@ -38,7 +38,7 @@ def panel(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
     )
     price = F.col("l_extendedprice")
     return (
-        lineitem.withColumn("period", F.date_trunc(unit, "l_shipdate"))
+        spread(lineitem, "l_orderkey").withColumn("period", F.date_trunc(unit, "l_shipdate"))
         .join(_calendar(lineitem, unit), "period")
         .join(orders, "l_orderkey")
         .select(

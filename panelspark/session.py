@@ -69,3 +69,15 @@ def bounded(dim: DataFrame, max_rows: int = 100_000) -> DataFrame:
     if table.num_rows > max_rows:
         return dim
     return F.broadcast(dim.sparkSession.createDataFrame(table, schema=dim.schema))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partitions a scan that has fewer splits than the session has cores.
+
+    One small file is one task however many cores there are. A large table has
+    more splits than cores and is left alone, so it is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
