@@ -88,8 +88,8 @@ def select_by_prefix(spark, sf):
 
 @query(
     sql(
-        "SELECT era, count(*) AS n, round(avg(feature_price), 6) + 0.0 AS feature_price, "
-        "round(avg(feature_quantity), 6) + 0.0 AS feature_quantity FROM panel GROUP BY era",
+        "SELECT era, count(*) AS n, round(sum(feature_price), 4) + 0.0 AS feature_price, "
+        "round(sum(feature_quantity), 4) + 0.0 AS feature_quantity FROM panel GROUP BY era",
         "panel",
     )
 )
@@ -99,7 +99,7 @@ def align_features(spark, sf):
     wanted = ["feature_price", "feature_absent", "feature_discount", "feature_quantity", "target_net"]
     names = src.align_features(train, valid, wanted, "target_net")
     return valid.groupBy("era").agg(
-        F.count(F.lit(1)).alias("n"), *[r(F.avg(c)).alias(c) for c in names]
+        F.count(F.lit(1)).alias("n"), *[r(F.sum(c), 4).alias(c) for c in names]
     )
 
 
@@ -175,7 +175,7 @@ def restrict_eras(spark, sf):
 @query(
     sql(
         "SELECT era, count(*) AS n, round(sum(feature_quantity), 4) + 0.0 AS quantity, "
-        "round(avg(target_net), 6) + 0.0 AS net FROM panel GROUP BY era",
+        "round(sum(target_net), 4) + 0.0 AS net FROM panel GROUP BY era",
         "panel",
     )
 )
@@ -188,7 +188,7 @@ def write_panel(spark, sf):
     return back.groupBy("era").agg(
         F.count(F.lit(1)).alias("n"),
         r(F.sum("feature_quantity"), 4).alias("quantity"),
-        r(F.avg("target_net")).alias("net"),
+        r(F.sum("target_net"), 4).alias("net"),
     )
 
 
