@@ -236,7 +236,7 @@ def _motif_sql(tail: str, select: str) -> str:
 
 
 MOTIF_SELECT = (
-    "start, motif_values, count, round(avg_target, 6) + 0.0 AS avg_target, round(score, 6) + 0.0 AS score"
+    "start, motif_values, count, round(avg_target * count, 9) + 0.0 AS sum_target, round(score, 6) + 0.0 AS score"
 )
 
 
@@ -251,7 +251,7 @@ def motif_mine(spark, sf):
         "start",
         _values_text().alias("motif_values"),
         "count",
-        r("avg_target").alias("avg_target"),
+        r(F.col("avg_target") * F.col("count"), 9).alias("sum_target"),
         r("score").alias("score"),
     )
 
@@ -264,7 +264,7 @@ def top_motifs(spark, sf):
         "start",
         _values_text().alias("motif_values"),
         "count",
-        r("avg_target").alias("avg_target"),
+        r(F.col("avg_target") * F.col("count"), 9).alias("sum_target"),
         r("score").alias("score"),
     )
 
