@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.session import bounded
+
 # Inputs below this size are ranked with one window per group.
 WINDOW_BYTES = 1 << 30
 # Distinct values per bucket, on average, when a group is spread.
@@ -155,3 +157,38 @@ def top_rows(
         .where(F.col("_rank") <= n)
         .drop("_rank", "_salt")
     )
+
+
+def smallest_draws(
+    df: DataFrame, groups: list[str], draw: Column, n: int, prefilter: bool | None = None
+) -> DataFrame:
+    """Exactly the ``n`` rows with the smallest draw per group (all rows of smaller groups).
+
+    ``draw`` is a 64-bit hash. On large inputs a histogram of its leading bits, combined
+    before the shuffle, first tells which rows can be among them; only those are ranked.
+    """
+    if prefilter is None:
+        prefilter = input_bytes(df) > WINDOW_BYTES
+    drawn = df.withColumn("_draw", draw.bitwiseAND(F.lit((1 << 63) - 1)))
+    if prefilter:
+        drawn = drawn.withColumn("_slot", F.shiftright("_draw", 47))
+        earlier = Window.partitionBy(*groups).orderBy("_slot")
+        cuts = (
+            drawn.groupBy(*groups, "_slot")
+            .agg(F.count(F.lit(1)).alias("_n"))
+            .withColumn(
+                "_below",
+                F.coalesce(
+                    F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+                ),
+            )
+            .where(F.col("_below") < n)
+            .groupBy(*groups)
+            .agg(F.max("_slot").alias("_last"))
+        )
+        drawn = (
+            drawn.join(bounded(cuts), groups)
+            .where(F.col("_slot") <= F.col("_last"))
+            .drop("_slot", "_last")
+        )
+    return top_rows(drawn, groups, [F.col("_draw")], n).drop("_draw")

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import expr
 from panelspark.functions.correlation import pearson_of, to_long
-from panelspark.functions.ranking import exact_median, top_rows
-from panelspark.operators.metrics import CONSTANT_TOLERANCE, SHARPE_EPS, safe_sharpe
+from panelspark.functions.moments import schema_of, second_moments
+from panelspark.functions.ranking import exact_median
+from panelspark.operators.metrics import CONSTANT_TOLERANCE, MAD_TO_STD, SHARPE_EPS
 from panelspark.operators.splits import sample_per_era, train_test_split
 from panelspark.session import bounded
 from panelspark.sources.panel import era_index
@@ -92,51 +93,14 @@ def condition_of(c: np.ndarray, shrink: float = 0.0) -> tuple[float, float]:
 def condition_number(
     df: DataFrame, features: list[str], groups: list[str], shrink: float = 0.0
 ) -> DataFrame:
-    """(groups, condition, min_eigenvalue) of the features' correlation matrix.
-
-    Tasks add up shifted second moments of their own rows, so a group may be larger
-    than any task; only matrices of features x features are shuffled.
-    """
+    """(groups, condition, min_eigenvalue) of the features' correlation matrix."""
     p = len(features)
-    shift_row = df.agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)]).first()
-    shift = np.array([shift_row[i] or 0.0 for i in range(p)])
-    moments = "n long, s array<double>, q array<double>"
-    group_schema = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in groups
-    )
-
-    def partial(batches):
-        held: dict = {}
-        for batch in batches:
-            for key, part in batch.groupby(groups, dropna=False):
-                x = part[features].to_numpy(dtype=np.float64) - shift
-                n, s, q = held.get(key, (0, 0.0, 0.0))
-                held[key] = (n + len(x), s + x.sum(axis=0), q + x.T @ x)
-        rows = [(*k, n, s.tolist(), q.ravel().tolist()) for k, (n, s, q) in held.items()]
-        if rows:
-            yield pd.DataFrame(rows, columns=[*groups, "n", "s", "q"])
-
-    parts = df.select(*groups, *[F.col(f).cast("double").alias(f) for f in features]).mapInPandas(
-        partial, f"{group_schema}, {moments}"
-    )
-
-    def total(name):
-        return parts.select(*groups, F.posexplode(name).alias("at", "v")).groupBy(
-            *groups, "at"
-        ).agg(F.sum("v").alias("v")).groupBy(*groups).agg(
-            F.array_sort(F.collect_list(F.struct("at", "v")))["v"].alias(name)
-        )
-
-    sums = parts.groupBy(*groups).agg(F.sum("n").alias("n")).join(total("s"), groups).join(
-        total("q"), groups
-    )
 
     def solve(batches):
         for batch in batches:
             out = []
-            for n, s, q in zip(batch["n"], batch["s"], batch["q"]):
-                s, q = np.asarray(s, dtype=float), np.asarray(q, dtype=float).reshape(p, p)
-                cov = q / n - np.outer(s / n, s / n)
+            for cov in batch["cov"]:
+                cov = np.asarray(cov, dtype=np.float64).reshape(p, p)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     d = np.sqrt(np.diag(cov))
                     out.append(condition_of(cov / np.outer(d, d), shrink) if p else (1.0, 1.0))
@@ -145,8 +109,8 @@ def condition_number(
             made["min_eigenvalue"] = [o[1] for o in out]
             yield made
 
-    return sums.select(*groups, "n", "s", "q").mapInPandas(
-        solve, f"{group_schema}, condition double, min_eigenvalue double"
+    return second_moments(df, features, groups).select(*groups, "cov").mapInPandas(
+        solve, f"{schema_of(df, groups)}, condition double, min_eigenvalue double"
     )
 
 
@@ -285,38 +249,48 @@ def score_by_era(moments: DataFrame, combos: np.ndarray, era: str = "era") -> Da
     return rows.select(era, "combo_id", "weights", F.try_divide(form("c_py"), spread).alias("corr"))
 
 
-def sharpe_of_array(values: Column) -> dict[str, Column]:
-    """Blend statistics from the valid era correlations of its history, as one array."""
-    n = F.size(values)
-    mean = expr.array_mean(values)
-    squares = F.aggregate(values, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
-    std = F.sqrt(F.try_divide(squares, n - 1))
-    middle = expr.array_median(values)
-    mad = expr.array_median(F.transform(values, lambda v: F.abs(v - middle)))
-    unique = F.size(F.array_distinct(F.transform(values, lambda v: F.round(v, 12))))
-    width = F.array_max(values) - F.array_min(values)
-    tol = CONSTANT_TOLERANCE
-    flat = (unique <= 1) | (width < tol) | (std < tol) | (mad < tol)
-    positive = F.size(F.filter(values, lambda v: v > 0))
-    few = n < 2
-
-    def unless_few(c):
-        return F.when(few, 0.0).otherwise(c)
-
-    return {
-        "mean_score": unless_few(F.abs(mean)),
-        "std_score": unless_few(std),
-        "sign_consistency": unless_few(F.try_divide(positive, n)),
-        "sharpe": F.when(few | flat, 0.0)
-        .when(std < SHARPE_EPS, F.try_divide(mean, expr_mad(mad)))
-        .otherwise(F.try_divide(mean, std + SHARPE_EPS)),
-    }
+STATISTICS = ["mean_score", "std_score", "sign_consistency", "sharpe"]
 
 
-def expr_mad(mad: Column) -> Column:
-    from panelspark.operators.metrics import MAD_TO_STD
+def with_sharpe(df: DataFrame, column: str) -> DataFrame:
+    """Replaces an array of valid era correlations by the statistics of a blend.
 
-    return MAD_TO_STD * mad + SHARPE_EPS
+    Means and medians are repeated alongside the array, not used inside a lambda:
+    there they would be worked out again for every element.
+    """
+    values, n = F.col(column), F.size(column)
+
+    def beside(c):
+        return F.array_repeat(F.col(c), n)
+
+    df = df.withColumns({"_mean": expr.array_mean(values), "_middle": expr.array_median(values)})
+    squares = F.zip_with(values, beside("_mean"), lambda v, m: (v - m) * (v - m))
+    away = F.zip_with(values, beside("_middle"), lambda v, m: F.abs(v - m))
+    df = df.withColumns(
+        {
+            "_std": F.sqrt(
+                F.try_divide(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v), n - 1)
+            ),
+            "_mad": expr.array_median(away),
+            "_unique": F.size(F.array_distinct(F.transform(values, lambda v: F.round(v, 12)))),
+        }
+    )
+    mean, std, mad = F.col("_mean"), F.col("_std"), F.col("_mad")
+    tol = CONSTANT_TOLERANCE
+    width = F.array_max(values) - F.array_min(values)
+    flat = (F.col("_unique") <= 1) | (width < tol) | (std < tol) | (mad < tol)
+    few = n < 2
+    positive = F.size(F.filter(values, lambda v: v > 0))
+    return df.withColumns(
+        {
+            "mean_score": F.when(few, 0.0).otherwise(F.abs(mean)),
+            "std_score": F.when(few, 0.0).otherwise(std),
+            "sign_consistency": F.when(few, 0.0).otherwise(F.try_divide(positive, n)),
+            "sharpe": F.when(few | flat, 0.0)
+            .when(std < SHARPE_EPS, F.try_divide(mean, MAD_TO_STD * mad + SHARPE_EPS))
+            .otherwise(F.try_divide(mean, std + SHARPE_EPS)),
+        }
+    ).drop(column, "_mean", "_middle", "_std", "_mad", "_unique")
 
 
 def score_combinations(scores: DataFrame) -> DataFrame:
@@ -324,7 +298,7 @@ def score_combinations(scores: DataFrame) -> DataFrame:
     kept = scores.groupBy("combo_id").agg(
         F.first("weights").alias("weights"), F.collect_list("corr").alias("_c")
     )
-    return kept.withColumns(sharpe_of_array(F.col("_c"))).drop("_c")
+    return with_sharpe(kept, "_c")
 
 
 def best_combination(scores: DataFrame, groups: list[str]) -> DataFrame:
@@ -440,9 +414,8 @@ def walk_forward(
                 "_known": F.count(known).over(past),
             }
         )
-        .withColumns(sharpe_of_array(F.col("_c")))
     )
-    best = best_combination(seen, [era, "era_idx"])
+    best = best_combination(with_sharpe(seen, "_c"), [era, "era_idx"])
     table = F.array(*[F.array(*[F.lit(float(v)) for v in w]) for w in combos])
     found = (
         (F.col("era_idx") > warm)
@@ -516,4 +489,4 @@ def refine_top_k(
         )
         scored = corr if scored is None else scored.unionByName(corr)
     kept = scored.groupBy("combo_id").agg(F.collect_list("corr").alias("_c"))
-    return kept.withColumns(sharpe_of_array(F.col("_c"))).drop("_c")
+    return with_sharpe(kept, "_c")

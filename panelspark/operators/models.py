@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import expr
 from panelspark.functions.correlation import pearson, spearman
+from panelspark.functions.moments import schema_of, second_moments
 from panelspark.operators.metrics import correlations_by_scope, summarise_scopes
 from panelspark.operators.splits import check_era_gap, era_cv_splits, fold_rows
 from panelspark.session import bounded
@@ -37,33 +38,22 @@ def linear_fit(
     for c in columns:
         whole = whole & F.col(c).isNotNull()
     rows = df.select(*groups, *[F.col(c).cast("double").alias(c) for c in columns]).where(whole)
-    moments = rows.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.avg(c) for c in columns]).alias("m"),
-        F.array(
-            *[F.covar_pop(a, b) for i, a in enumerate(columns) for b in columns[: i + 1]]
-        ).alias("c"),
-    )
-    group_schema = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in groups
-    )
+    moments = second_moments(rows, columns, groups)
 
     def solve(batches):
         for batch in batches:
             made = batch[[*groups, "n"]].copy()
             intercepts, coefs = [], []
-            for m, packed in zip(batch["m"], batch["c"]):
-                c = np.zeros((p + 1, p + 1))
-                c[np.tril_indices(p + 1)] = packed
-                c = c + np.tril(c, -1).T
+            for m, c in zip(batch["mean"], batch["cov"]):
+                c = np.asarray(c, dtype=np.float64).reshape(p + 1, p + 1)
                 b = np.linalg.lstsq(c[:p, :p], c[:p, p], rcond=None)[0]
                 coefs.append(b.tolist())
                 intercepts.append(float(m[p] - np.dot(m[:p], b)))
             made["intercept"], made["coef"] = intercepts, coefs
             yield made
 
-    return moments.select(*groups, "n", "m", "c").mapInPandas(
-        solve, f"{group_schema}, n long, intercept double, coef array<double>"
+    return moments.mapInPandas(
+        solve, f"{schema_of(df, groups)}, n long, intercept double, coef array<double>"
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import expr
-from panelspark.functions.ranking import exact_median, top_rows
+from panelspark.functions.ranking import exact_median, smallest_draws
 from panelspark.session import bounded
 
 
@@ -186,5 +186,4 @@ def normal_periods(
     rest = rest.withColumn("regime", F.lit("normal_periods"))
     if sample_size is None:
         return rest
-    order = F.xxhash64(F.lit(seed), *df.columns)
-    return top_rows(rest, ["regime"], [order], sample_size)
+    return smallest_draws(rest, ["regime"], F.xxhash64(F.lit(seed), *df.columns), sample_size)

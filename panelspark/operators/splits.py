@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.ranking import counted, distribution, top_rows
+from panelspark.functions.ranking import counted, distribution, smallest_draws
 from panelspark.session import bounded
 from panelspark.sources.panel import era_index
 
@@ -91,7 +91,7 @@ def sample_per_era(
     df: DataFrame, n: int, seed: int = 42, keys: list[str] | None = None, era: str = "era"
 ) -> DataFrame:
     """At most ``n`` rows per era without replacement, the same on every run."""
-    return top_rows(df, [era], [_draw(df, seed, keys)], n)
+    return smallest_draws(df, [era], _draw(df, seed, keys), n)
 
 
 def train_test_split(

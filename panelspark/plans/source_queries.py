@@ -182,8 +182,7 @@ def restrict_eras(spark, sf):
 def write_panel(spark, sf):
     path = shared_dir(spark, "panel")
     rows = fx.panel(spark, sf).select("era", "feature_quantity", "target_net")
-    # one writer per era, hot eras over several files
-    src.write_panel(rows.repartition("era"), path)
+    src.write_panel(rows, path)
     back = spark.read.schema(rows.schema).parquet(path)
     return back.groupBy("era").agg(
         F.count(F.lit(1)).alias("n"),

@@ -144,6 +144,9 @@ def narrow_types(df: DataFrame) -> DataFrame:
 
 
 def write_panel(df: DataFrame, path: str, partition_by: str | None = "era", mode: str = "overwrite"):
+    """Parquet, one folder per era; eras are gathered into few files, hot ones are split."""
+    if partition_by:
+        df = df.hint("rebalance", F.col(partition_by))
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(partition_by)

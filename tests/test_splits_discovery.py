@@ -53,6 +53,16 @@ def test_samples_are_repeatable_and_sized(spark):
     assert set(map(tuple, one.values)) != set(map(tuple, other.values))
 
 
+def test_prefiltered_sample_is_the_same(spark):
+    from panelspark.functions.ranking import smallest_draws
+
+    df = era_frame(spark, 3, 5000)
+    draw = F.xxhash64(F.lit(1), "id")
+    plain = smallest_draws(df, ["era"], draw, 40, prefilter=False).toPandas()
+    cut = smallest_draws(df, ["era"], draw, 40, prefilter=True).toPandas()
+    assert set(plain["id"]) == set(cut["id"]) and len(cut) == 120
+
+
 def test_train_share_is_exact(spark):
     df = era_frame(spark, 4, 101)
     got = splits.train_test_split(df, 0.7).groupBy("era").agg(F.sum(F.col("is_train").cast("int")).alias("k"))
@@ -144,9 +154,7 @@ def test_sharpe_of_array_matches_grouped_form(spark):
     rows = [(k, v) for k, vs in groups.items() for v in vs]
     df = spark.createDataFrame(rows, "g string, v double")
     grouped = {r["g"]: r["sharpe"] for r in safe_sharpe(df, ["g"], "v").collect()}
-    arrays = df.groupBy("g").agg(F.collect_list("v").alias("c")).withColumns(
-        discovery.sharpe_of_array(F.col("c"))
-    )
+    arrays = discovery.with_sharpe(df.groupBy("g").agg(F.collect_list("v").alias("c")), "c")
     got = {r["g"]: r for r in arrays.collect()}
     assert got["a"]["sharpe"] == pytest.approx(grouped["a"]) and got["a"]["sign_consistency"] == 0.75
     assert grouped["b"] is None and got["b"]["sharpe"] == 0.0
@@ -165,6 +173,17 @@ def test_condition_number_equals_numpy(spark, learnable):
             assert got[era]["condition"] == pytest.approx(values[-1] / values[0], rel=1e-5)
 
 
+def test_moments_of_many_columns(spark, learnable):
+    from panelspark.functions.moments import _by_task, second_moments
+
+    df = spark.createDataFrame(learnable)
+    few = second_moments(df, FEATURES, ["era"]).toPandas().sort_values("era")
+    many = _by_task(df, FEATURES, ["era"]).toPandas().sort_values("era")
+    assert list(few["n"]) == list(many["n"])
+    assert np.allclose(np.stack(few["mean"]), np.stack(many["mean"]))
+    assert np.allclose(np.stack(few["cov"]), np.stack(many["cov"]))
+
+
 def test_prescreen_ranks_the_learnable_target_first(spark, learnable):
     df = spark.createDataFrame(learnable)
     combos = discovery.blends(2)
