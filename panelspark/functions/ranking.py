@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.session import bounded
+from panelspark.session import bounded, written
 
 # Inputs below this size are ranked with one window per group.
 WINDOW_BYTES = 1 << 30
 # Distinct values per bucket, on average, when a group is spread.
 BUCKET_VALUES = 1 << 20
 MAX_EDGES = 1 << 20
+MAX_EDGE_BITS = 24
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -21,16 +22,17 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def _bucket_of(value: Column, edges: Column) -> Column:
-    """Number of edges below ``value``: a binary search over a sorted array."""
-    steps = F.array(*[F.lit(1 << p) for p in range(MAX_EDGES.bit_length(), -1, -1)])
+    """Number of edges below ``value``: a binary search with as many steps as the array needs."""
+    powers = F.array(*[F.lit(1 << p) for p in range(MAX_EDGE_BITS, -1, -1)])
+    bits = F.length(F.bin(F.size(edges))).cast("int")
     found = F.aggregate(
-        steps,
+        F.slice(powers, MAX_EDGE_BITS + 2 - bits, bits),
         F.lit(0),
         lambda at, step: F.when(
             (at + step <= F.size(edges)) & (F.try_element_at(edges, at + step) < value), at + step
         ).otherwise(at),
     )
-    return F.coalesce(found, F.lit(0))
+    return F.coalesce(F.when(edges.isNotNull(), found), F.lit(0))
 
 
 def distribution(
@@ -46,7 +48,8 @@ def distribution(
     ``values`` holds one row per (group, value). Small inputs use one window per
     group. Otherwise each group is cut into value ranges at edges taken from a
     hash-chosen share of its distinct values, so that a group holding most rows is
-    ranked by many tasks. The edges only steer the work; ranks are exact for any.
+    ranked by many tasks. The edges only steer the work; ranks are exact for any. The
+    values are written once to the shared folder, as edges, offsets and ranks read them.
     """
     if spread is None:
         size = input_bytes(values)
@@ -64,6 +67,7 @@ def distribution(
                 ),
             }
         )
+    values = written(values, "values")
     # About one edge per bucket_values distinct values, hence at most about MAX_EDGES in all.
     edges = (
         values.where(F.pmod(F.xxhash64(*groups, value), F.lit(bucket_values)) == 0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from panelspark.functions.correlation import spearman
-from panelspark.session import shared_dir
+from panelspark.session import shared_dir, written
 
 RESULT_SCHEMA = "window_start timestamp, corr double, n long, regime_change boolean"
 
@@ -66,7 +66,9 @@ def start_monitor(
     counts = window_counts(stream.withWatermark(ts, late), ts, prediction, target, window)
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        regime_change(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        # written first, as a micro-batch would otherwise be run again for every use
+        closed = written(batch, "closed-windows")
+        regime_change(closed).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     writer = (
         counts.writeStream.outputMode("append")
