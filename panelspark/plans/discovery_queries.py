@@ -212,6 +212,53 @@ def condition_number(spark, sf):
     return out.select("era", r("condition", 4).alias("condition"), r("min_eigenvalue", 6).alias("min_eigenvalue"))
 
 
+@query(
+    sql(
+        """
+SELECT era, round((1 + abs(c)) / (1 - abs(c)), 6) + 0.0 AS condition, round(1 - abs(c), 6) + 0.0 AS min_eigenvalue
+FROM (SELECT era, covar_pop(feature_price, target_order) / (stddev_pop(feature_price) * stddev_pop(target_order)) AS c
+      FROM panel GROUP BY era)""",
+        "panel",
+    )
+)
+def condition_number_pair(spark, sf):
+    """Two columns have the eigenvalues 1 - |corr| and 1 + |corr|."""
+    out = ops.condition_number(fx.panel(spark, sf), ["feature_price", "target_order"], ["era"])
+    return out.select(
+        "era", r("condition").alias("condition"), r("min_eigenvalue").alias("min_eigenvalue")
+    )
+
+
+N_VECTOR_COMBOS = len(ops.blends(fx.LABELS))
+
+
+def _spread_sql() -> str:
+    """Variance of every blend of the label indicators, best fifth (at least 15) first."""
+    rows = ", ".join(
+        f"({i}, [{', '.join(repr(float(x)) for x in w)}]::double[])"
+        for i, w in enumerate(ops.blends(fx.LABELS))
+    )
+    keep = max(ops.KEEP_AT_LEAST, N_VECTOR_COMBOS // ops.KEEP_SHARE)
+    return f"""
+WITH combos(combo_id, w) AS (VALUES {rows}),
+scores AS (SELECT combo_id, var_pop(w[label + 1]) AS score FROM embeddings CROSS JOIN combos GROUP BY combo_id)
+SELECT combo_id, round(score, 6) + 0.0 AS score FROM scores ORDER BY round(score, 9) DESC, combo_id LIMIT {keep}"""
+
+
+@query(_spread_sql())
+def keep_top(spark, sf):
+    """Pre-screen of all blends of the labels, scored by the variance of the blend."""
+    v = fx.vectors(spark, sf)
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in w]) for w in ops.blends(fx.LABELS)])
+    cells = v.select(
+        F.posexplode(F.transform(table, lambda w: F.element_at(w, F.col("label") + 1))).alias(
+            "combo_id", "x"
+        )
+    )
+    scores = cells.groupBy("combo_id").agg(F.round(F.var_pop("x"), 9).alias("score"))
+    return ops.keep_top(scores, N_VECTOR_COMBOS).select("combo_id", r("score").alias("score"))
+
+
 @query()
 def ridge_prescreen(spark, sf):
     out = ops.ridge_prescreen(fx.panel(spark, sf), WALK_FEATURES, fx.TARGETS, ops.blends(3))

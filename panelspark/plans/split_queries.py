@@ -76,7 +76,14 @@ def sample_sizes(spark, sf):
     )
 
 
-@query()
+@query(
+    sql(
+        """
+WITH sizes AS (SELECT era, count(*) AS n, cast(floor(0.7::double * count(*)) AS bigint) AS k FROM panel GROUP BY era)
+SELECT era, TRUE AS is_train, k AS n FROM sizes UNION ALL SELECT era, FALSE, n - k FROM sizes""",
+        "panel",
+    )
+)
 def train_test_split(spark, sf):
     rows = ops.train_test_split(fx.panel(spark, sf), 0.7)
     return rows.groupBy("era", "is_train").agg(F.count(F.lit(1)).alias("n"))
