@@ -183,10 +183,6 @@ def zpos_array(df: DataFrame, vector: str, out: str = "bits") -> DataFrame:
     )
 
 
-def _literal_vectors(rows: list[list[float]]) -> Column:
-    return F.array(*[F.array(*[F.lit(v) for v in row]) for row in rows])
-
-
 def k_center_prototypes(
     df: DataFrame, vector: str, key: str, k: int, start: int | None = None, seed: int = 0
 ) -> DataFrame:
@@ -194,13 +190,11 @@ def k_center_prototypes(
 
     ``k`` passes, each a max over all rows; only the chosen vectors reach the driver.
     """
-    def fetch(condition_or_order):
-        return df.select(key, vector).orderBy(condition_or_order, key).first()
-
+    rows = df.select(key, vector)
     if start is not None:
-        first = df.where(F.col(key) == start).select(key, vector).first()
+        first = rows.where(F.col(key) == start).first()
     else:
-        first = fetch(F.xxhash64(F.lit(seed), F.col(key)))
+        first = rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).first()
     if first is None:
         raise ValueError("no starting row")
     chosen = [(0, first[0], 0.0)]
