@@ -69,23 +69,32 @@ def yolo_features(spark, sf):
 BASE = ["feature_quantity", "feature_price", "target_order"]
 
 
-def _math_sql() -> str:
+# The tax is often 0, so its ratios reach 1e12 and are compared to two digits.
+ZERO_BASE = ["feature_quantity", "feature_price", "feature_tax"]
+
+
+def _math_sql(base: list[str], digits: int) -> str:
     out, i = {}, 0
-    for x, a in enumerate(BASE):
-        for b in BASE[x + 1 :]:
+    for x, a in enumerate(base):
+        for b in base[x + 1 :]:
             tail = f"{a.split('_')[-1]}_{b.split('_')[-1]}_{i:02d}"
             out[f"ratio_{tail}"] = f"{a} / (abs({b}) + 1e-8::double)"
             out[f"diff_{tail}"] = f"{a} - {b}"
             i += 1
-    cols = ", ".join(f'round({e}, 4) + 0.0 AS "{n}"' for n, e in out.items())
+    cols = ", ".join(f'round({e}, {digits}) + 0.0 AS "{n}"' for n, e in out.items())
     return sql(f"SELECT era, {KEY_SQL}, {cols} FROM gappy", "gappy")
 
 
-@query(_math_sql())
+@query(_math_sql(BASE, 4))
 def math_features(spark, sf):
     return _made(ops.math_features(fx.gappy_panel(spark, sf), BASE))
 
 
+@query(_math_sql(ZERO_BASE, 2))
+def math_features_zero(spark, sf):
+    return _made(ops.math_features(fx.gappy_panel(spark, sf), ZERO_BASE), 2)
+
+
 @query(
     sql(
         f"""
