@@ -30,8 +30,12 @@ def _prepared(fn):
     return run
 
 
+def prepared(found: dict) -> dict:
+    return {name: _prepared(fn) for name, fn in found.items()}
+
+
 def queries() -> dict:
-    return {name: _prepared(fn) for name, fn in QUERIES.items()}
+    return prepared(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
