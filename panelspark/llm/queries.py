@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import url_filter
+from panelspark.llm import quality_rules, shards, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +73,18 @@ FROM ruled r LEFT JOIN members m ON r.key = m.node LEFT JOIN decided d ON m.comp
 @register(_url_sql())
 def op10_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"), ["page_id"])
+
+
+@register()
+def op1_shards(spark, sf_dir):
+    written = shards.read_shards(spark, shards.write_shards(table(spark, sf_dir, "documents")))
+    return written.select(
+        "doc_id", shards.size_of(F.col("text")).alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("key").alias("law"),
+        "shard", "slot", shards.shard_of(F.col("doc_id"), 17, 17).alias("grown_shard"))
+
+
+@register()
+def op3_quality_rules(spark, sf_dir):
+    return quality_rules.judge(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
