@@ -94,17 +94,17 @@ def long(*names: str) -> list[T.StructField]:
     return [T.StructField(x, T.LongType()) for x in names]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, label: str = "quality",
-                    doc_id: str = "doc_id") -> DataFrame:
-    """(id, y) of at most ``most`` documents that models may learn from, those with the smallest hashes.
-
-    A document with conflicting labels, or none, is left out.
-    """
+def trusted(labels: DataFrame, label: str = "quality", doc_id: str = "doc_id") -> DataFrame:
+    """(id, y) of the labels that models may learn from; a document with conflicting ones has none."""
     return (
         labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~texts.held_out(doc_id))
         .groupBy(F.col(doc_id).alias("id")).agg(F.min(label).alias("y"), F.max(label).alias("_high"))
-        .where("y = _high").select("id", F.col("y").cast("int").alias("y"))
-        .orderBy(F.xxhash64(F.lit(3), "id")).limit(most))
+        .where("y = _high").select("id", F.col("y").cast("int").alias("y")))
+
+
+def smallest(ids: DataFrame, most: int, seed: int) -> DataFrame:
+    """At most ``most`` rows, those whose ids have the smallest hashes."""
+    return ids.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(most)
 
 
 def sample_features(docs: DataFrame, sample: DataFrame, text: str = "text",

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import quality_rules, shards, url_filter
+from panelspark.llm import pu_quality, quality_rules, shards, texts, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,10 @@ def op1_shards(spark, sf_dir):
 def op3_quality_rules(spark, sf_dir):
     return quality_rules.judge(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@register()
+def op4_pu_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pu_quality.score(docs, table(spark, sf_dir, "labels"), ["doc_id"]).select(
+        "doc_id", texts.held_out("doc_id").alias("held_out"), "score", "predicted")
