@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import langid, pu_quality, quality_rules, shards, texts, url_filter
+from panelspark.llm import embed_dedup, langid, pu_quality, quality_rules, shards, texts, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,8 @@ def op9_langid(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs), ["doc_id"]).select(
         "doc_id", texts.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@register()
+def op7_embedding_dedup(spark, sf_dir):
+    return embed_dedup.dedup(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
