@@ -8,6 +8,7 @@ adaptive execution can split a hub, whatever share of the edges it holds.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,3 +60,30 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         seen = state
         edges = written(_small_star(_large_star(edges)), "component-edges")
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+
+
+class Forest:
+    """Spanning pairs of the links that a block of comparisons finds, inside a task."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray):
+        self.left, self.right = left, right
+        self.group = np.arange(len(right))
+        self.tied = np.full(len(left), -1)
+
+    def add(self, start: int, linked: np.ndarray) -> None:
+        """linked: a row for each left id from ``start`` on, a column for each right id."""
+        for i in np.flatnonzero(linked.any(axis=1)):
+            reached = np.flatnonzero(linked[i])
+            kinds = np.unique(self.group[reached])
+            if len(kinds) > 1:
+                self.group[np.isin(self.group, kinds)] = kinds[0]
+            self.tied[start + i] = reached[0]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(x, y): no more than one pair for each id, with the connectivity of all links."""
+        low = np.full(len(self.right), np.iinfo(np.int64).max)
+        np.minimum.at(low, self.group, self.right)
+        shared = np.bincount(self.group, minlength=len(self.right))[self.group] > 1
+        some = self.tied >= 0
+        return (np.concatenate([self.right[shared], self.left[some]]),
+                np.concatenate([low[self.group[shared]], low[self.group[self.tied[some]]]]))

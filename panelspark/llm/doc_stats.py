@@ -35,7 +35,7 @@ def statistics(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     word_chars = chars - white
     symbols = bytes_of[:, SYMBOLS].sum(axis=1)
 
-    shingles, first = texts.triples(hashes, rows)
+    shingles, first = texts.shingles(hashes, rows)
     own = texts.mix(shingles + rows[first].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     order = np.argsort(own)
     same = own[order[1:]] == own[order[:-1]]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.components import components
+from panelspark.llm.components import Forest, components
 from panelspark.session import written
 
 SAMPLE = 50_000
@@ -228,8 +228,7 @@ def tile_links(space: Space, b: int, least: float, ids_a, a, ids_b, n_b, v_b) ->
     a, v_b = unit(a), unit(v_b)
     ta, tb = space.turned(a), space.turned(v_b)
     links = np.zeros(len(a), dtype=np.int64)
-    group = np.arange(len(v_b))
-    tied = np.full(len(a), -1)
+    forest = Forest(ids_a, ids_b)
     for lo in range(0, len(a), 256):
         hi = min(lo + 256, len(a))
         found = None
@@ -244,19 +243,8 @@ def tile_links(space: Space, b: int, least: float, ids_a, a, ids_b, n_b, v_b) ->
             found &= ids_a[lo:hi, None] != ids_b
             found &= a[lo:hi] @ v_b.T >= least
             links[lo:hi] = found @ n_b
-            for i in np.flatnonzero(found.any(axis=1)):
-                reached = np.flatnonzero(found[i])
-                kinds = np.unique(group[reached])
-                if len(kinds) > 1:
-                    group[np.isin(group, kinds)] = kinds[0]
-                tied[lo + i] = reached[0]
-    low = np.full(len(v_b), np.iinfo(np.int64).max)
-    np.minimum.at(low, group, ids_b)
-    member = np.bincount(group, minlength=len(v_b))[group] > 1
-    some = tied >= 0
-    xs = np.concatenate([ids_b[member], ids_a[some]])
-    ys = np.concatenate([low[group[member]], low[group[tied[some]]]])
-    return links, xs, ys
+            forest.add(lo, found)
+    return links, *forest.pairs()
 
 
 def _tile(shared, least: float):

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import embed_dedup, langid, pu_quality, quality_rules, shards, texts, url_filter
+from panelspark.llm import embed_dedup, langid, minhash, pu_quality, quality_rules, shards, texts, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,8 @@ def op9_langid(spark, sf_dir):
 @register()
 def op7_embedding_dedup(spark, sf_dir):
     return embed_dedup.dedup(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@register()
+def op6_minhash(spark, sf_dir):
+    return minhash.dedup(table(spark, sf_dir, "documents"), percent=85, width=3).withColumnRenamed("id", "doc_id")

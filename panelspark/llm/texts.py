@@ -26,8 +26,7 @@ LOWERED[65:91] += 32
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = int(_rng.integers(1, 2**62)) * 2 + 1
-_THIRDS = [np.uint64(int(_rng.integers(1, 2**62)) * 2 + 1) for _ in range(3)]
-MASK = (1 << 64) - 1
+_FACTOR = np.uint64(int(_rng.integers(1, 2**62)) * 2 + 1)
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -117,13 +116,37 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(hashes), np.concatenate(rows)
 
 
-def triples(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, index of the first word) of every three consecutive words of one row."""
-    if len(hashes) < 3:
+def shingles(hashes: np.ndarray, rows: np.ndarray, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, index of the first word) of every ``width`` consecutive words of one row."""
+    if len(hashes) < width:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    first = np.flatnonzero(rows[:-2] == rows[2:])
-    a, b, c = _THIRDS
-    return mix(hashes[first] * a + hashes[first + 1] * b + mix(hashes[first + 2]) * c), first
+    last = width - 1
+    first = np.flatnonzero(rows[: len(rows) - last] == rows[last:])
+    h = hashes[first]
+    for step in range(1, width):
+        h = mix(h * _FACTOR + hashes[first + step])
+    return h, first
+
+
+def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
+    """Sorted distinct shingles of every text, A-Z in lower case.
+
+    A text with fewer words than ``width`` has one shingle, all its words; without words, none.
+    """
+    data, bounds = buffers(column)
+    hashes, rows = words(LOWERED[data], bounds)
+    n = len(bounds) - 1
+    found, first = shingles(hashes, rows, width)
+    owner = rows[first]
+    cuts = np.searchsorted(owner, np.arange(n + 1))
+    sets = [np.unique(found[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
+    cuts = np.searchsorted(rows, np.arange(n + 1))
+    for i in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(cuts) < width)):
+        h = np.full(1, len(hashes[cuts[i]: cuts[i + 1]]), dtype=np.uint64)
+        for word in hashes[cuts[i]: cuts[i + 1]]:
+            h = mix(h * _FACTOR + word)
+        sets[i] = h
+    return sets
 
 
 def byte_counts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
