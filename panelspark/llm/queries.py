@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import embed_dedup, langid, minhash, pu_quality, quality_rules, shards, texts, url_filter
+from panelspark.llm import (
+    embed_dedup,
+    langid,
+    minhash,
+    mixing,
+    oracles,
+    packing,
+    pu_quality,
+    quality_rules,
+    shards,
+    texts,
+    url_filter,
+    warc,
+)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -26,51 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _url_sql() -> str:
-    host = "translate(regexp_extract({0}, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    path = "regexp_extract({0}, '^[^/?#]*([^?#]*)', 1)"
-    query = "regexp_extract({0}, '^[^?#]*([?][^#]*)', 1)"
-    rule = "CASE " + " ".join(
-        f"WHEN ({{h}} = '{r.host}' OR ends_with({{h}}, '.{r.host}')) AND starts_with({{p}}, '{r.path}') THEN '{{{r.verdict}}}{r.name}'"
-        for r in sorted(url_filter.RULES, key=lambda r: -len(r.name))) + " END"
-    rule = rule.replace("{allow}", "allow ").replace("{block}", "block ")
-
-    def key(rest: str) -> str:
-        h = host.format(rest)
-        return f"CASE WHEN {h} <> '' THEN {h} || {path.format(rest)} || {query.format(rest)} END"
-
-    def named(tag: str, attribute: str) -> str:
-        url = f"regexp_extract(regexp_extract(html, '{tag}', 0), '{attribute}', 1)"
-        absolute = key(f"regexp_extract({url}, '(?s)^.*?://(.*)$', 1)")
-        relative = key(f"(host || {url})")
-        return f"CASE WHEN contains({url}, '://') THEN {absolute} WHEN starts_with({url}, '/') AND host <> '' THEN {relative} END"
-
-    quote = lambda s: s.replace("'", "''")
-    return f"""
-WITH RECURSIVE rests AS (SELECT page_id, html, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS rest FROM pages),
-parts AS (SELECT page_id, html, rest, {host.format('rest')} AS host, {path.format('rest')} AS path, {query.format('rest')} AS query FROM rests),
-urls AS (
-    SELECT page_id, host, path, {key('rest')} AS key,
-           CASE WHEN host <> '' THEN regexp_replace(host, '{url_filter.HOST_PREFIX}', '') || regexp_replace(path, '{url_filter.PATH_END}', '')
-                || regexp_replace(regexp_replace(query, '{url_filter.TRACKING}', '', 'g'), '^&', '?') END AS landing,
-           {named(quote(url_filter.CANONICAL), quote(url_filter.HREF))} AS canonical,
-           {named(quote(url_filter.REFRESH), quote(url_filter.REFRESH_URL))} AS refresh
-    FROM parts),
-links AS (SELECT key AS a, landing AS b FROM urls UNION SELECT key, canonical FROM urls UNION SELECT key, refresh FROM urls),
-edges AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b),
-reach AS (SELECT a AS node, a AS root FROM edges UNION SELECT e.b, r.root FROM reach r JOIN edges e ON r.node = e.a),
-members AS (SELECT node, min(root) AS component FROM reach GROUP BY node),
-decided AS (
-    SELECT component, min(split_part(found, ' ', 1)) AS verdict
-    FROM (SELECT component, {rule.format(h=host.format('node'), p=path.format('node'))} AS found FROM members)
-    WHERE found IS NOT NULL GROUP BY component),
-ruled AS (SELECT page_id, host, path, key, {rule.format(h='host', p='path')} AS found FROM urls)
-SELECT r.page_id, r.host, r.path, split_part(r.found, ' ', 2) AS rule,
-       coalesce(split_part(r.found, ' ', 1), d.verdict, 'allow') AS verdict
-FROM ruled r LEFT JOIN members m ON r.key = m.node LEFT JOIN decided d ON m.component = d.component"""
-
-
-@register(_url_sql())
+@register(oracles.url_filter_sql())
 def op10_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"), ["page_id"])
 
@@ -112,3 +80,25 @@ def op7_embedding_dedup(spark, sf_dir):
 @register()
 def op6_minhash(spark, sf_dir):
     return minhash.dedup(table(spark, sf_dir, "documents"), percent=85, width=3).withColumnRenamed("id", "doc_id")
+
+
+@register(oracles.packing_sql())
+def op2_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@register(oracles.warc_sql())
+def op5_warc(spark, sf_dir):
+    found = warc.resolve(warc.captures_of(table(spark, sf_dir, "pages")))
+    header = lambda name: F.col("headers")[name].alias(name.replace("-", "_"))
+    return found.select(
+        F.substring("record_id", 2, 20).cast("long").alias("page_id"), "url", "ts", "status", "response_id",
+        "response_ts", F.size(F.map_keys("headers")).cast("long").alias("n_headers"),
+        *map(header, ("cache-control", "content-type", "date", "etag", "last-modified", "server")))
+
+
+@register(oracles.mixing_sql())
+def op8_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")).select(
+        "doc_id", "_mix.source", "_mix.lang", "_mix.topic", "_mix.n_tokens",
+        F.round("_mix.rate", 6).alias("rate"), "_mix.taken")
