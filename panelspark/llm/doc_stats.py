@@ -75,19 +75,21 @@ def _distinct(hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 
 def mapped(docs: DataFrame, text: str, keep: list[str], result: T.StructType,
            run: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
-    """``keep`` columns with what ``run(counts, features)`` returns, a column for each field of ``result``."""
-    source = docs.select(F.struct(*keep).alias("_row"), F.col(text).alias("text"))
+    """The struct ``_row`` of ``keep``, and what ``run(counts, features)`` returns: a column for each field of ``result``."""
+    source = docs.select(F.struct(*keep).alias("_row"), *([] if text in keep else [F.col(text).alias("text")]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in texts.pieces(batch, "text"):
+            row = batch.column("_row")
+            body = row.field(text) if text in keep else batch.column("text")
+            for piece in texts.pieces(pa.RecordBatch.from_arrays([row, body], names=["_row", "text"]), "text"):
                 found = run(*statistics(piece.column("text")))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("_row"), *(pa.array(found[f.name]) for f in result.fields)],
                     names=["_row", *(f.name for f in result.fields)])
 
     schema = T.StructType([T.StructField("_row", source.schema["_row"].dataType), *result.fields])
-    return source.mapInArrow(work, schema).select("_row.*", *(f.name for f in result.fields))
+    return source.mapInArrow(work, schema)
 
 
 def long(*names: str) -> list[T.StructField]:
@@ -113,7 +115,7 @@ def sample_features(docs: DataFrame, sample: DataFrame, text: str = "text",
     found = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample), "id")
     table = mapped(
         found, "text", ["id", "y"], T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))]),
-        lambda _, x: {"x": list(x)}).toArrow().sort_by("id")
+        lambda _, x: {"x": list(x)}).select("_row.*", "x").toArrow().sort_by("id")
     if not table.num_rows:
         return np.zeros((0, len(FEATURES))), np.zeros(0, dtype=int)
     x = table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARGINS = ("source", "lang", "topic")
-TEMPER = 0.7
+TEMPER = 0.9
 LEAST_SHARE = 1 / 200
 MAX_RATE = 1.0
 MAX_ROUNDS = 500

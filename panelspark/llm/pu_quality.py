@@ -18,7 +18,7 @@ from, those with the smallest hashes among documents not held out: a documented
 Edge cases, all defined: a null text is an empty one and is scored like any other; repeated
 rows get equal scores; a document with conflicting labels is not learned from but not
 unlabelled either; without positives or without unlabelled text every score is the prior 0.5;
-an empty table gives an empty result. Kept columns may have any name but those of the results.
+an empty table gives an empty result. Kept columns may have any name.
 """
 
 from __future__ import annotations
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Additive, float] | None:
 
 
 def score(docs: DataFrame, labels: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns with score (0 to 1, higher is likelier good) and predicted (0 or 1)."""
+    """The struct ``_row`` of ``keep`` columns, with score (0 to 1, higher is likelier good) and predicted (0 or 1)."""
     found = fit(docs, labels)
 
     def run(_, features: np.ndarray) -> dict[str, np.ndarray]:

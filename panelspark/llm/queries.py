@@ -55,14 +55,14 @@ def op1_shards(spark, sf_dir):
 @register()
 def op3_quality_rules(spark, sf_dir):
     return quality_rules.judge(
-        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"]).select("_row.*", "*").drop("_row")
 
 
 @register()
 def op4_pu_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return pu_quality.score(docs, table(spark, sf_dir, "labels"), ["doc_id"]).select(
-        "doc_id", texts.held_out("doc_id").alias("held_out"), "score", "predicted")
+        "_row.doc_id", texts.held_out("_row.doc_id").alias("held_out"), "score", "predicted")
 
 
 @register()
