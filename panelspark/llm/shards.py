@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.session import shared_dir
+from panelspark.session import bounded, shared_dir
 
 ADDED = ("shard", "bucket", "place")
 
@@ -101,10 +101,13 @@ def write_shards(docs: DataFrame, n_shards: int = 16, seed: int = 17, key: str =
 
 
 def read_shards(spark, path: str) -> DataFrame:
-    """The rows of ``write_shards`` with ``slot``, their place in the shard, gapless from 0."""
+    """The rows of ``write_shards`` with ``slot``, their place in the shard, gapless from 0.
+
+    The table of bucket starts is broadcast up to 100,000 buckets; the texts are not shuffled then.
+    """
     rows = spark.read.parquet(path).withColumn("shard", F.col("shard").cast("int"))
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("_n")).select(
         "shard", "bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return rows.join(starts, ["shard", "bucket"]).withColumn(
+    return rows.join(bounded(starts), ["shard", "bucket"]).withColumn(
         "slot", F.col("_start") + F.col("place")).drop("_start", "place", "bucket")
