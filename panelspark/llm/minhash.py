@@ -145,7 +145,9 @@ def star_jobs(members: DataFrame, percent: int) -> DataFrame:
     pairs = written(pairs, "star-pairs")
     sizes = pairs.groupBy("centre").agg(_chunks(F.count("*"), F.sum("n")).alias("chunks"))
     none = F.lit(0).alias("j3"), F.lit(0).alias("j4")
-    dealt = pairs.join(sizes, "centre").select(
+    # few centres have more than a chunk of members, so a hot one need not be shuffled to
+    large = bounded(written(sizes.where("chunks > 1"), "large-stars"))
+    dealt = pairs.join(large, "centre", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).select(
         F.col("centre").alias("j1"), F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("j2"), *none,
         F.lit(False).alias("left"), "id", F.col("id").alias("component"))
     heads = sizes.select(

@@ -45,8 +45,8 @@ def op10_url_filter(spark, sf_dir):
 
 @register()
 def op1_shards(spark, sf_dir):
-    written = shards.read_shards(spark, shards.write_shards(table(spark, sf_dir, "documents")))
-    return written.select(
+    docs = table(spark, sf_dir, "documents")
+    return shards.read_shards(docs, shards.write_shards(docs)).select(
         "doc_id", shards.size_of(F.col("text")).alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("key").alias("law"),
         "shard", "slot", shards.shard_of(F.col("doc_id"), 17, 17).alias("grown_shard"))

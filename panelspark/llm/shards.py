@@ -100,12 +100,13 @@ def write_shards(docs: DataFrame, n_shards: int = 16, seed: int = 17, key: str =
     return path
 
 
-def read_shards(spark, path: str) -> DataFrame:
-    """The rows of ``write_shards`` with ``slot``, their place in the shard, gapless from 0.
+def read_shards(docs: DataFrame, path: str) -> DataFrame:
+    """What ``write_shards`` made of ``docs``, which gives the schema here: the rows of ``write_shards`` with ``slot``, their place in the shard, gapless from 0.
 
     The table of bucket starts is broadcast up to 100,000 buckets; the texts are not shuffled then.
     """
-    rows = spark.read.parquet(path).withColumn("shard", F.col("shard").cast("int"))
+    written = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType() if c == "place" else T.IntegerType()) for c in ADDED)])
+    rows = docs.sparkSession.read.schema(written).parquet(path)
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("_n")).select(
         "shard", "bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
