@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.ranking import WINDOW_BYTES, counted, distribution, input_bytes
+from panelspark.functions.ranking import counted, distribution
 
 # Above this many columns rows are unfolded from an array instead of an expand node.
 MAX_UNPIVOT = 64
@@ -54,34 +54,23 @@ def _centred_rank(weight: str = "weight") -> Column:
     ) / F.col("total")
 
 
-def _joined_rank(
-    df: DataFrame, groups: list[str], y: str, weight: str | None, spread: bool | None
-) -> DataFrame:
+def _joined_rank(df: DataFrame, groups: list[str], y: str, weight: str | None) -> DataFrame:
     """Adds ``_ry``, the target's rank in its group, by joining the ranked distinct values.
 
-    Rows stay spread over all tasks however few groups there are.
+    Rows stay spread over all tasks however few groups there are. Few distinct values are
+    broadcast and frequent ones split by adaptive execution, which sees both sides' sizes.
     """
-    ranks = distribution(counted(df, groups, y, weight), groups, y, spread=spread).select(
+    ranks = distribution(counted(df, groups, y, weight), groups, y).select(
         *groups, y, _centred_rank().alias("_ry")
     )
     return df.join(ranks, [*groups, y], "left")
 
 
-def _windowed_rank(df: DataFrame, groups: list[str], y: str) -> DataFrame:
-    """The same with one shuffle by group, for small inputs with many groups."""
-    by_group = Window.partitionBy(*groups).orderBy(F.col(y).asc_nulls_last())
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*groups, y))
-    total = F.count(y).over(Window.partitionBy(*groups))
-    rank = (F.rank().over(by_group) + (ties - 1) / 2 - (total + 1) / 2) / total
-    return df.withColumn("_ry", F.when(F.col(y).isNotNull(), rank))
-
-
 def _rank_corr(
     cells: DataFrame,
     groups: list[str],
     x: str,
     weight: str | None,
-    spread: bool | None,
     out: str,
 ) -> DataFrame:
     """Rank correlation from cells (groups, x, _ry): collapse by value, rank, assemble."""
@@ -93,7 +82,7 @@ def _rank_corr(
         F.sum(F.when(~bad, w * F.col("_ry"))).alias("_sy"),
         F.sum(F.when(~bad, w * F.col("_ry") * F.col("_ry"))).alias("_syy"),
     )
-    dist = distribution(by_value, groups, x, spread=spread).withColumn("_rx", _centred_rank())
+    dist = distribution(by_value, groups, x).withColumn("_rx", _centred_rank())
     corr = F.try_divide(
         F.sum(F.col("_rx") * F.col("_sy")),
         F.sqrt(F.sum(F.col("weight") * F.col("_rx") * F.col("_rx")) * F.sum("_syy")),
@@ -112,7 +101,6 @@ def spearman(
     weight: str | None = None,
     out: str = "corr",
     omit: bool = False,
-    spread: bool | None = None,
 ) -> DataFrame:
     """Average-rank correlation per group, with row count ``n``.
 
@@ -123,13 +111,7 @@ def spearman(
     rows = df.select(*dict.fromkeys(keep))
     if omit:
         rows = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    if spread is None:
-        spread = input_bytes(rows) > WINDOW_BYTES
-    if spread or weight:
-        ranked = _joined_rank(rows, groups, y, weight, spread)
-    else:
-        ranked = _windowed_rank(rows, groups, y)
-    return _rank_corr(ranked, groups, x, weight, spread, out)
+    return _rank_corr(_joined_rank(rows, groups, y, weight), groups, x, weight, out)
 
 
 def spearman_features(
@@ -138,7 +120,6 @@ def spearman_features(
     features: list[str],
     y: str,
     out: str = "corr",
-    spread: bool | None = None,
 ) -> DataFrame:
     """``spearman`` of every feature with one target: (groups, feature, corr, n).
 
@@ -146,10 +127,8 @@ def spearman_features(
     feature value, which shrinks before the shuffle for coarse features.
     """
     rows = df.select(*dict.fromkeys([*groups, *features, y]))
-    if spread is None:
-        spread = input_bytes(rows) > WINDOW_BYTES
-    ranked = _joined_rank(rows, groups, y, None, spread)
+    ranked = _joined_rank(rows, groups, y, None)
     # shuffle keys carry the feature's position, not its name
     cells = _coded(ranked, [*groups, "_ry"], features, "_value")
-    corrs = _rank_corr(cells, [*groups, "_pos"], "_value", None, spread, out)
+    corrs = _rank_corr(cells, [*groups, "_pos"], "_value", None, out)
     return corrs.select(*groups, _named(features), out, "n")

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 # Up to this many columns the covariances are plain aggregates.
 MAX_AGGREGATED = 12
+# Numbers that a task holds before it hands them on, and numbers in a row that is shuffled.
+MAX_HELD = 1 << 23
+TILE = 1024
 
 
 def schema_of(df: DataFrame, names: list[str]) -> str:
@@ -19,8 +22,9 @@ def second_moments(df: DataFrame, columns: list[str], groups: list[str]) -> Data
     """(groups, n, mean array, cov array): population covariances, row by row.
 
     A missing value makes its column's covariances NaN. Few columns are aggregated
-    directly. For many, tasks add up shifted products of their own rows, so a group may
-    be larger than any task and only matrices are shuffled.
+    directly. For many, tasks add up shifted products of their own rows and hand them on in
+    tiles whenever they hold too many groups. So a group may be larger than any task, and only
+    tiles are shuffled.
     """
     if len(columns) <= MAX_AGGREGATED:
         gaps = {c: F.count(c) < F.count(F.lit(1)) for c in columns}
@@ -46,6 +50,13 @@ def _by_task(df: DataFrame, columns: list[str], groups: list[str]) -> DataFrame:
     shift = np.array([row[i] or 0.0 for i in range(p)])
     group_schema = schema_of(df, groups)
 
+    def tiles(held):
+        """A group's sums as one line of numbers (n, sums, products), cut into tiles."""
+        for key, (n, s, q) in held.items():
+            line = np.concatenate([[float(n)], s, q.ravel()])
+            rows = [(*key, at // TILE, line[at : at + TILE].tolist()) for at in range(0, len(line), TILE)]
+            yield pd.DataFrame(rows, columns=[*groups, "tile", "v"])
+
     def partial(batches):
         held: dict = {}
         for batch in batches:
@@ -53,35 +64,27 @@ def _by_task(df: DataFrame, columns: list[str], groups: list[str]) -> DataFrame:
                 x = part[columns].to_numpy(dtype=np.float64) - shift
                 n, s, q = held.get(key, (0, 0.0, 0.0))
                 held[key] = (n + len(x), s + x.sum(axis=0), q + x.T @ x)
-        rows = [(*k, n, s.tolist(), q.ravel().tolist()) for k, (n, s, q) in held.items()]
-        if rows:
-            yield pd.DataFrame(rows, columns=[*groups, "n", "s", "q"])
-
-    parts = df.select(*groups, *[F.col(c).cast("double").alias(c) for c in columns]).mapInPandas(
-        partial, f"{group_schema}, n long, s array<double>, q array<double>"
-    )
-
-    # sums and products travel as one array, so the rows are read once
-    flat = F.concat(F.array(F.col("n").cast("double")), "s", "q")
-    sums = (
-        parts.select(*groups, F.posexplode(flat).alias("at", "v"))
-        .groupBy(*groups, "at")
-        .agg(F.sum("v").alias("v"))
-        .groupBy(*groups)
-        .agg(F.array_sort(F.collect_list(F.struct("at", "v")))["v"].alias("flat"))
+                if len(held) * (p + 1) ** 2 > MAX_HELD:
+                    yield from tiles(held)
+                    held = {}
+        yield from tiles(held)
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf.iloc[:1].copy()
+        out["v"] = [np.sum(np.stack(pdf["v"].to_list()), axis=0).tolist()]
+        return out
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        line = np.concatenate(pdf.sort_values("tile")["v"].to_list())
+        n, s, q = line[0], line[1 : p + 1], line[p + 1 :].reshape(p, p)
+        out = pdf[groups].iloc[:1].copy()
+        out["n"], out["mean"] = int(n), [(s / n + shift).tolist()]
+        out["cov"] = [(q / n - np.outer(s / n, s / n)).ravel().tolist()]
+        return out
+
+    cells = df.select(*groups, *[F.col(c).cast("double").alias(c) for c in columns])
+    tiled = f"{group_schema}, tile int, v array<double>"
+    sums = cells.mapInPandas(partial, tiled).groupBy(*groups, "tile").applyInPandas(total, tiled)
+    return sums.groupBy(*groups).applyInPandas(
+        finish, f"{group_schema}, n long, mean array<double>, cov array<double>"
     )
-
-    def finish(batches):
-        for batch in batches:
-            out = batch[groups].copy()
-            ns, means, covs = [], [], []
-            for flat in batch["flat"]:
-                flat = np.asarray(flat, dtype=np.float64)
-                n, s, q = flat[0], flat[1 : p + 1], flat[p + 1 :].reshape(p, p)
-                ns.append(int(n))
-                means.append((s / n + shift).tolist())
-                covs.append((q / n - np.outer(s / n, s / n)).ravel().tolist())
-            out["n"], out["mean"], out["cov"] = ns, means, covs
-            yield out
-
-    return sums.mapInPandas(finish, f"{group_schema}, n long, mean array<double>, cov array<double>")

@@ -7,78 +7,23 @@ from pyspark.sql import functions as F
 
 from panelspark.session import bounded, written
 
-# Inputs below this size are ranked with one window per group.
-WINDOW_BYTES = 1 << 30
-# Distinct values per bucket, on average, when a group is spread.
-BUCKET_VALUES = 1 << 20
-MAX_EDGES = 1 << 20
-MAX_EDGE_BITS = 24
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Bytes read by the scans of a plan, from the optimizer's statistics (no job)."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size()))
-
-
-def _bucket_of(value: Column, edges: Column) -> Column:
-    """Number of edges below ``value``: a binary search with as many steps as the array needs."""
-    powers = F.array(*[F.lit(1 << p) for p in range(MAX_EDGE_BITS, -1, -1)])
-    bits = F.length(F.bin(F.size(edges))).cast("int")
-    found = F.aggregate(
-        F.slice(powers, MAX_EDGE_BITS + 2 - bits, bits),
-        F.lit(0),
-        lambda at, step: F.when(
-            (at + step <= F.size(edges)) & (F.try_element_at(edges, at + step) < value), at + step
-        ).otherwise(at),
-    )
-    return F.coalesce(F.when(edges.isNotNull(), found), F.lit(0))
+# Leading bits of a draw that the histograms of samples and splits count.
+SLOT_BITS = 16
+DRAW_BITS = 60
 
 
 def distribution(
-    values: DataFrame,
-    groups: list[str],
-    value: str,
-    weight: str = "weight",
-    spread: bool | None = None,
-    bucket_values: int = BUCKET_VALUES,
+    values: DataFrame, groups: list[str], value: str, weight: str = "weight"
 ) -> DataFrame:
     """Adds ``below`` (weight of smaller values) and ``total`` (weight of the group).
 
-    ``values`` holds one row per (group, value). Small inputs use one window per
-    group. Otherwise each group is cut into value ranges at edges taken from a
-    hash-chosen share of its distinct values, so that a group holding most rows is
-    ranked by many tasks. The edges only steer the work; ranks are exact for any. The
-    values are written once to the shared folder, as edges, offsets and ranks read them.
+    ``values`` holds one row per (group, value). They are written once, cut into ranges of
+    (group, value); as these pairs are unique, no range is much larger than another, however
+    much one group holds. Ranks are running sums inside a range, plus the sums of the group's
+    earlier ranges.
     """
-    if spread is None:
-        size = input_bytes(values)
-        spread = size > WINDOW_BYTES
-        bucket_values = max(bucket_values, size // 8 // MAX_EDGES)
-    if not spread:
-        w = Window.partitionBy(*groups).orderBy(value)
-        return values.withColumns(
-            {
-                "below": F.coalesce(
-                    F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-                ),
-                "total": F.sum(weight).over(
-                    w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-                ),
-            }
-        )
-    values = written(values, "values")
-    # About one edge per bucket_values distinct values, hence at most about MAX_EDGES in all.
-    edges = (
-        values.where(F.pmod(F.xxhash64(*groups, value), F.lit(bucket_values)) == 0)
-        .groupBy(*groups)
-        .agg(F.array_sort(F.collect_set(value)).alias("_edges"))
-    )
-    placed = (
-        values.join(F.broadcast(edges), groups, "left")
-        .withColumn("_bucket", _bucket_of(F.col(value), F.col("_edges")))
-        .drop("_edges")
-    )
+    ranged = values.repartitionByRange(*groups, value).withColumn("_bucket", F.spark_partition_id())
+    placed = written(ranged, "values")
     by_group = Window.partitionBy(*groups).orderBy("_bucket")
     offsets = (
         placed.groupBy(*groups, "_bucket")
@@ -95,13 +40,9 @@ def distribution(
         )
     )
     inside = Window.partitionBy(*groups, "_bucket").orderBy(value)
+    before = F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1))
     return (
-        placed.withColumn(
-            "_before",
-            F.coalesce(
-                F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ),
-        )
+        placed.withColumn("_before", F.coalesce(before, F.lit(0)))
         .join(offsets, [*groups, "_bucket"])
         .withColumn("below", F.col("_before") + F.col("_offset"))
         .drop("_before", "_offset", "_bucket")
@@ -120,10 +61,9 @@ def exact_median(
     value: str,
     out: str = "median",
     weight: str | None = None,
-    spread: bool | None = None,
 ) -> DataFrame:
     """Exact (weighted by row count) median per group; never holds a group in memory."""
-    dist = distribution(counted(df, groups, value, weight), groups, value, spread=spread)
+    dist = distribution(counted(df, groups, value, weight), groups, value)
     end = F.col("below") + F.col("weight")
     low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
     has_low = (F.col("below") <= low) & (low < end)
@@ -163,36 +103,59 @@ def top_rows(
     )
 
 
-def smallest_draws(
-    df: DataFrame, groups: list[str], draw: Column, n: int, prefilter: bool | None = None
-) -> DataFrame:
-    """Exactly the ``n`` rows with the smallest draw per group (all rows of smaller groups).
+def draw_of(keys: list[Column], seed: int) -> Column:
+    """A repeatable random number of DRAW_BITS bits from a row's keys; equal keys draw alike.
 
-    ``draw`` is a 64-bit hash. On large inputs a histogram of its leading bits, combined
-    before the shuffle, first tells which rows can be among them; only those are ranked.
+    It is the head of an MD5 digest, so that other engines can draw the same.
     """
-    if prefilter is None:
-        prefilter = input_bytes(df) > WINDOW_BYTES
-    drawn = df.withColumn("_draw", draw.bitwiseAND(F.lit((1 << 63) - 1)))
-    if prefilter:
-        drawn = drawn.withColumn("_slot", F.shiftright("_draw", 47))
-        earlier = Window.partitionBy(*groups).orderBy("_slot")
-        cuts = (
-            drawn.groupBy(*groups, "_slot")
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .withColumn(
-                "_below",
-                F.coalesce(
-                    F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-                ),
-            )
-            .where(F.col("_below") < n)
-            .groupBy(*groups)
-            .agg(F.max("_slot").alias("_last"))
-        )
-        drawn = (
-            drawn.join(bounded(cuts), groups)
-            .where(F.col("_slot") <= F.col("_last"))
-            .drop("_slot", "_last")
-        )
-    return top_rows(drawn, groups, [F.col("_draw")], n).drop("_draw")
+    texts = [F.coalesce(k.cast("string"), F.lit("")) for k in keys]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *texts).cast("binary"))
+    return F.conv(F.substring(digest, 1, DRAW_BITS // 4), 16, 10).cast("long")
+
+
+def _slots(drawn: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, _slot, _n, _below, _total): a histogram of the draws' leading bits."""
+    earlier = Window.partitionBy(*groups).orderBy("_slot")
+    whole = earlier.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return drawn.groupBy(*groups, "_slot").agg(F.count(F.lit(1)).alias("_n")).withColumns(
+        {
+            "_below": F.coalesce(
+                F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+            ),
+            "_total": F.sum("_n").over(whole),
+        }
+    )
+
+
+def cut_by_draw(df: DataFrame, groups: list[str], draw: Column, quota: Column) -> DataFrame:
+    """Adds ``_chosen``: the ``quota`` rows with the smallest draws of each group, exactly.
+
+    ``quota`` may use ``_total``, the group's size. A histogram, combined before the shuffle,
+    finds the one slot of each group that the quota cuts; only its rows are ordered, ties by
+    a hash of all columns. Every other row is decided by its slot.
+    """
+    columns = df.columns
+    shift = DRAW_BITS - SLOT_BITS
+    drawn = df.withColumn("_draw", draw).withColumn("_slot", F.shiftright("_draw", shift))
+    cuts = (
+        _slots(drawn, groups)
+        .withColumn("_quota", quota.cast("long"))
+        .where((F.col("_below") <= F.col("_quota")) & (F.col("_quota") < F.col("_below") + F.col("_n")))
+        .select(*groups, F.col("_slot").alias("_cut"), (F.col("_quota") - F.col("_below")).alias("_left"))
+    )
+    # a group whose quota is its size has no cut slot: all its rows are chosen
+    marked = drawn.join(bounded(cuts), groups, "left")
+    order = Window.partitionBy(*groups).orderBy("_draw", F.xxhash64(*columns))
+    edge = marked.where(F.col("_slot") == F.col("_cut")).withColumn(
+        "_chosen", F.row_number().over(order) <= F.col("_left")
+    )
+    rest = marked.where(F.col("_cut").isNull() | (F.col("_slot") != F.col("_cut"))).withColumn(
+        "_chosen", F.col("_cut").isNull() | (F.col("_slot") < F.col("_cut"))
+    )
+    return rest.select(*columns, "_chosen").unionByName(edge.select(*columns, "_chosen"))
+
+
+def smallest_draws(df: DataFrame, groups: list[str], draw: Column, n: int) -> DataFrame:
+    """Exactly the ``n`` rows with the smallest draw per group (all rows of smaller groups)."""
+    chosen = cut_by_draw(df, groups, draw, F.least(F.lit(n), F.col("_total")))
+    return chosen.where("_chosen").drop("_chosen")

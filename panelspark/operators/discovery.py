@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from itertools import combinations
 
 import numpy as np
@@ -15,8 +14,8 @@ from panelspark.functions.correlation import pearson_of, to_long
 from panelspark.functions.moments import schema_of, second_moments
 from panelspark.functions.ranking import exact_median
 from panelspark.operators.metrics import CONSTANT_TOLERANCE, MAD_TO_STD, SHARPE_EPS
-from panelspark.operators.splits import sample_per_era, train_test_split
-from panelspark.session import bounded
+from panelspark.operators.splits import train_test_split
+from panelspark.session import bounded, written
 from panelspark.sources.panel import era_index
 
 # Weights of enumerated blends, sizes of drawn blends, limits of the search.
@@ -25,16 +24,17 @@ DRAWN_SIZES, DIRICHLET = (3, 5, 8, 12, 15), 0.5
 FOCUS_RANGE = (0.5, 0.8)
 MAX_ENUMERATED_TARGETS, MAX_COMBINATIONS = 10, 200
 MIN_ERA_ROWS, MIN_HISTORY_ROWS = 100, 1000
-SAMPLE_PER_ERA, PRESCREEN_SAMPLE, TRAIN_SHARE = 2000, 1000, 0.7
+TRAIN_SHARE = 0.7
 BAD_CONDITION, BAD_EIGENVALUE, EIGENVALUE_FLOOR = 1e12, 1e-6, 1e-10
 TOP_FEATURES, REFINE_TOP = 80, 3
 KEEP_AT_LEAST, KEEP_SHARE = 15, 5
 
 
-def blends(n_targets: int, limit: int = MAX_COMBINATIONS, seed: int = 42) -> np.ndarray:
+def blends(n_targets: int, limit: int | None = None, seed: int = 42) -> np.ndarray:
     """Candidate weight vectors: singles, equal, then enumerated or drawn blends.
 
-    When there are more than ``limit``, singles and equal are kept first.
+    All singles and the equal blend are always there, unless the caller's ``limit`` keeps only
+    the first blends; more are drawn up to ``limit``, or MAX_COMBINATIONS.
     """
     def vector(places, weights):
         v = np.zeros(n_targets)
@@ -48,7 +48,7 @@ def blends(n_targets: int, limit: int = MAX_COMBINATIONS, seed: int = 42) -> np.
             found += [vector(c, weights) for c in combinations(range(n_targets), len(weights))]
     else:
         rng = np.random.default_rng(seed)
-        room = max(0, limit - len(found))
+        room = max(0, (limit or MAX_COMBINATIONS) - len(found))
         plan = [s for s in DRAWN_SIZES if s <= n_targets for _ in range(min(10, room // 4))]
         for size in plan:
             places = rng.choice(n_targets, size, replace=False)
@@ -63,7 +63,7 @@ def blends(n_targets: int, limit: int = MAX_COMBINATIONS, seed: int = 42) -> np.
 
 
 def target_combinations(
-    spark: SparkSession, n_targets: int, limit: int = MAX_COMBINATIONS, seed: int = 42
+    spark: SparkSession, n_targets: int, limit: int | None = None, seed: int = 42
 ) -> DataFrame:
     rows = [(i, [float(x) for x in w]) for i, w in enumerate(blends(n_targets, limit, seed))]
     return spark.createDataFrame(rows, "combo_id int, weights array<double>")
@@ -120,20 +120,68 @@ MOMENTS = (
 )
 
 
-def _filled(a: np.ndarray) -> np.ndarray:
-    """Column medians for missing values, 0 for columns without any."""
-    out = a.copy()
-    for j in range(a.shape[1]):
-        gap = np.isnan(a[:, j])
-        if gap.any():
-            out[gap, j] = 0.0 if gap.all() else np.median(a[~gap, j])
-    return out
+def _clean(
+    df: DataFrame, features: list[str], targets: list[str], keys: list[str] | None, era: str
+) -> DataFrame:
+    names = dict.fromkeys([*features, *targets])
+    spare = [c for c in keys or [] if c not in names and c != era]
+    return df.select(era, *spare, *[expr.finite(F.col(c)).alias(c) for c in names])
+
+
+def _median_filled(rows: DataFrame, columns: list[str], era: str) -> DataFrame:
+    """Era medians for missing values, 0 in eras without any; columns without gaps are left alone."""
+    gaps = rows.agg(*[F.max(F.col(c).isNull()).alias(c) for c in columns]).first()
+    missing = [c for c in columns if gaps[c]]
+    if not missing:
+        return rows
+    cells = to_long(rows, [era], missing).where(F.col("value").isNotNull())
+    middle = exact_median(cells, [era, "feature"], "value", "_m")
+    wide = middle.groupBy(era).pivot("feature", missing).agg(F.first("_m"))
+    wide = wide.select(F.col(era).alias("_era"), *[F.col(c).alias(f"_m{i}") for i, c in enumerate(missing)])
+    filled = {c: F.coalesce(c, f"_m{i}", F.lit(0.0)) for i, c in enumerate(missing)}
+    return rows.join(wide, F.col(era).eqNullSafe(F.col("_era")), "left").withColumns(filled).select(*rows.columns)
+
+
+def split_moments(
+    rows: DataFrame,
+    features: list[str],
+    targets: list[str],
+    seed: int,
+    keys: list[str] | None = None,
+    era: str = "era",
+) -> DataFrame:
+    """(era, n, mean, cov) of all train rows of an era, and the same of its test rows.
 
+    Fits and held-out scores follow from these, so no row is left out and no era
+    has to fit in a task.
+    """
+    split = train_test_split(rows, TRAIN_SHARE, seed, keys, era)
+    moments = second_moments(split, [*features, *targets], [era, "is_train"])
+    part = F.struct("n", "mean", "cov")
+    sides = moments.groupBy(era).agg(
+        F.any_value(F.when(F.col("is_train"), part), True).alias("a"),
+        F.any_value(F.when(~F.col("is_train"), part), True).alias("b"),
+    )
+    fields = [F.col(f"{side}.{x}").alias(f"{x}_{side}") for side in "ab" for x in ("n", "mean", "cov")]
+    enough = F.col("n_a") + F.col("n_b") >= MIN_ERA_ROWS
+    return sides.select(era, *fields).where(enough)
 
-def _split(n: int, key: str, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.random.default_rng([seed, zlib.crc32(str(key).encode())]).permutation(n)
-    cut = int(n * TRAIN_SHARE)
-    return order[:cut], order[cut:]
+
+def _blocks(row, p: int) -> list[tuple]:
+    """(n, mean, cov xx, cov xy, cov yy) of the train and of the test side."""
+    found = []
+    for side in "ab":
+        mean = np.asarray(row[f"mean_{side}"], dtype=np.float64)
+        cov = np.asarray(row[f"cov_{side}"], dtype=np.float64).reshape(len(mean), -1)
+        found.append((int(row[f"n_{side}"]), mean, cov[:p, :p], cov[:p, p:], cov[p:, p:]))
+    return found
+
+
+def _solved(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
+    try:
+        return np.linalg.solve(gram, right)
+    except np.linalg.LinAlgError:
+        return np.linalg.pinv(gram) @ right
 
 
 def era_ridge_moments(
@@ -141,71 +189,45 @@ def era_ridge_moments(
     features: list[str],
     targets: list[str],
     ridge_lambda: float = 1.0,
-    sample: int = SAMPLE_PER_ERA,
     feature_fraction: float = 1.0,
     skip_degenerate: bool = False,
     seed: int = 42,
+    keys: list[str] | None = None,
     era: str = "era",
 ) -> DataFrame:
     """Per era: one ridge fit for all targets, as second moments of its held-out predictions.
 
-    ``sample`` bounds the rows of an era, so a group always fits in a task. Any blend of
-    targets is later scored from these moments without touching rows again.
+    Fitted on 70% of an era's rows, scored on the others, all through second moments. Any
+    blend of targets is later scored from the result without touching rows again.
     """
     if 0 < feature_fraction < 1:
         rng = np.random.default_rng(seed)
         k = max(1, int(len(features) * feature_fraction))
         features = [features[i] for i in sorted(rng.choice(len(features), k, replace=False))]
-    rows = df.select(
-        era, *[expr.finite(F.col(c)).alias(c) for c in dict.fromkeys([*features, *targets])]
-    )
+    rows = _clean(df, features, targets, keys, era)
     if skip_degenerate:
         rows = rows.join(bounded(degenerate_eras(rows, targets, era=era)), era, "left_anti")
-    drawn = sample_per_era(rows, sample, seed, era=era).withColumn(
-        "_draw", F.xxhash64(F.lit(seed), *rows.columns)
-    )
-    era_type = dict(df.dtypes)[era]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf[era].iloc[0]
-        columns = [era, *[c.split()[0] for c in MOMENTS.split(", ")]]
-        if len(pdf) < MIN_ERA_ROWS:
-            return pd.DataFrame([], columns=columns)
-        pdf = pdf.sort_values("_draw", kind="stable")
-        x = _filled(pdf[features].to_numpy(dtype=np.float64))
-        y = _filled(pdf[targets].to_numpy(dtype=np.float64))
-        train, test = _split(len(x), key, seed)
-        xm, ym = x[train].mean(axis=0), y[train].mean(axis=0)
-        xc, yc = x[train] - xm, y[train] - ym
-        with np.errstate(divide="ignore", invalid="ignore"):
-            c = np.atleast_2d(np.corrcoef(x[train], rowvar=False))
-        condition, smallest = condition_of(c)
-        lam = ridge_lambda * (10.0 if condition > BAD_CONDITION or smallest < BAD_EIGENVALUE else 1.0)
-        gram = xc.T @ xc + lam * np.eye(x.shape[1])
-        try:
-            beta = np.linalg.solve(gram, xc.T @ yc)
-        except np.linalg.LinAlgError:
-            beta = np.linalg.pinv(gram) @ (xc.T @ yc)
-        p = (x[test] - xm) @ beta + ym
-        both = np.concatenate([p, y[test]], axis=1)
-        cov = np.cov(both, rowvar=False, bias=True)
-        t = len(targets)
-        return pd.DataFrame(
-            [
-                (
-                    key,
-                    len(test),
-                    cov[:t, :t].ravel().tolist(),
-                    cov[t:, t:].ravel().tolist(),
-                    cov[:t, t:].ravel().tolist(),
-                    condition,
-                    smallest,
-                )
-            ],
-            columns=columns,
-        )
+    rows = _median_filled(rows, list(dict.fromkeys([*features, *targets])), era)
+    p, names = len(features), [era, *[c.split()[0] for c in MOMENTS.split(", ")]]
 
-    return drawn.groupBy(era).applyInPandas(fit, f"{era} {era_type}, {MOMENTS}")
+    def fit(batches):
+        for batch in batches:
+            out = []
+            for _, row in batch.iterrows():
+                (n, _, xx, xy, _), (n_test, _, test_xx, test_xy, test_yy) = _blocks(row, p)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    d = np.sqrt(np.diag(xx))
+                    condition, smallest = condition_of(xx / np.outer(d, d))
+                worse = condition > BAD_CONDITION or smallest < BAD_EIGENVALUE
+                lam = ridge_lambda * (10.0 if worse else 1.0)
+                beta = _solved(n * xx + lam * np.eye(p), n * xy)
+                blocks = (beta.T @ test_xx @ beta, test_yy, beta.T @ test_xy)
+                out.append((row[era], n_test, *[b.ravel().tolist() for b in blocks], condition, smallest))
+            yield pd.DataFrame(out, columns=names)
+
+    return split_moments(rows, features, targets, seed, keys, era).mapInPandas(
+        fit, f"{schema_of(df, [era])}, {MOMENTS}"
+    )
 
 
 def basis_moments(
@@ -335,45 +357,44 @@ def ridge_prescreen(
     top_k: int = TOP_FEATURES,
     alpha: float = 1.0,
     seed: int = 42,
+    keys: list[str] | None = None,
     era: str = "era",
 ) -> DataFrame:
     """(combo_id, score): mean absolute held-out correlation of a small ridge per era.
 
-    Each era is a bounded sample; one task scores all blends on it.
+    For each blend the features that correlate best with it are standardised and fitted, from
+    the second moments of all rows.
     """
-    rows = df.select(
-        era, *[expr.finite(F.col(c)).alias(c) for c in dict.fromkeys([*features, *targets])]
-    ).na.fill(0.0)
-    drawn = sample_per_era(rows, PRESCREEN_SAMPLE, seed, era=era).withColumn(
-        "_draw", F.xxhash64(F.lit(seed), *rows.columns)
-    )
+    rows = _clean(df, features, targets, keys, era).na.fill(0.0, list(dict.fromkeys([*features, *targets])))
+    p = len(features)
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(pdf) >= MIN_ERA_ROWS:
-            pdf = pdf.sort_values("_draw", kind="stable")
-            x = pdf[features].to_numpy(dtype=np.float64)
-            t = pdf[targets].to_numpy(dtype=np.float64)
-            train, test = _split(len(x), pdf[era].iloc[0], seed)
-            xs = x.std(axis=0)
-            xz = np.divide(x - x.mean(axis=0), xs, out=np.zeros_like(x), where=xs > 0)
-            for c, w in enumerate(combos):
-                y = t @ w
-                if y.std() < 1e-8:
-                    continue
-                r = np.abs(xz.T @ (y - y.mean())) / (len(y) * y.std())
-                best = np.argsort(-r, kind="stable")[:top_k]
-                mean, std = x[train][:, best].mean(axis=0), x[train][:, best].std(axis=0)
-                std = np.where(std > 0, std, 1.0)
-                a, b = (x[train][:, best] - mean) / std, (x[test][:, best] - mean) / std
-                ym = y[train].mean()
-                beta = np.linalg.solve(a.T @ a + alpha * np.eye(a.shape[1]), a.T @ (y[train] - ym))
-                pred = b @ beta + ym
-                if pred.std() >= 1e-8 and y[test].std() >= 1e-8:
-                    found.append((c, abs(float(np.corrcoef(pred, y[test])[0, 1]))))
-        return pd.DataFrame(found, columns=["combo_id", "score"])
-
-    per_era = drawn.groupBy(era).applyInPandas(score, "combo_id int, score double")
+    def score(batches):
+        for batch in batches:
+            found = []
+            for _, row in batch.iterrows():
+                train, test = _blocks(row, p)
+                (n, mean, xx, xy, yy), (m, mean_b, test_xx, test_xy, test_yy) = train, test
+                gap = np.outer(mean - mean_b, mean - mean_b) * (n * m / (n + m) ** 2)
+                whole = [(n * u + m * v) / (n + m) for u, v in zip(train[2:], test[2:])]
+                sx = np.sqrt(np.diag(whole[0] + gap[:p, :p]))
+                for c, w in enumerate(combos):
+                    sy = np.sqrt(max(0.0, w @ (whole[2] + gap[p:, p:]) @ w))
+                    if sy < 1e-8:
+                        continue
+                    r = np.divide(np.abs((whole[1] + gap[:p, p:]) @ w), sx * sy, out=np.zeros(p), where=sx > 0)
+                    best = np.argsort(-r, kind="stable")[:top_k]
+                    d = np.sqrt(np.diag(xx)[best])
+                    d = np.where(d > 0, d, 1.0)
+                    gram = n * xx[np.ix_(best, best)] / np.outer(d, d) + alpha * np.eye(len(best))
+                    beta = _solved(gram, n * (xy[best] @ w) / d) / d
+                    spread = np.sqrt(max(0.0, beta @ test_xx[np.ix_(best, best)] @ beta))
+                    held = np.sqrt(max(0.0, w @ test_yy @ w))
+                    if spread >= 1e-8 and held >= 1e-8:
+                        found.append((c, float(abs(beta @ test_xy[best] @ w) / (spread * held))))
+            yield pd.DataFrame(found, columns=["combo_id", "score"])
+
+    moments = split_moments(rows, features, targets, seed, keys, era)
+    per_era = moments.mapInPandas(score, "combo_id int, score double")
     enough = rows.select(F.count_distinct(era).alias("n")).scalar() >= 3
     every = df.sparkSession.range(len(combos)).select(F.col("id").cast("int").alias("combo_id"))
     means = per_era.groupBy("combo_id").agg(F.avg("score").alias("score"))
@@ -441,7 +462,7 @@ def walk_forward_weights(
     targets: list[str],
     history: int = 50,
     warmup: int = 20,
-    limit: int = MAX_COMBINATIONS,
+    limit: int | None = None,
     seed: int = 42,
     era: str = "era",
     **ridge,
@@ -471,8 +492,8 @@ def refine_top_k(
     rows = df.select(
         era, *[expr.finite(F.col(c)).alias(c) for c in dict.fromkeys([*features, *targets])]
     ).na.fill(0.0)
-    split = train_test_split(sample_per_era(rows, PRESCREEN_SAMPLE, seed, era=era), TRAIN_SHARE, seed, era=era)
-    vectors = VectorAssembler(inputCols=features, outputCol="x").transform(split).cache()
+    split = written(train_test_split(rows, TRAIN_SHARE, seed, era=era), "split")
+    vectors = VectorAssembler(inputCols=features, outputCol="x").transform(split)
     scored = None
     for r in best:
         y = expr.plain_dot([F.col(t) for t in targets], F.array(*[F.lit(v) for v in r["weights"]]))

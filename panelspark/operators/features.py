@@ -9,7 +9,7 @@ from panelspark.functions import expr
 from panelspark.functions.correlation import spearman_features, to_long
 from panelspark.functions.ranking import exact_median
 from panelspark.operators.stability import pairs_of, ratio_of
-from panelspark.session import bounded
+from panelspark.session import all_rows, bounded, written
 
 # Name patterns, guards and caps of the engineered columns.
 PATH_NAME = "path_{i:02d}_{a}x{b}"
@@ -25,9 +25,9 @@ STD_FLOOR = 1e-12
 
 
 def _edges(relationships) -> list:
-    """Edge rows in order; accepts a table (bounded by its top-k) or a list of rows."""
+    """Edge rows in order; accepts a small table or a list of rows."""
     if isinstance(relationships, DataFrame):
-        relationships = relationships.limit(10_000).collect()
+        relationships = all_rows(relationships)
     return [r.asDict() if hasattr(r, "asDict") else dict(r) for r in relationships]
 
 
@@ -60,7 +60,7 @@ def yolo_features(df: DataFrame, relationships) -> DataFrame:
     return df.withColumns(made) if made else df
 
 
-def math_features(df: DataFrame, base: list[str], max_pairs: int = 50) -> DataFrame:
+def math_features(df: DataFrame, base: list[str], max_pairs: int | None = None) -> DataFrame:
     """Ratio (when over 80% valid) and difference of each ordered pair of base features."""
     pairs = pairs_of(base, max_pairs)
     if not pairs:
@@ -188,7 +188,8 @@ def k_center_prototypes(
 ) -> DataFrame:
     """Farthest-first selection: (pos, key, distance when chosen).
 
-    ``k`` passes, each a max over all rows; only the chosen vectors reach the driver.
+    Each of the ``k`` passes works out one distance a row and writes the smallest so far, with
+    the vectors, for the next; only the chosen vectors reach the driver.
     """
     rows = df.select(key, vector)
     if start is not None:
@@ -198,30 +199,21 @@ def k_center_prototypes(
     if first is None:
         raise ValueError("no starting row")
     chosen = [(0, first[0], 0.0)]
-    centres = [[float(x) for x in first[1]]]
-    while len(centres) < k:
-        gaps = [
-            F.sqrt(
-                F.aggregate(
-                    F.zip_with(
-                        vector, F.array(*[F.lit(x) for x in c]), lambda a, b: (a - b) * (a - b)
-                    ),
-                    F.lit(0.0),
-                    lambda s, d: s + d,
-                )
-            )
-            for c in centres
-        ]
-        nearest = F.least(*gaps) if len(gaps) > 1 else gaps[0]
-        far = (
-            df.select(key, vector, nearest.alias("_d"))
-            .agg(F.max_by(F.struct(key, vector, "_d"), F.struct("_d", -F.col(key))).alias("r"))
-            .first()["r"]
+    centre = [float(x) for x in first[1]]
+    near = rows.withColumn("_d", F.lit(float("inf")))
+    while len(chosen) < k:
+        squares = F.zip_with(
+            vector, F.array(*[F.lit(x) for x in centre]), lambda a, b: (a - b) * (a - b)
         )
+        gap = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, d: s + d))
+        near = written(near.withColumn("_d", F.least("_d", gap)), "nearest")
+        far = near.agg(
+            F.max_by(F.struct(key, vector, "_d"), F.struct("_d", -F.col(key))).alias("r")
+        ).first()["r"]
         if far is None or far["_d"] <= 0.0:
             break
         chosen.append((len(chosen), far[key], float(far["_d"])))
-        centres.append([float(x) for x in far[vector]])
+        centre = [float(x) for x in far[vector]]
     return df.sparkSession.createDataFrame(chosen, f"pos int, {key} long, distance double")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.expr import finite
+from panelspark.session import all_rows
 
 # Closeness used when a motif is matched, and the column name pattern.
 REL_TOL, ABS_TOL = 1e-5, 1e-8
@@ -74,7 +75,7 @@ def top_motifs(
 
 def motif_flags(df: DataFrame, motifs, limit: int | None = None) -> DataFrame:
     """One 0/1 column per motif whose features all exist."""
-    rows = motifs.limit(10_000).collect() if isinstance(motifs, DataFrame) else list(motifs)
+    rows = all_rows(motifs) if isinstance(motifs, DataFrame) else list(motifs)
     made = {}
     for i, m in enumerate(rows[:limit]):
         names, values = list(m["motif_features"]), list(m["motif_values"])

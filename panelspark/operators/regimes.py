@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import expr
-from panelspark.functions.ranking import exact_median, smallest_draws
+from panelspark.functions.ranking import draw_of, exact_median, smallest_draws
 from panelspark.session import bounded
 
 
@@ -35,7 +35,7 @@ def join_indicator(
         raise ValueError("fill must be None or 'median'")
     sizes = df.groupBy(era).agg(F.count(F.lit(1)).alias("n")).join(small, era)
     middle = exact_median(
-        sizes.withColumn("_all", F.lit("all")), ["_all"], "vix", weight="n", spread=False
+        sizes.withColumn("_all", F.lit("all")), ["_all"], "vix", weight="n"
     )
     return out.withColumn("vix", F.coalesce("vix", middle.select("median").scalar()))
 
@@ -151,15 +151,15 @@ def purge_regimes(
     low: float = expr.LOW_LEVEL,
     high: float = expr.HIGH_LEVEL,
     era_lists: dict[str, list[str]] | None = None,
-    sample_size: int = 5000,
+    sample_size: int | None = None,
     seed: int = 42,
     era: str = "era",
 ) -> DataFrame:
     """Rows with the regime they are tested in.
 
     With an indicator column: three levels, missing values in transition, and no
-    normal rows are left. Otherwise by named era lists, plus a bounded repeatable
-    sample of the remaining rows as ``normal_periods``. An era in two lists counts
+    normal rows are left. Otherwise by named era lists, plus the remaining rows, or
+    a repeatable sample of them, as ``normal_periods``. An era in two lists counts
     in both.
     """
     if "vix" in df.columns:
@@ -186,4 +186,4 @@ def normal_periods(
     rest = rest.withColumn("regime", F.lit("normal_periods"))
     if sample_size is None:
         return rest
-    return smallest_draws(rest, ["regime"], F.xxhash64(F.lit(seed), *df.columns), sample_size)
+    return smallest_draws(rest, ["regime"], draw_of([F.col(c) for c in df.columns], seed), sample_size)

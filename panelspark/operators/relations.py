@@ -148,18 +148,18 @@ def mine_relationships(
     target: str,
     n_paths: int = NORMAL["n_paths"],
     max_length: int = NORMAL["max_length"],
-    cap: int = NORMAL["cap"],
+    cap: int | None = None,
     batches: int = 4,
     seed: int = 42,
 ) -> Mined:
     """Learns edge strengths in a few rounds over hash-chosen parts of the rows.
 
     Within a round the strengths are fixed, so rows are walked independently and
-    only summed successes come back: at most cap x cap numbers per round. Path
+    only summed successes come back: one number for each pair of features a round. Path
     memory stays a table. All draws are hashes of the row, so the result does not
     depend on the number of partitions.
     """
-    features = features[:cap]
+    features = features if cap is None else features[:cap]
     n = len(features)
     x = F.array(*[F.coalesce(finite(F.col(f)), F.lit(float("nan"))) for f in features])
     y = F.coalesce(finite(F.col(target)), F.lit(float("nan")))

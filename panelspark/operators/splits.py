@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.ranking import counted, distribution, smallest_draws
+from panelspark.functions.ranking import cut_by_draw, draw_of, smallest_draws
 from panelspark.session import bounded
 from panelspark.sources.panel import era_index
 
@@ -60,18 +60,16 @@ def fold_rows(df: DataFrame, splits: DataFrame, era: str = "era") -> DataFrame:
 
 def check_era_gap(train: DataFrame, test: DataFrame, min_gap: int, era: str = "era") -> DataFrame:
     """(max_train, min_test, gap, passed); eras that are not numbers pass."""
-    def edge(df: DataFrame, side) -> Column:
-        return df.agg(side(F.col(era).try_cast("int")).alias("e")).scalar()
-
-    bad = [
-        df.agg(F.max(F.col(era).try_cast("int").isNull()).alias("b")).scalar()
-        for df in (train, test)
-    ]
-    spark = train.sparkSession
-    row = spark.range(1).select(
-        edge(train, F.max).alias("max_train"),
-        edge(test, F.min).alias("min_test"),
-        F.coalesce(bad[0] | bad[1], F.lit(True)).alias("unparseable"),
+    def ends(df: DataFrame, side) -> Column:
+        number = F.col(era).try_cast("int")
+        return df.agg(F.struct(side(number).alias("end"), F.max(number.isNull()).alias("odd")).alias("e")).scalar()
+
+    row = train.sparkSession.range(1).select(
+        ends(train, F.max).alias("a"), ends(test, F.min).alias("b")
+    ).select(
+        F.col("a.end").alias("max_train"),
+        F.col("b.end").alias("min_test"),
+        F.coalesce(F.col("a.odd") | F.col("b.odd"), F.lit(True)).alias("unparseable"),
     )
     gap = F.col("min_test") - F.col("max_train")
     return row.select(
@@ -84,7 +82,7 @@ def check_era_gap(train: DataFrame, test: DataFrame, min_gap: int, era: str = "e
 
 def _draw(df: DataFrame, seed: int, keys: list[str] | None) -> Column:
     """A repeatable random order; rows equal in all keys share one draw."""
-    return F.xxhash64(F.lit(seed), *(keys or df.columns))
+    return draw_of([F.col(c) for c in keys or df.columns], seed)
 
 
 def sample_per_era(
@@ -101,21 +99,9 @@ def train_test_split(
     keys: list[str] | None = None,
     era: str = "era",
 ) -> DataFrame:
-    """Adds ``is_train``: the first floor(share * n) rows per era in a repeatable order.
+    """Adds ``is_train``: exactly floor(share * n) rows per era in a repeatable order.
 
-    Only one cut value per era is joined back, so no era has to fit in a task. Rows
-    equal in all keys go to the same side; a tie over the cut goes to test.
+    Equal rows are parted like any others, as many as the share needs.
     """
-    drawn = df.withColumn("_draw", _draw(df, seed, keys))
-    dist = distribution(counted(drawn, [era], "_draw"), [era], "_draw")
-    quota = F.floor(F.lit(share) * F.col("total"))
-    cuts = (
-        dist.where(F.col("below") + F.col("weight") <= quota)
-        .groupBy(era)
-        .agg(F.max("_draw").alias("_cut"))
-    )
-    return (
-        drawn.join(bounded(cuts), era, "left")
-        .withColumn("is_train", F.coalesce(F.col("_draw") <= F.col("_cut"), F.lit(False)))
-        .drop("_draw", "_cut")
-    )
+    quota = F.floor(F.lit(share) * F.col("_total"))
+    return cut_by_draw(df, [era], _draw(df, seed, keys), quota).withColumnRenamed("_chosen", "is_train")

@@ -17,7 +17,6 @@ MIN_SCORE = 0.01
 MAX_FEATURES = 200
 SIMPLE_MAX_FEATURES = 50
 MAX_RATIOS = 10
-RATIO_POOL = 50
 RATIO_EPS = 1e-8
 RATIO_VALID_SHARE = 0.8
 RATIO_MIN_CORRELATION = 0.01
@@ -202,15 +201,20 @@ def ratio_of(a: str, b: str, eps: float = RATIO_EPS) -> Column:
 
 
 def select_ratios(
-    df: DataFrame, stable: list[str], target: str, limit: int = MAX_RATIOS
+    df: DataFrame,
+    stable: list[str],
+    target: str,
+    limit: int = MAX_RATIOS,
+    pool: int | None = None,
 ) -> DataFrame:
     """Ratios of stable pairs ranked by absolute rank correlation with the target.
 
     Returns (feature, numerator, denominator, score); pairs with under 80% valid
-    rows or a correlation up to 0.01 are dropped.
+    rows or a correlation up to 0.01 are dropped. All stable features take part, or the first
+    ``pool`` of them.
     """
-    pool = stable[:RATIO_POOL]
-    names = {f"{a}_over_{b}": (a, b) for a, b in pairs_of(pool)}
+    used = stable if pool is None else stable[:pool]
+    names = {f"{a}_over_{b}": (a, b) for a, b in pairs_of(used)}
     empty = "feature string, numerator string, denominator string, score double"
     if not names:
         return df.sparkSession.createDataFrame([], empty)

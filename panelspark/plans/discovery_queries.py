@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import discovery as ops
 from panelspark.plans import fixtures as fx
-from panelspark.plans.registry import query, r, sql
+from panelspark.plans.registry import draw_sql, query, r, sql
 from panelspark.sources.panel import era_index
 
 BASIS = ["feature_price", "feature_flip", "feature_quantity"]
@@ -44,16 +44,53 @@ def target_combinations(spark, sf):
     )
 
 
-@query()
+# With one feature a ridge fit is a quotient, so SQL can follow the fits over all rows.
+ONE_FEATURE = "feature_flip"
+SPLIT_SQL = f"""
+halves AS (SELECT *, k <= floor(0.7::double * n) AS is_train FROM (
+  SELECT era, era_idx, {ONE_FEATURE} AS x, target_net AS y0, target_gross AS y1, target_order AS y2,
+         count(*) OVER (PARTITION BY era) AS n,
+         row_number() OVER (PARTITION BY era ORDER BY {draw_sql(fx.KEYS)}, {", ".join(fx.KEYS)}, {ONE_FEATURE}, target_net, target_gross, target_order) AS k
+  FROM panel) WHERE n >= 100),
+fits AS (SELECT era, era_idx, {", ".join(f"count(*) * covar_pop(x, y{i}) / (count(*) * var_pop(x) + 1) AS b{i}" for i in range(3))}
+         FROM halves WHERE is_train GROUP BY era, era_idx)"""
+
+
+@query(
+    sql(
+        f"""
+WITH {SPLIT_SQL}
+SELECT era, count(*) AS n_test, round(b0 * b0 * var_pop(x) / var_pop(y0), 6) + 0.0 AS pred_share,
+       round(b0 * covar_pop(x, y0) / var_pop(y0), 6) + 0.0 AS slope,
+       round(b0 * covar_pop(x, y2) / var_pop(y2), 6) + 0.0 AS cross_slope, 1.0::double AS min_eigenvalue
+FROM halves JOIN fits USING (era) WHERE NOT is_train GROUP BY era, b0""",
+        "panel",
+    )
+)
 def era_ridge_moments(spark, sf):
+    """Held-out moments of ridge fits with one feature, over all rows."""
+    out = ops.era_ridge_moments(fx.panel(spark, sf), [ONE_FEATURE], fx.TARGETS, keys=fx.KEYS)
+    pp, yy, py = (F.col(c) for c in ("c_pp", "c_yy", "c_py"))
+    return out.select(
+        "era",
+        "n_test",
+        r(pp[0] / yy[0]).alias("pred_share"),
+        r(py[0] / yy[0]).alias("slope"),
+        r(py[2] / yy[8]).alias("cross_slope"),
+        r("min_eigenvalue").alias("min_eigenvalue"),
+    )
+
+
+@query()
+def era_ridge_moments_wide(spark, sf):
+    """All 64 vector positions and ten targets."""
     targets = [f"target_{k}" for k in range(fx.LABELS)]
-    v = fx.vector_panel(spark, sf, 16)
-    out = ops.era_ridge_moments(v, [f"feature_{i}" for i in range(16)], targets)
+    v = fx.vector_panel(spark, sf, 64)
+    out = ops.era_ridge_moments(v, [f"feature_{i}" for i in range(64)], targets)
     return out.select(
         "era",
         "n_test",
-        r(F.col("c_yy")[0]).alias("var_y0"),
-        r(F.col("c_py")[0]).alias("cov_py0"),
+        *[F.transform(c, lambda v: F.round(v, 6)).alias(c) for c in ("c_pp", "c_yy", "c_py")],
         r("min_eigenvalue").alias("min_eigenvalue"),
     )
 
@@ -155,9 +192,34 @@ def walk_forward(spark, sf):
 WALK_FEATURES = ["feature_price", "feature_discount", "feature_tax", "feature_quantity"]
 
 
-@query()
+RIDGE_SCORES_SQL = f"""
+SELECT era, h.era_idx, combo_id,
+       sign(b0 * w0 + b1 * w1 + b2 * w2) * covar_pop(x, y0 * w0 + y1 * w1 + y2 * w2)
+         / nullif(stddev_pop(x) * stddev_pop(y0 * w0 + y1 * w1 + y2 * w2), 0) AS corr
+FROM halves h JOIN fits USING (era) CROSS JOIN {COMBOS3_SQL} WHERE NOT is_train
+GROUP BY era, h.era_idx, combo_id, w0, w1, w2, b0, b1, b2"""
+
+
+@query(
+    sql(
+        f"""
+WITH {SPLIT_SQL}, {HISTORY_SQL.replace(SCORES_SQL, RIDGE_SCORES_SQL, 1)},
+warm AS (SELECT least(20, greatest(0, max(era_idx) - 1)) AS warmup FROM sizes)
+SELECT z.era, CASE WHEN era_idx > warmup AND n_hist >= 1000 THEN b.combo_id END AS combo_id,
+       round(CASE WHEN era_idx > warmup AND n_hist >= 1000 THEN b.sharpe END, 4) + 0.0 AS sharpe
+FROM sizes z CROSS JOIN warm LEFT JOIN hist h ON h.era = z.era LEFT JOIN (FROM best WHERE k = 1) b ON b.era = z.era""",
+        "panel",
+    )
+)
 def walk_forward_weights(spark, sf):
-    """From rows to weights with the per-era ridge fits."""
+    """From rows to weights with the per-era ridge fits, one feature."""
+    out = ops.walk_forward_weights(fx.panel(spark, sf), [ONE_FEATURE], fx.TARGETS, keys=fx.KEYS)
+    return out.select("era", "combo_id", r("sharpe", 4).alias("sharpe"))
+
+
+@query()
+def walk_forward_weights_wide(spark, sf):
+    """The same with several features."""
     out = ops.walk_forward_weights(fx.panel(spark, sf), WALK_FEATURES, fx.TARGETS)
     return out.select("era", "combo_id", r("sharpe").alias("sharpe"), F.array_join(
         F.transform("weights", lambda w: F.round(w, 6).cast("string")), "|").alias("weights"))
@@ -259,8 +321,22 @@ def keep_top(spark, sf):
     return ops.keep_top(scores, N_VECTOR_COMBOS).select("combo_id", r("score").alias("score"))
 
 
-@query()
+@query(
+    sql(
+        f"""
+WITH {SPLIT_SQL}
+SELECT combo_id, round(avg(abs(corr)), 6) + 0.0 AS score FROM ({RIDGE_SCORES_SQL}) GROUP BY combo_id""",
+        "panel",
+    )
+)
 def ridge_prescreen(spark, sf):
+    """With one feature the held-out correlation is the feature's own."""
+    out = ops.ridge_prescreen(fx.panel(spark, sf), [ONE_FEATURE], fx.TARGETS, ops.blends(3), keys=fx.KEYS)
+    return out.withColumn("score", r("score"))
+
+
+@query()
+def ridge_prescreen_wide(spark, sf):
     out = ops.ridge_prescreen(fx.panel(spark, sf), WALK_FEATURES, fx.TARGETS, ops.blends(3))
     return out.withColumn("score", r("score"))
 
@@ -269,5 +345,5 @@ def ridge_prescreen(spark, sf):
 def refine_top_k(spark, sf):
     p = fx.panel(spark, sf)
     scores = ops.score_combinations(_scores(spark, sf))
-    out = ops.refine_top_k(p, WALK_FEATURES, fx.TARGETS, scores, k=2, rounds=5)
+    out = ops.refine_top_k(p, WALK_FEATURES, fx.TARGETS, scores)
     return out.select("combo_id", *[r(c).alias(c) for c in STAT_COLUMNS])

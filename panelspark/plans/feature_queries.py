@@ -9,6 +9,7 @@ from panelspark.operators import motifs, relations
 from panelspark.plans import fixtures as fx
 from panelspark.plans.registry import query, r, spearman_sql, sql
 from panelspark.plans.source_queries import KEY_SQL
+from panelspark.session import all_rows
 
 # Relationships as a mining run returns them; the second names an absent column.
 RELATIONSHIPS = [
@@ -117,13 +118,13 @@ def neutralize(spark, sf):
         " UNION ALL ".join(
             f"SELECT {i} AS pair_idx, '{a}' AS feature1, '{b}' AS feature2, "
             f"round(avg(cast({a} IS NOT NULL AND {b} IS NOT NULL AS double)), 6) + 0.0 AS valid_share FROM gappy"
-            for i, (a, b) in enumerate(ops.pairs_of(fx.FEATURES, 8))
+            for i, (a, b) in enumerate(ops.pairs_of(fx.FEATURES))
         ),
         "gappy",
     )
 )
 def feature_pairs(spark, sf):
-    out = ops.feature_pairs(fx.gappy_panel(spark, sf), fx.FEATURES, 8)
+    out = ops.feature_pairs(fx.gappy_panel(spark, sf), fx.FEATURES)
     return out.withColumn("valid_share", r("valid_share"))
 
 
@@ -194,7 +195,7 @@ def tversky(spark, sf):
     """Similarity of every vector with the first vector of each label."""
     bits = ops.zpos_array(fx.vectors(spark, sf), "features")
     firsts = bits.groupBy("label").agg(F.min_by("bits", "vec_id").alias("bits")).orderBy("label")
-    protos = firsts.limit(1000).collect()
+    protos = all_rows(firsts)
     scored = ops.tversky_scores(bits, "bits", [p["bits"] for p in protos])
     cells = [
         F.struct(F.lit(p["label"]).alias("prototype"), r(f"tversky_{i}").alias("score"))
@@ -315,13 +316,13 @@ def _scaled(spark, sf):
 
 @query()
 def mine_relationships(spark, sf):
-    mined = relations.mine_relationships(_scaled(spark, sf), fx.BINNED, "target", batches=2)
+    mined = relations.mine_relationships(_scaled(spark, sf), fx.BINNED, "target")
     return mined.edges.withColumn("strength", r("strength"))
 
 
 @query()
 def relationship_paths(spark, sf):
-    mined = relations.mine_relationships(_scaled(spark, sf), fx.BINNED, "target", batches=2)
+    mined = relations.mine_relationships(_scaled(spark, sf), fx.BINNED, "target")
     return mined.paths.select(F.array_join("path", "-").alias("path"), r("success", 3).alias("success"))
 
 

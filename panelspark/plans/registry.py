@@ -27,6 +27,12 @@ def r(c, digits: int = 6) -> Column:
     return F.round(c.cast("double"), digits) + F.lit(0.0)
 
 
+def draw_sql(keys: list[str], seed: int = 42) -> str:
+    """The random draw of a row as SQL text, for integer keys."""
+    texts = ", ".join(f"cast({k} AS varchar)" for k in keys)
+    return f"cast('0x' || substr(md5(concat_ws('|', '{seed}', {texts})), 1, 15) AS bigint)"
+
+
 PANEL_SQL = """
 SELECT lpad(cast(dense_rank() OVER (ORDER BY date_trunc('{unit}', l_shipdate)) AS varchar), 4, '0') AS era,
        cast(dense_rank() OVER (ORDER BY date_trunc('{unit}', l_shipdate)) AS int) AS era_idx,

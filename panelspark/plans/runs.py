@@ -10,9 +10,6 @@ from panelspark.operators.metrics import evaluate_predictions
 from panelspark.operators.regimes import join_indicator, purge_regimes, regime_by_percentile, join_regimes
 from panelspark.session import written
 
-# How many features each stage of the purge works on.
-MATH_BASE, NEUTRALIZED, FALLBACK = 50, 30, 20
-
 
 def discovery_run(
     df: DataFrame, feature_names: list[str], target_names: list[str], **options
@@ -35,7 +32,7 @@ def stability_run(
     verdicts = written(stability.stability_engine(labelled, feature_names, target), "verdicts")
     stable = [
         r["feature"]
-        for r in stability.curate_features(verdicts).limit(stability.RATIO_POOL).collect()
+        for r in stability.curate_features(verdicts).collect()
     ]
     ratios = stability.select_ratios(labelled, stable, target)
     return verdicts, stability.curate_features(verdicts, ratios)
@@ -46,7 +43,7 @@ def purge_run(
 ) -> tuple[DataFrame, list[str], DataFrame]:
     """Purge verdicts, the final feature names, and the panel that has them all.
 
-    When nothing survives, the first input features are used.
+    When nothing survives, the input features are used.
     """
     rows = join_indicator(df, indicator)
     verdicts = written(
@@ -54,9 +51,9 @@ def purge_run(
     )
     survivors = [r["feature"] for r in stability.select_survivors(verdicts).collect()]
     if not survivors:
-        return verdicts, feature_names[:FALLBACK], rows
-    made = features.math_features(rows, survivors[:MATH_BASE])
-    made = features.neutralize(made, survivors[:NEUTRALIZED], target)
+        return verdicts, feature_names, rows
+    made = features.math_features(rows, survivors)
+    made = features.neutralize(made, survivors, target)
     new = [c for c in made.columns if c not in rows.columns]
     return verdicts, survivors + new, made
 

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from panelspark.operators import splits as ops
 from panelspark.plans import fixtures as fx
-from panelspark.plans.registry import query, sql
+from panelspark.plans.registry import draw_sql, query, sql
 
 
 def cv_sql(view: str, n_splits: int, gap: int) -> str:
@@ -60,30 +58,23 @@ def check_era_gap(spark, sf):
     return ops.check_era_gap(p.where("era_idx <= 40"), p.where("era_idx >= 55"), 10)
 
 
-@query()
-def sample_per_era(spark, sf):
-    rows = ops.sample_per_era(fx.panel(spark, sf), 100)
-    return rows.select("era", *fx.KEYS)
+DRAWN_SQL = f"""
+drawn AS (SELECT era, {", ".join(fx.KEYS)}, count(*) OVER (PARTITION BY era) AS n,
+                 row_number() OVER (PARTITION BY era ORDER BY {draw_sql(fx.KEYS)}, {", ".join(fx.KEYS)}) AS k FROM panel)"""
 
 
-@query(
-    sql("SELECT era, least(count(*), 100) AS n FROM panel GROUP BY era", "panel")
-)
-def sample_sizes(spark, sf):
-    """Rows per era of the sample: the wanted number, or the whole era if it is smaller."""
-    return ops.sample_per_era(fx.panel(spark, sf), 100).groupBy("era").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+@query(sql(f"WITH {DRAWN_SQL} SELECT era, {', '.join(fx.KEYS)} FROM drawn WHERE k <= 100", "panel"))
+def sample_per_era(spark, sf):
+    rows = fx.panel(spark, sf).select("era", *fx.KEYS)
+    return ops.sample_per_era(rows, 100, keys=fx.KEYS)
 
 
 @query(
     sql(
-        """
-WITH sizes AS (SELECT era, count(*) AS n, cast(floor(0.7::double * count(*)) AS bigint) AS k FROM panel GROUP BY era)
-SELECT era, TRUE AS is_train, k AS n FROM sizes UNION ALL SELECT era, FALSE, n - k FROM sizes""",
+        f"WITH {DRAWN_SQL} SELECT era, {', '.join(fx.KEYS)}, k <= floor(0.7::double * n) AS is_train FROM drawn",
         "panel",
     )
 )
 def train_test_split(spark, sf):
-    rows = ops.train_test_split(fx.panel(spark, sf), 0.7)
-    return rows.groupBy("era", "is_train").agg(F.count(F.lit(1)).alias("n"))
+    rows = fx.panel(spark, sf).select("era", *fx.KEYS)
+    return ops.train_test_split(rows, 0.7, keys=fx.KEYS)

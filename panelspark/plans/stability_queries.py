@@ -134,7 +134,7 @@ chosen AS (SELECT feature, numerator, denominator, abs(corr) AS score FROM ({cor
 
 
 def _stable_names(verdicts) -> list[str]:
-    ranked = verdicts.where("stable").orderBy("pos").limit(ops.RATIO_POOL)
+    ranked = verdicts.where("stable").orderBy("pos")
     return [x["feature"] for x in ranked.select("feature", "pos").collect()]
 
 

@@ -38,12 +38,15 @@ def local_session(cores: int | str = "*", app: str = "panelspark", memory: str =
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in tests, a temporary folder is used.
+    Only a local session without that setting, as in tests, gets a temporary folder: on a
+    cluster every machine would have its own, so there the missing setting is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         root = tempfile.mkdtemp(prefix="panelspark-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -71,6 +74,14 @@ def bounded(dim: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(dim.sparkSession.createDataFrame(table, schema=dim.schema))
 
 
+def all_rows(df: DataFrame, most: int = 10_000) -> list:
+    """The rows of a table that must be small, on the driver; more than ``most`` are an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows; choose some first, for example with orderBy and limit")
+    return rows
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partitions a scan that has fewer splits than the session has cores.
 

@@ -37,15 +37,25 @@ def test_era_filter_reaches_the_scan(spark, sf):
     assert "PushedFilters: [In(o_orderpriority" in plan
 
 
-def test_samples_prune_before_the_shuffle(spark, sf):
-    plan = plan_of(sample_per_era(fx.panel(spark, sf), 100))
-    assert "WindowGroupLimit" in plan and "Partial" in plan
-
-
-def test_spread_ranks_split_a_group_over_buckets(spark, sf):
-    li = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("g", F.lit("one"))
-    out = distribution(counted(li, ["g"], "l_extendedprice"), ["g"], "l_extendedprice", spread=True, bucket_values=100)
-    assert "_bucket" in plan_of(out)
+def test_samples_do_not_shuffle_rows_before_they_are_cut(spark, sf):
+    """Rows are joined with the broadcast cuts in the scan's stage."""
+    plan = plan_of(sample_per_era(fx.panel(spark, sf).select("era", *fx.KEYS), 100, keys=fx.KEYS))
+    assert "BroadcastHashJoin" in plan and plan.count("Window") <= 2
+
+
+def test_ranks_split_a_group_over_ranges(spark, sf):
+    """Also from a frame whose size the optimizer does not know; no array travels with rows."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("g", F.lit("one")).checkpoint()
+    values = counted(li, ["g"], "l_extendedprice")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = distribution(values, ["g"], "l_extendedprice")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    plan = plan_of(out)
+    assert "array" not in plan
+    placed = [x for x in out.inputFiles() if "values-" in x]
+    assert len(placed) >= 4
     rows, seen, n = out.orderBy("l_extendedprice").collect(), 0, li.count()
     for r in rows:
         assert r["below"] == seen and r["total"] == n

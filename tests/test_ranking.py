@@ -1,4 +1,4 @@
-"""Ranks, medians and correlations against pandas, in the plain and in the spread form."""
+"""Ranks, medians and correlations against pandas."""
 
 import numpy as np
 import pandas as pd
@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions.correlation import pearson, spearman, spearman_features, to_long
-from panelspark.functions.ranking import counted, distribution, exact_median, input_bytes, top_rows
+from panelspark.functions.ranking import counted, distribution, exact_median, top_rows
 
 
 @pytest.fixture(scope="module")
@@ -19,10 +19,9 @@ def frame():
     return pd.DataFrame({"g": g, "x": x, "y": y, "c": 1.0})
 
 
-@pytest.mark.parametrize("spread", [False, True])
-def test_distribution_counts_smaller_values(spark, frame, spread):
+def test_distribution_counts_smaller_values(spark, frame):
     df = spark.createDataFrame(frame)
-    out = distribution(counted(df, ["g"], "y"), ["g"], "y", spread=spread, bucket_values=20)
+    out = distribution(counted(df, ["g"], "y"), ["g"], "y")
     got = out.toPandas().set_index(["g", "y"]).sort_index()
     for g, part in frame.groupby("g"):
         values = np.sort(part["y"].to_numpy())
@@ -33,20 +32,18 @@ def test_distribution_counts_smaller_values(spark, frame, spread):
             assert row["total"] == len(values)
 
 
-@pytest.mark.parametrize("spread", [False, True, None])
-def test_spearman_equals_pandas(spark, frame, spread):
+def test_spearman_equals_pandas(spark, frame):
     df = spark.createDataFrame(frame)
-    got = {r["g"]: r for r in spearman(df, ["g"], "x", "y", spread=spread).collect()}
+    got = {r["g"]: r for r in spearman(df, ["g"], "x", "y").collect()}
     for g, part in frame.groupby("g"):
         assert got[g]["corr"] == pytest.approx(part["x"].rank().corr(part["y"].rank()), abs=1e-12)
         assert got[g]["n"] == len(part)
 
 
-@pytest.mark.parametrize("spread", [False, True])
-def test_feature_form_equals_single_form(spark, frame, spread):
+def test_feature_form_equals_single_form(spark, frame):
     df = spark.createDataFrame(frame)
-    many = spearman_features(df, ["g"], ["x", "c"], "y", spread=spread).collect()
-    single = {r["g"]: r["corr"] for r in spearman(df, ["g"], "x", "y", spread=False).collect()}
+    many = spearman_features(df, ["g"], ["x", "c"], "y").collect()
+    single = {r["g"]: r["corr"] for r in spearman(df, ["g"], "x", "y").collect()}
     for r in many:
         if r["feature"] == "c":
             assert r["corr"] is None
@@ -66,9 +63,8 @@ def test_incomplete_pairs(spark):
 def test_missing_target_makes_correlation_null(spark):
     rows = [("a", 1.0, 1.0), ("a", 2.0, None), ("a", 3.0, 3.0)]
     df = spark.createDataFrame(rows, "g string, x double, y double")
-    for spread in (False, True):
-        out = spearman(df, ["g"], "x", "y", spread=spread).first()
-        assert out["corr"] is None and out["n"] == 3
+    out = spearman(df, ["g"], "x", "y").first()
+    assert out["corr"] is None and out["n"] == 3
 
 
 def test_weighted_equals_repeated(spark, frame):
@@ -87,10 +83,9 @@ def test_result_does_not_depend_on_partitions(spark, frame):
         assert a["corr"] == pytest.approx(b["corr"], abs=1e-12)
 
 
-@pytest.mark.parametrize("spread", [False, True])
-def test_exact_median(spark, frame, spread):
+def test_exact_median(spark, frame):
     df = spark.createDataFrame(frame)
-    got = {r["g"]: r["median"] for r in exact_median(df, ["g"], "y", spread=spread).collect()}
+    got = {r["g"]: r["median"] for r in exact_median(df, ["g"], "y").collect()}
     want = frame.groupby("g")["y"].median()
     assert got == {g: pytest.approx(v) for g, v in want.items()}
 
@@ -121,8 +116,3 @@ def test_long_form_of_wide_tables(spark):
     df = spark.createDataFrame([(1, *map(float, range(70)))], ["k", *names])
     got = {r["feature"]: r["value"] for r in to_long(df, ["k"], names).collect()}
     assert got == {f"f{i}": float(i) for i in range(70)}
-
-
-def test_input_bytes_reads_statistics(spark, sf):
-    df = spark.read.parquet(f"{sf}/lineitem.parquet")
-    assert 0 < input_bytes(df) < 10**9

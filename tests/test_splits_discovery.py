@@ -53,14 +53,13 @@ def test_samples_are_repeatable_and_sized(spark):
     assert set(map(tuple, one.values)) != set(map(tuple, other.values))
 
 
-def test_prefiltered_sample_is_the_same(spark):
-    from panelspark.functions.ranking import smallest_draws
-
-    df = era_frame(spark, 3, 5000)
-    draw = F.xxhash64(F.lit(1), "id")
-    plain = smallest_draws(df, ["era"], draw, 40, prefilter=False).toPandas()
-    cut = smallest_draws(df, ["era"], draw, 40, prefilter=True).toPandas()
-    assert set(plain["id"]) == set(cut["id"]) and len(cut) == 120
+def test_equal_rows_are_parted_exactly(spark):
+    df = spark.createDataFrame([("a", 1.0)] * 10 + [("b", float(i)) for i in range(7)] + [("c", None)] * 1, "era string, x double")
+    got = {r["era"]: (r["k"], r["n"]) for r in splits.train_test_split(df, 0.7).groupBy("era").agg(
+        F.count_if("is_train").alias("k"), F.count("*").alias("n")).collect()}
+    assert got == {"a": (7, 10), "b": (4, 7), "c": (0, 1)}
+    assert splits.sample_per_era(df, 4).groupBy("era").count().where("count > 4").count() == 0
+    assert splits.sample_per_era(df, 4).count() == 9
 
 
 def test_train_share_is_exact(spark):
