@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelspark.session import written
+
 MARGINS = ("source", "lang", "topic")
 TEMPER = 0.9
 LEAST_SHARE = 1 / 200
@@ -84,7 +86,7 @@ def rates(measured: DataFrame, targets: dict[str, dict[str, float]] | None = Non
     """
     spark = measured.sparkSession
     targets = targets or {}
-    cells = measured.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
+    cells = written(measured.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "mixing-cells")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     kept = {}
     for m in MARGINS:
