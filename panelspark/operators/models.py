@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from panelspark.functions import expr
 from panelspark.functions.correlation import pearson, spearman
 from panelspark.functions.moments import schema_of, second_moments
-from panelspark.operators.metrics import correlations_by_scope, summarise_scopes
+from panelspark.operators.metrics import scopes, summarise_scopes
 from panelspark.operators.splits import check_era_gap, era_cv_splits, fold_rows
-from panelspark.session import bounded
+from panelspark.session import bounded, written
 
 # Sizes and limits of training and of the honesty test.
 TREE_DEPTH, STEP, SUBSAMPLE, FEATURE_SHARE = 6, 0.05, 0.8, 0.8
@@ -83,8 +83,11 @@ def honesty_by_group(
     """Fits on ``train`` rows, ranks both roles: correlations, drop and honesty per group."""
     model = linear_fit(rows.where(F.col(role) == "train"), features, target, groups)
     scored = linear_predict(rows, model, features, groups)
-    corrs = spearman(scored, [*groups, role], "prediction", target)
+    return honesty_of(spearman(scored, [*groups, role], "prediction", target), groups, role)
 
+
+def honesty_of(corrs: DataFrame, groups: list[str], role: str = "role") -> DataFrame:
+    """Both roles' correlations side by side, with drop and honesty."""
     def side(name):
         return F.max(F.when(F.col(role) == name, F.col("corr")))
 
@@ -168,12 +171,18 @@ def validate_folds(
     era: str = "era",
 ) -> dict[str, DataFrame]:
     keep = [era, *features, target] + ([regime] if regime else [])
-    rows = fold_rows(df.select(*dict.fromkeys(keep)), splits, era)
+    rows = written(fold_rows(df.select(*dict.fromkeys(keep)), splits, era), "fold-rows")
     model = linear_fit(rows.where("role = 'train'"), features, target, ["fold"])
-    val = linear_predict(rows.where("role = 'val'"), model, features, ["fold"])
-    corrs = correlations_by_scope(val, "prediction", target, ("fold",), era, regime)
-    metrics = summarise_scopes(corrs, ("fold",))
-    tests = honesty_by_group(rows, ["fold"], features, target)
+    scored = linear_predict(rows, model, features, ["fold"]).select(
+        "fold", "role", *dict.fromkeys([era, *([regime] if regime else []), "prediction", target])
+    )
+    # train rows are ranked as a whole only, validation rows in every scope
+    ranked = scopes(scored, era, regime).where(
+        F.col("key").isNotNull() & ((F.col("role") == "val") | (F.col("scope") == "overall"))
+    )
+    corrs = spearman(ranked, ["fold", "role", "scope", "key"], "prediction", target)
+    metrics = summarise_scopes(corrs.where("role = 'val'").drop("role"), ("fold",))
+    tests = honesty_of(corrs.where("scope = 'overall'"), ["fold"])
     return {
         "metrics": metrics,
         "summary": fold_summary(metrics),

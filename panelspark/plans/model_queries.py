@@ -65,12 +65,15 @@ def linear_predict(spark, sf):
 
 
 def _honesty_sql(rows: str, keys: str) -> str:
-    """Train and test rank correlation of a one-feature fit, drop and honesty, per key."""
+    """Train and test rank correlation of a fit on x and z, drop and honesty, per key."""
     corrs = spearman_sql("hscored", f"{keys}, role", "p", "y")
     return f"""
 hrows AS ({rows}),
-hmodel AS (SELECT {keys}, regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM hrows WHERE role = 'train' GROUP BY {keys}),
-hscored AS (SELECT {keys}, role, a + b * x AS p, y FROM hrows JOIN hmodel USING ({keys})),
+hsums AS (SELECT {keys}, var_pop(x) AS xx, var_pop(z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy,
+                 avg(x) AS mx, avg(z) AS mz, avg(y) AS my FROM hrows WHERE role = 'train' GROUP BY {keys}),
+hcoefs AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS b, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS c FROM hsums),
+hmodel AS (SELECT {keys}, my - b * mx - c * mz AS a, b, c FROM hcoefs),
+hscored AS (SELECT {keys}, role, a + (b * x + c * z) AS p, y FROM hrows JOIN hmodel USING ({keys})),
 hcorrs AS ({corrs}),
 hwide AS (SELECT {keys}, max(corr) FILTER (role = 'train') AS train_correlation, max(corr) FILTER (role = 'val') AS test_correlation
           FROM hcorrs GROUP BY {keys}),
@@ -87,7 +90,7 @@ HONESTY_OUT_SQL = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in HONESTY_COLUM
     sql(
         "WITH "
         + _honesty_sql(
-            f"SELECT 0 AS run, CASE WHEN era_idx <= 30 THEN 'train' ELSE 'val' END AS role, feature_discount AS x, {TARGET} AS y "
+            f"SELECT 0 AS run, CASE WHEN era_idx <= 30 THEN 'train' ELSE 'val' END AS role, feature_discount AS x, feature_tax AS z, {TARGET} AS y "
             "FROM panel WHERE era_idx <= 30 OR era_idx >= 45",
             "run",
         )
@@ -98,7 +101,7 @@ HONESTY_OUT_SQL = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in HONESTY_COLUM
 def time_machine_test(spark, sf):
     p = fx.panel(spark, sf)
     out = ops.time_machine_test(
-        p.where("era_idx <= 30"), p.where("era_idx >= 45"), ["feature_discount"], TARGET, 15
+        p.where("era_idx <= 30"), p.where("era_idx >= 45"), ["feature_discount", "feature_tax"], TARGET, 15
     ).withColumnRenamed("drop", "drop_size")
     return out.select(*[r(c).alias(c) for c in HONESTY_COLUMNS])
 
@@ -113,20 +116,22 @@ def _folds_body() -> tuple[str, str]:
 def _cv_sql(final: str) -> str:
     head, tail = _folds_body()
     rows = (
-        f"SELECT fold, role, s.era, p.feature_discount AS x, p.{TARGET} AS y FROM day_panel p JOIN splits s ON p.era = s.era"
+        f"SELECT fold, role, s.era, s.era_idx, p.feature_discount AS x, p.feature_tax AS z, p.{TARGET} AS y FROM day_panel p JOIN splits s ON p.era = s.era"
     )
     scoped = """
 SELECT fold, 'overall' AS scope, 'all' AS key, p, y FROM val
-UNION ALL SELECT fold, 'era', era, p, y FROM val"""
+UNION ALL SELECT fold, 'era', era, p, y FROM val
+UNION ALL SELECT fold, 'regime', CASE era_idx % 3 WHEN 0 THEN 'crisis' WHEN 1 THEN 'grind' ELSE 'transition' END, p, y FROM val"""
     return f"""{head},
 splits AS ({tail}),
 {_honesty_sql(rows, "fold")},
-val AS (SELECT fold, era, a + b * x AS p, y FROM hrows JOIN hmodel USING (fold) WHERE role = 'val'),
+val AS (SELECT fold, era, era_idx, a + (b * x + c * z) AS p, y FROM hrows JOIN hmodel USING (fold) WHERE role = 'val'),
 scoped AS ({scoped}),
 vcorrs AS ({spearman_sql("scoped", "fold, scope, key", "p", "y")}),
 sharpe AS (SELECT fold, CASE WHEN stddev_samp(corr) > 0 THEN avg(corr) / stddev_samp(corr) ELSE 0 END AS s, avg(corr) AS m,
                   stddev_samp(corr) AS sd, count(corr) AS k FROM vcorrs WHERE scope = 'era' AND n > 1 GROUP BY fold),
 metrics AS (SELECT fold, 'overall_correlation' AS metric, corr AS value FROM vcorrs WHERE scope = 'overall'
+  UNION ALL SELECT fold, 'corr_' || key, corr FROM vcorrs WHERE scope = 'regime'
   UNION ALL SELECT fold, 'sharpe_ratio', s FROM sharpe
   UNION ALL SELECT fold, 'sharpe_with_tc', greatest(0, s - {IMPACT_SQL}) FROM sharpe
   UNION ALL SELECT fold, 'mean_correlation', m FROM sharpe
@@ -137,7 +142,9 @@ metrics AS (SELECT fold, 'overall_correlation' AS metric, corr AS value FROM vco
 
 def _validated(spark, sf) -> dict:
     p = fx.day_panel(spark, sf)
-    return ops.cross_validate(p, ["feature_discount"], TARGET, 5, 200, regime=None)
+    names = F.array(*map(F.lit, ("crisis", "grind", "transition")))
+    p = p.withColumn("regime", names[F.col("era_idx") % 3])
+    return ops.cross_validate(p, ["feature_discount", "feature_tax"], TARGET, 5, 200)
 
 
 @query(_cv_sql("SELECT fold, metric, round(value, 6) + 0.0 AS value FROM metrics"))

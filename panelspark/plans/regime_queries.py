@@ -213,7 +213,7 @@ def _lists_sql() -> str:
         for name, eras in ERA_LISTS.items()
     )
     return sql(
-        f"SELECT regime, CASE WHEN regime = 'normal_periods' THEN least(count(*), 5000) ELSE count(*) END AS n "
+        "SELECT regime, count(*) AS n "
         f"FROM (SELECT CASE {cases} ELSE 'normal_periods' END AS regime FROM panel) GROUP BY regime",
         "panel",
     )
@@ -221,7 +221,7 @@ def _lists_sql() -> str:
 
 @query(_lists_sql())
 def purge_regimes_by_era(spark, sf):
-    """Named era lists plus a fixed-size sample of the other rows."""
+    """Named era lists plus all other rows."""
     rows = ops.purge_regimes(fx.panel(spark, sf), era_lists=ERA_LISTS)
     return rows.groupBy("regime").agg(F.count(F.lit(1)).alias("n"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelspark.operators import stability as ops
 from panelspark.plans import fixtures as fx
 from panelspark.plans.registry import query, r, spearman_sql, sql
-from panelspark.session import bounded
+from panelspark.session import bounded, written
 
 TARGET = "target_net"
 NUMBERS = ["magnitude_drop", "mean_correlation", "correlation_std", "stability_score"]
@@ -146,7 +146,7 @@ def _stable_names(verdicts) -> list[str]:
     )
 )
 def select_ratios(spark, sf):
-    p = fx.labelled_panel(spark, sf)
+    p = written(fx.labelled_panel(spark, sf).select("era", "regime", *CANDIDATES, TARGET), "panel")
     verdicts = bounded(ops.stability_engine(p, CANDIDATES, TARGET))
     out = ops.select_ratios(p, _stable_names(verdicts), TARGET)
     return out.select("feature", "numerator", "denominator", r("score").alias("score"))
@@ -164,7 +164,7 @@ SELECT feature, kind, round(score, 6) + 0.0 AS score FROM (
 )
 def curate_features(spark, sf):
     """End to end: regimes, rank correlations, verdicts, ratios, curated list."""
-    p = fx.labelled_panel(spark, sf)
+    p = written(fx.labelled_panel(spark, sf).select("era", "regime", *CANDIDATES, TARGET), "panel")
     verdicts = bounded(ops.stability_engine(p, CANDIDATES, TARGET))  # one row per feature
     ratios = ops.select_ratios(p, _stable_names(verdicts), TARGET)
     return ops.curate_features(verdicts, ratios).select("feature", "kind", r("score").alias("score"))
