@@ -76,6 +76,7 @@ def _distinct(hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 def mapped(docs: DataFrame, text: str, keep: list[str], result: T.StructType,
            run: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
     """The struct ``_row`` of ``keep``, and what ``run(counts, features)`` returns: a column for each field of ``result``."""
+    texts.small_batches(docs.sparkSession)
     source = docs.select(F.struct(*keep).alias("_row"), *([] if text in keep else [F.col(text).alias("text")]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

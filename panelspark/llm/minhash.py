@@ -186,6 +186,7 @@ def residual_jobs(members: DataFrame, groups: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, percent: int = 80, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row."""
+    texts.small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     sketches = written(sketch(docs, width), "sketches")
     able = sketches.where("id is not null and n > 0")

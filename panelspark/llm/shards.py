@@ -28,6 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelspark.llm import texts
 from panelspark.session import bounded, shared_dir
 
 ADDED = ("shard", "bucket", "place")
@@ -82,6 +83,7 @@ def write_shards(docs: DataFrame, n_shards: int = 16, seed: int = 17, key: str =
     if clash := {c.lower() for c in docs.columns} & {*ADDED, "slot", "grown_shard"}:
         raise ValueError(f"columns named like added ones: {sorted(clash)}")
     spark = docs.sparkSession
+    texts.small_batches(spark)
     placed = docs.withColumn("shard", shard_of(F.col(key), n_shards, seed))
     held = {r["shard"]: r["bytes"] for r in
             placed.groupBy("shard").agg(F.sum(size_of(F.col(text))).alias("bytes")).collect()}

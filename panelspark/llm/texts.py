@@ -1,7 +1,7 @@
 """Words, shingles and byte counts of Arrow text columns, with numpy on the raw bytes.
 
 Words are maximal runs of bytes other than space, tab, newline, vertical tab, form feed and
-carriage return. Work proceeds in windows of about a megabyte that end between words, so
+carriage return. Work proceeds in windows of half a megabyte that end between words, so
 memory is bounded by a batch's text plus eight bytes for each word, however long a text is.
 """
 
@@ -12,11 +12,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 WHITE = b" \t\n\x0b\x0c\r"
-WINDOW = 1 << 20
+WINDOW = 1 << 19
 
 IS_WHITE = np.zeros(256, dtype=bool)
 IS_WHITE[list(WHITE)] = True
@@ -29,6 +29,13 @@ _BASE = int(_rng.integers(1, 2**62)) * 2 + 1
 _FACTOR = np.uint64(int(_rng.integers(1, 2**62)) * 2 + 1)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's Arrow batch size: whole texts make batches of the usual size large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def held_out(doc_id: Column | str) -> Column:
     """Rows that no model may learn from."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -162,7 +169,7 @@ def byte_counts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def pieces(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
+def pieces(batch: pa.RecordBatch, text: str, most: int = 2 << 20):
     """Slices of a batch with about ``most`` bytes of text each, one row at least."""
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(lengths) // most
