@@ -188,3 +188,25 @@ def test_frequent_grams_keep_to_the_bound(spark):
     kept = {r["lang"]: (r["count"], r["low"]) for r in langid.frequent(counts, 800).groupBy("lang").agg({"*": "count", "n": "min"}).withColumnRenamed(
         "count(1)", "count").withColumnRenamed("min(n)", "low").collect()}
     assert kept["b"] == (100, 100) and 300 < kept["a"][0] <= 400 and kept["a"][1] > 40
+
+
+@pytest.mark.parametrize("head", [0, 60, 1 << 22])
+def test_model_is_of_all_grams_whatever_is_broadcast(spark, letters, monkeypatch, head):
+    monkeypatch.setattr(langid, "HEAD", head)
+    monkeypatch.setattr(langid, "MAX_GRAMS", 40)
+    known = langid._learnable(letters, "text", "lang", "doc_id").toPandas()
+    plain, last = [], set()
+    for lang in ("aa", "bb", "cc"):
+        found = langid.grams(*texts.buffers(pa.array(known.text[known.lang == lang], pa.string())))
+        keys, counts = np.unique(np.concatenate([g for g, _ in found]), return_counts=True)
+        plain.append(langid.kneser_ney(keys, counts))
+        last |= set((keys & np.uint64(0xFFFF)).tolist())
+    model = langid.Model(["aa", "bb", "cc"], plain, 1 / (len(last) + 1))
+    fitted = langid.fit(letters)
+    assert len(fitted.head[0]) <= head and (head < 1 << 22 or len(fitted.head[0]) > 100)
+    odd = letters.select("doc_id", "text").unionByName(spark.createDataFrame(
+        [(i, "zzzz abcy qabc " * 3 + "é" * i) for i in range(3)], "doc_id long, text string"))
+    got = langid._entropies(odd, fitted, ["text"], "text").select("_row.text", "h", "letters").toPandas()
+    want, found = model.entropies(pa.array(got.text, pa.string()))
+    assert len(got) == odd.count() and (got.letters == found).all()
+    assert np.allclose(np.array(got.h.tolist())[found], want[found], atol=1e-6)
