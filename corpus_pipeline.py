@@ -27,8 +27,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base limits and the trees over their statistics."""
-    return quality_rules.judge(docs, _labels(spark, sf_dir), docs.columns).where("kept").select("_row.*")
+    """Documents that pass the base limits and the trees over their statistics.
+
+    The trees learn from all labelled documents, as the stage before leaves hardly any bad ones.
+    """
+    learn = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return quality_rules.judge(docs, _labels(spark, sf_dir), docs.columns, learn=learn).where("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -199,3 +199,14 @@ def test_stages_with_clashing_columns(spark, sf, corpus):
 
 def test_small_sizes_of_minhash_parameters():
     assert minhash.BINS == minhash.ROWS * minhash.BANDS and (1 - 0.8**minhash.ROWS) ** minhash.BANDS < 1e-6
+
+
+def test_rules_stage_rejects_by_the_trees(spark, sf):
+    docs, labels = queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels")
+    judged = quality_rules.judge(docs, labels, ["doc_id"]).select("_row.*", "base_failed", "kept").toPandas()
+    alone = judged[~judged.base_failed & ~judged.kept].doc_id
+    assert len(alone)
+    bad = labels.where("quality = 0").select("doc_id")
+    good_and_new = docs.join(bad, "doc_id", "left_anti").unionByName(docs.where(F.col("doc_id").isin(alone.tolist()))).distinct()
+    kept = ids(corpus_pipeline.rules(spark, good_and_new, sf))
+    assert kept and not set(kept) & set(alone)
