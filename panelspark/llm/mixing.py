@@ -6,13 +6,14 @@ each of its tokens, scaled so that the largest rate is ``MAX_RATE``; a document
 number drawn from its content lies below its cell's rate. So the expected tokens of every
 source, language and topic are in proportion to the targets, and no document is repeated.
 
-Targets are the margins' own token shares raised to ``TEMPER``, or are given. A value whose share of
-the tokens is under ``LEAST_SHARE`` is raked together with all such values, so a margin has at most
-1 / LEAST_SHARE + 1 classes and the cells that reach the driver are bounded, whatever the input.
+Targets are the margins' own token shares raised to ``TEMPER``, or are given. Every value is a class of
+its own, however rare. Up to ``CELLS`` cells are raked on the driver; more stay a Spark table, which takes
+the same steps as grouped sums that are joined back. Both ways give the same rates.
 
 Edge cases, all defined: a null value is a class of its own, a null text has no tokens and the draw
 of an empty text; documents without tokens count one token, so every cell has weight; targets of
-classes that do not occur are left out and the others scaled to one; if targets contradict each other
+classes that do not occur are left out and the others scaled to one; values that given targets do not
+name get the rate 0; if targets contradict each other
 on empty cells, fitting ends after ``MAX_ROUNDS`` with the last margin met; equal rows share one draw; an
 empty table gives an empty result. Columns of the input may have any names but those of the results.
 """
@@ -28,6 +29,9 @@ from panelspark.session import written
 
 MARGINS = ("source", "lang", "topic")
 TEMPER = 0.9
+#: Most cells that are raked on the driver and broadcast.
+CELLS = 100_000
+#: For the SQL only, which pools values under this share of the tokens as POOLED; the given tables have none.
 LEAST_SHARE = 1 / 200
 MAX_RATE = 1.0
 MAX_ROUNDS = 500
@@ -79,24 +83,47 @@ def tempered(shares: dict[str, int], power: float = TEMPER) -> dict[str, float]:
     return {k: float(v) ** power for k, v in shares.items()}
 
 
-def rates(measured: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """(source, lang, topic, rate), one row for each raked cell; measured: the margins and n_tokens.
+def raked(cells: DataFrame, goals: dict[str, DataFrame]) -> DataFrame:
+    """``rake`` for cells of any number: ``cells`` with weight; goals: (value, goal) of every value of a margin."""
+    now = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for _ in range(MAX_ROUNDS):
+        after = now.withColumn("before", F.col("weight"))
+        for m in MARGINS:
+            total = F.col("total")
+            factors = after.groupBy(m).agg(F.sum("weight").alias("total")).join(goals[m], m).select(
+                m, (F.col("goal") / F.when(total > 0, total).otherwise(1.0)).alias("factor"))
+            after = after.join(factors, m).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+        after = written(after, "mixing-weights")
+        moved, largest = after.agg(F.max(F.abs(F.col("weight") - F.col("before"))), F.max("weight")).first()
+        now = after.drop("before")
+        if moved <= 1e-13 * largest:
+            break
+    return now
+
 
-    Given targets name every value that is to be raked on its own.
-    """
+def _goals(cells: DataFrame, margin: str, target: dict[str, float] | None) -> DataFrame:
+    values = cells.groupBy(margin).agg(F.sum("tokens").alias("tokens"))
+    goal = F.pow(F.col("tokens").cast("double"), F.lit(TEMPER))
+    if target:
+        named = cells.sparkSession.createDataFrame(
+            [(k, float(v)) for k, v in target.items()], f"{margin} string, named double")
+        values, goal = values.join(named, margin, "left"), F.coalesce("named", F.lit(0.0))
+    values = values.select(margin, goal.alias("goal"))
+    whole = values.agg(F.sum("goal")).first()[0]
+    return written(values.select(margin, (F.col("goal") / F.lit(whole)).alias("goal")), "mixing-goals")
+
+
+def rates(measured: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """(source, lang, topic, rate), one row for each cell; measured: the margins and n_tokens."""
     spark = measured.sparkSession
     targets = targets or {}
     cells = written(measured.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "mixing-cells")
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    kept = {}
-    for m in MARGINS:
-        if m in targets:
-            kept[m] = sorted(targets[m])
-            continue
-        large = cells.groupBy(m).agg(F.sum("tokens").alias("tokens")).where(F.col("tokens") >= LEAST_SHARE * total)
-        kept[m] = sorted(r[0] for r in large.collect())
-    pooled = [F.when(F.col(m).isin(kept[m]), F.col(m)).otherwise(POOLED).alias(m) for m in MARGINS]
-    rows = [tuple(r) for r in cells.groupBy(*pooled).agg(F.sum("tokens")).orderBy(*MARGINS).collect()]
+    if cells.count() > CELLS:
+        table = raked(cells, {m: _goals(cells, m, targets.get(m)) for m in MARGINS})
+        rate = F.col("weight") / F.col("tokens")
+        largest = table.agg(F.max(rate)).first()[0]
+        return table.select(*MARGINS, (rate * F.lit(MAX_RATE / largest)).alias("rate"))
+    rows = [tuple(r) for r in cells.orderBy(*MARGINS).collect()]
     goals = []
     for k, m in enumerate(MARGINS):
         sums: dict[str, int] = {}
@@ -108,7 +135,7 @@ def rates(measured: DataFrame, targets: dict[str, dict[str, float]] | None = Non
         return spark.createDataFrame([], schema)
     rate = rake(rows, goals) / np.array([r[-1] for r in rows])
     rate *= MAX_RATE / rate.max()
-    return spark.createDataFrame([(*r[:-1], float(x)) for r, x in zip(rows, rate)], schema)
+    return F.broadcast(spark.createDataFrame([(*r[:-1], float(x)) for r, x in zip(rows, rate)], schema))
 
 
 def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang",
@@ -125,8 +152,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, **c
     """``docs`` with the struct ``_mix``, which then holds rate and taken as well."""
     rows = measured(docs, **columns)
     table = rates(rows.select("_mix.*"), targets)
-    kept = {m: [r[0] for r in table.select(m).distinct().collect()] for m in MARGINS}
-    on = [F.when(F.col(f"_mix.{m}").isin(kept[m]), F.col(f"_mix.{m}")).otherwise(POOLED) == F.col(f"_cell_{m}") for m in MARGINS]
+    on = [F.col(f"_mix.{m}") == F.col(f"_cell_{m}") for m in MARGINS]
     cells = table.select(*(F.col(m).alias(f"_cell_{m}") for m in MARGINS), F.col("rate").alias("_cell_rate"))
-    return rows.join(F.broadcast(cells), on, "left").withColumn("_mix", F.struct(
+    return rows.join(cells, on, "left").withColumn("_mix", F.struct(
         "_mix.*", F.col("_cell_rate").alias("rate"), (F.col("_mix.draw") < F.col("_cell_rate")).alias("taken"))).drop(*cells.columns)

@@ -201,6 +201,22 @@ def test_small_sizes_of_minhash_parameters():
     assert minhash.BINS == minhash.ROWS * minhash.BANDS and (1 - 0.8**minhash.ROWS) ** minhash.BANDS < 1e-6
 
 
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_rare_values_have_targets_of_their_own(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "CELLS", most)
+    rng = np.random.default_rng(3)
+    rows = [(f"s{i}", lang, topic, int(rng.integers(80, 100)))
+            for i in range(300) for lang in ("en", "de", "xx") for topic in ("note", "essay")]
+    frame = spark.createDataFrame(rows, "source string, lang string, topic string, n_tokens long")
+    table = mixing.rates(frame)
+    got = frame.join(table, list(mixing.MARGINS)).toPandas()
+    assert len(got) == len(rows) and got.source.nunique() == 300 and got.rate.max() == pytest.approx(1)
+    for m in mixing.MARGINS:
+        own = got.groupby(m).n_tokens.sum() ** mixing.TEMPER
+        taken = (got.n_tokens * got.rate).groupby(got[m]).sum()
+        assert np.allclose(taken / taken.sum(), own / own.sum(), rtol=1e-8), m
+
+
 def test_rules_stage_rejects_by_the_trees(spark, sf):
     docs, labels = queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels")
     judged = quality_rules.judge(docs, labels, ["doc_id"]).select("_row.*", "base_failed", "kept").toPandas()
