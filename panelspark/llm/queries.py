@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import (
+    conversations,
     embed_dedup,
     langid,
+    merkle,
     minhash,
     mixing,
+    oracle_text,
     oracles,
     packing,
     pu_quality,
     quality_rules,
     shards,
+    subwords,
     texts,
     url_filter,
     warc,
@@ -102,3 +106,36 @@ def op8_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")).select(
         "doc_id", "_mix.source", "_mix.lang", "_mix.topic", "_mix.n_tokens",
         F.round("_mix.rate", 6).alias("rate"), "_mix.taken")
+
+
+@register()
+def op11_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    ids = subwords.encode(table(spark, sf_dir, "documents"), model, ["doc_id"])
+    digests = ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                         F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    return subwords.decode(digests, model, ["doc_id", "n_tokens", "ids_sha256"]).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@register(oracle_text.merkle_sql())
+def op12_merkle(spark, sf_dir):
+    coded = [merkle.coded(F.col(c)) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", merkle.digest(*coded, merkle.coded(F.col("text"))).alias("leaf"),
+        F.when(hit, merkle.digest(*coded, merkle.coded(lowered))).alias("tampered"))
+    found = merkle.manifest(docs, ["doc_id", "tampered"], "source", "doc_id", "leaf")
+    root = merkle.folded(F.coalesce("row.tampered", "leaf"), F.col("path"))
+    return found.select(
+        "row.doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")).cast("binary"), 256).alias("proof_sha256"),
+        root.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@register(oracle_text.conversations_sql())
+def op13_conversations(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damaged(rows), every=rows)
