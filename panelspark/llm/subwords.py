@@ -12,9 +12,10 @@ one which ends there and is compatible with the last piece of the prefix before
    a merge across their border ever has the better rank; its answers are remembered.
 3. Ids are read off backwards from the last place.
 
-A text costs time in proportion to its length, however it repeats. As no piece holds a space mark
-after another character, a text is cut before space marks, and short cuts are remembered
-with their ids. What a worker remembers has a fixed largest size.
+A text costs time in proportion to its length, however it repeats. It is cut first where no piece can
+span the cut: before space marks and between letters and other characters, as far as the
+vocabulary bears that out. Short cuts are remembered with their ids; what a worker remembers has a
+fixed largest size.
 
 The model file is read on the driver and broadcast (its vocabulary is bounded and does not grow
 with the data). Supported are models of merge type that keep the text as it is but for space marks;
@@ -33,6 +34,7 @@ import codecs
 import re
 import struct
 from array import array
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -112,13 +114,14 @@ class Model:
 
 
 class Encoder(dict):
-    """Words (a space mark and what follows it) to packed ids; fills itself."""
+    """Cuts of a text to packed ids; fills itself."""
 
     def __init__(self, model: Model):
         import ahocorasick
 
         self.model = model
-        self.pairs: dict[int, bool] = {}
+        self.after: dict[int, dict[int, bool]] = defaultdict(dict)
+        self.n_pairs = 0
         #: Merges with the best score come first.
         self.ranks = {p: -model.scores[i] for i, p in enumerate(model.pieces) if model.kinds[i] == NORMAL}
         self.grown: dict[int, tuple | None] = {}
@@ -132,16 +135,31 @@ class Encoder(dict):
         self.automaton = ahocorasick.Automaton()
         for i, piece in self.surface.items():
             if i >= len(model.pieces) or model.kinds[i] == NORMAL:
-                self.automaton.add_word(piece, i)
+                self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(model.pieces) if model.kinds[i] == BYTE}
-        solid = "".join(re.escape(c) for c in sorted(known - {MARK}))
-        # a cut before a mark is safe as long as no piece has one after another character
-        loose = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ranks)
-        mark = f"{MARK}*[{solid}]+|{MARK}+|" if loose else f"[{MARK}{solid}]+|"
-        self.words = re.compile(f"{mark}[^{MARK}{solid}]+").findall
+        self.words = self._cutter(known)
         self.known = known
 
+    def _cutter(self, known: set[str]):
+        """A function that cuts a text where no piece can span the cut."""
+        def spanned(left: str, right: str) -> bool:
+            return any(re.search(left + right, p) for p in self.ranks)
+
+        def some(characters) -> str:
+            return "".join(re.escape(c) for c in sorted(characters))
+
+        letters = {c for c in known if c.isalpha()}
+        others = known - letters - {MARK}
+        if spanned(f"[^{MARK}]", MARK):
+            groups = [f"[{some(known)}]+"]
+        elif not others or not letters or any(
+                spanned(f"[{some(x)}]", f"[{some(y)}]") for x, y in ((letters, others), (others, letters))):
+            groups = [f"{MARK}*[{some(known - {MARK})}]+", f"{MARK}+"]
+        else:
+            groups = [f"{MARK}*[{some(letters)}]+", f"{MARK}*[{some(others)}]+", f"{MARK}+"]
+        return re.compile("|".join([*groups, f"[^{some(known | {MARK})}]+"])).findall
+
     def edges(self, piece: int) -> tuple | None:
         """How a piece grows from its characters: (at its right end, at its left end), or None if
         merging its text does not give it.
@@ -195,21 +213,25 @@ class Encoder(dict):
                 j += 1
 
     def remember(self, left: int, right: int) -> bool:
-        if len(self.pairs) >= PAIRS:
-            self.pairs.clear()
-        found = self.pairs[(left + 1) << 32 | right] = self.compatible(left, right)
+        if self.n_pairs >= PAIRS:
+            self.after.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        found = self.after[left][right] = self.compatible(left, right)
         return found
 
-    def last_pieces(self, word: str) -> array:
+    def last_pieces(self, word: str) -> list[int]:
         """For every prefix of a word, the piece that ends its encoding."""
-        last = array("i", [-1]) * (len(word) + 1)
-        lengths, pairs = self.lengths, self.pairs
-        for place, piece in self.automaton.iter(word):
-            if last[place + 1] < 0:
-                before = last[place + 1 - lengths[piece]]
-                found = pairs.get((before + 1) << 32 | piece)
-                if found or (found is None and self.remember(before, piece)):
-                    last[place + 1] = piece
+        last = [-1] * (len(word) + 1)
+        after = self.after
+        tests = [after[-1]] * (len(word) + 1)  # what is known to follow the last piece of a prefix
+        for place, (piece, size) in self.automaton.iter(word):
+            place += 1
+            if last[place] < 0:
+                found = tests[place - size].get(piece)
+                if found or (found is None and self.remember(last[place - size], piece)):
+                    last[place] = piece
+                    tests[place] = after[piece]
         return last
 
     def spelled(self, text: str) -> list[int]:
@@ -220,10 +242,10 @@ class Encoder(dict):
     def encode_word(self, word: str) -> bytes:
         if word[0] not in self.known:  # no piece holds any of these characters
             return packed(self.spelled(word))
-        last, at, out = self.last_pieces(word), len(word), []
+        last, at, out, known = self.last_pieces(word), len(word), [], len(self.model.pieces)
         while at:
             piece = last[at]
-            if piece < len(self.model.pieces):
+            if piece < known:
                 out.append(piece)
             else:
                 out.extend(reversed(self.spelled(self.surface[piece])))
