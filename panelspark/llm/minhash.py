@@ -1,7 +1,8 @@
 """Near-duplicate texts by one-permutation MinHash, star-shaped candidates and exact checks.
 
 1. Every text becomes its set of word shingles. Texts with equal sets form one class, told by
-   two 64-bit sums over the set; only classes go on, each by its smallest id.
+   two 64-bit sums over the set; only classes go on, each under a number of its own and with the key
+   of one text: the smallest id and a hash of the text, as an id may come with several texts.
 2. One permutation is cut into ``BANDS * ROWS`` bins. The smallest hash of a bin is its value;
    empty bins borrow from bins drawn by hashing (bin, attempt) until one is not empty, which
    keeps collisions of bins independent (optimal densification). Bands of ROWS values are buckets.
@@ -17,16 +18,17 @@ A pair at the threshold shares no bucket with probability (1 - s ** ROWS) ** BAN
 0.85, 2e-7 at 0.8.
 
 Edge cases, all defined: a text that is null or without words has an empty set and links with
-nothing; a text shorter than a shingle is one shingle; rows that repeat an id are one document
-and share its result; rows without an id link with nothing and are kept; an empty table gives an
-empty result. Ids are integers. Other columns of the input play no part.
+nothing; a text shorter than a shingle is one shingle; rows that repeat an id each have a result
+by their own text, and ``distinct_rows`` keeps one row of a group whatever ids repeat; rows without an id link
+with nothing and are kept; an empty table gives an empty result. Ids are integers. Other columns of the
+input play no part.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm import texts
@@ -69,7 +71,7 @@ def band_hashes(values: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n, k1, k2, bands) of every (id, text); k1 and k2 tell the sets apart."""
+    """(id, key, n, k1, k2, bands) of every (id, key, text); k1 and k2 tell the sets apart."""
 
     def run(batches):
         for batch in batches:
@@ -78,11 +80,11 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 sums = [np.array([int(texts.mix(s + np.uint64(k)).sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64)
                         for k in (1, 2)]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("id"), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, sums),
+                    [piece.column("id"), piece.column("key"), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, sums),
                      pa.array(list(band_hashes(signatures(sets))), pa.list_(pa.int64()))],
-                    names=["id", "n", "k1", "k2", "bands"])
+                    names=["id", "key", "n", "k1", "k2", "bands"])
 
-    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>")
+    return docs.mapInArrow(run, "id long, key long, n long, k1 long, k2 long, bands array<long>")
 
 
 def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
@@ -105,11 +107,11 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.
     return 100 * both >= percent * (size_l[:, None] + size_r - both)
 
 
-def confirm(jobs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirm(jobs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b) that span the links in every job.
 
-    jobs: (j1, j2, j3, j4) name a job; ``left`` tells the side of ``id``; ids in the same
-    ``component`` are not compared.
+    jobs: (j1, j2, j3, j4) name a job; ``left`` tells the side of the class ``id``; classes in the same
+    ``component`` are not compared. A class is checked on the text whose id and key it carries.
     """
 
     def run(key, job):
@@ -125,8 +127,11 @@ def confirm(jobs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
             xs, ys = forest.pairs()
         return pa.table({"a": xs, "b": ys})
 
-    wanted = bounded(jobs.select("id").distinct(), 500_000)
-    whole = docs.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    jobs = written(jobs, "jobs")
+    wanted = jobs.select("id").distinct().join(
+        classes.select("id", F.col("doc").alias("_doc"), F.col("key").alias("_key")), "id")
+    here = (F.col("_id") == F.col("_doc")) & (F.col("key") == F.col("_key"))
+    whole = docs.select(F.col("id").alias("_id"), "key", "text").join(wanted, here).groupBy("id").agg(F.max("text").alias("text"))
     return jobs.join(whole, "id").groupBy("j1", "j2", "j3", "j4").applyInArrow(run, "a long, b long")
 
 
@@ -184,29 +189,55 @@ def residual_jobs(members: DataFrame, groups: DataFrame) -> DataFrame:
     return side(both.where("component != top"), True).unionByName(side(both, False))
 
 
+def key_of(text: Column) -> Column:
+    """A hash that tells the texts of one id apart."""
+    return F.xxhash64(F.lit(7), text)
+
+
 def dedup(docs: DataFrame, percent: int = 80, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row."""
+    """(id, key, n_shingles, component_id, kept, head) for every row.
+
+    ``key`` is ``key_of`` its text; ``head`` tells rows with the id and key that stand for their
+    group. If ids repeat with other texts, more than one row of a group may have its id, but only one
+    pair of id and key is the head.
+    """
     texts.small_batches(docs.sparkSession)
-    docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("id"), key_of(F.col(text)).alias("key"), F.col(text).alias("text"))
     sketches = written(sketch(docs, width), "sketches")
     able = sketches.where("id is not null and n > 0")
     classes = written(
-        able.groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "bands")).alias("head"))
-        .select("k1", "k2", "n", F.col("head.id").alias("id"), F.col("head.bands").alias("bands")), "text-classes")
+        able.groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "key", "bands")).alias("head"))
+        .select("k1", "k2", "n", F.monotonically_increasing_id().alias("id"), F.col("head.id").alias("doc"),
+                F.col("head.key").alias("key"), F.col("head.bands").alias("bands")), "text-classes")
     members = classes.select("id", "n", F.posexplode("bands").alias("band", "h"))
     crowded = members.groupBy("band", "h").count().where("count > 1").select("band", "h")
     members = written(members.join(crowded, ["band", "h"], "left_semi"), "bucket-members")
-    stars = written(confirm(star_jobs(members, percent), docs, width, percent), "links")
+    stars = written(confirm(star_jobs(members, percent), docs, classes, width, percent), "links")
     groups = written(components(stars), "groups")
-    rest = written(confirm(residual_jobs(members, groups), docs, width, percent), "links")
+    rest = written(confirm(residual_jobs(members, groups), docs, classes, width, percent), "links")
     joined = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
     groups = components(joined.unionByName(rest))
-    judged = (
-        classes.join(groups, F.col("id") == F.col("node"), "left")
-        .select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("n").alias("c3"),
-                F.coalesce("component", "id").alias("component")))
+    grouped = written(classes.select("id", "k1", "k2", "n", "doc", "key").join(groups, F.col("id") == F.col("node"), "left").select(
+        F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("n").alias("c3"), "doc", "key",
+        F.coalesce("component", "id").alias("component")), "grouped-classes")
+    heads = grouped.groupBy("component").agg(F.min(F.struct("doc", "key")).alias("first"))
+    judged = grouped.select("c1", "c2", "c3", "component").join(heads, "component").select("c1", "c2", "c3", "first")
     same = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n") == F.col("c3")) & F.col("id").isNotNull()
-    component = F.coalesce("component", "id")
-    return sketches.select("id", "n", "k1", "k2").join(judged, same, "left").select(
-        "id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    component = F.coalesce("first.doc", "id")
+    return sketches.select("id", "key", "n", "k1", "k2").join(judged, same, "left").select(
+        "id", "key", F.col("n").alias("n_shingles"), component.alias("component_id"),
+        F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
+        (F.col("first").isNull() | ((F.col("id") == F.col("first.doc")) & (F.col("key") == F.col("first.key")))).alias("head"))
+
+
+def distinct_rows(docs: DataFrame, percent: int = 80, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: one row stays of every group, all columns with it."""
+    found = written(dedup(docs, percent, width, doc_id, text).select("id", "key", "n_shingles", "head"), "near-copies")
+    copies = found.where("not head").select("id", "key").distinct()
+    twice = found.where("head and n_shingles > 0 and id is not null").groupBy("id", "key").count().where("count > 1").select("id", "key")
+    keyed = docs.select(F.struct("*").alias("row"), docs[doc_id].cast("long").alias("id"), key_of(docs[text]).alias("key"))
+    kept = keyed.join(copies, ["id", "key"], "left_anti")
+    if not twice.isEmpty():  # equal ids and texts: any one of the rows
+        kept = kept.join(twice, ["id", "key"], "left_anti").unionByName(
+            kept.join(twice, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]))
+    return kept.select("row.*")

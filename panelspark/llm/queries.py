@@ -83,7 +83,8 @@ def op7_embedding_dedup(spark, sf_dir):
 
 @register()
 def op6_minhash(spark, sf_dir):
-    return minhash.dedup(table(spark, sf_dir, "documents"), percent=85, width=3).withColumnRenamed("id", "doc_id")
+    return minhash.dedup(table(spark, sf_dir, "documents"), percent=85, width=3).select(
+        F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 @register(oracles.packing_sql())

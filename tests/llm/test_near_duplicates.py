@@ -89,11 +89,53 @@ def test_near_copies_edge_cases(spark):
     docs = spark.createDataFrame(
         [(1, "a b c d e f", 0), (1, "a b c d e f", 0), (2, "a b c d e f", 0), (None, "a b c d e f", 0), (3, None, 0), (4, "", 0)],
         "doc_id long, text string, component long")
-    got = sorted(map(tuple, minhash.dedup(docs, 85, 3).collect()), key=str)
+    got = minhash.dedup(docs, 85, 3).select("id", "n_shingles", "component_id", "kept").collect()
+    got = sorted(map(tuple, got), key=str)
     assert got == sorted([(1, 4, 1, True), (1, 4, 1, True), (2, 4, 1, False), (None, 4, None, True), (3, 0, 3, True), (4, 0, 4, True)], key=str)
     assert minhash.dedup(docs.limit(0)).count() == 0
 
 
+def repeated_ids(seed):
+    """(place, id, text): ids come up to four times, with equal and with other texts."""
+    rng = np.random.default_rng(seed)
+    rows = [(i, t) for i, t in corpus(seed) if t is not None]
+    rows = [(int(rng.integers(0, len(rows) // 3)), t) for _, t in rows]
+    rows += [rows[int(k)] for k in rng.integers(0, len(rows), 12)]
+    return [(place, i, t) for place, (i, t) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_repeated_ids_lose_no_link_and_no_row(spark, seed):
+    rows = repeated_ids(seed)
+    by_place, _ = brute([(place, t) for place, _, t in rows], 5, 80)
+    ids = {place: i for place, i, _ in rows}
+    low = {}
+    for place, group in by_place.items():
+        low[group] = min(low.get(group, ids[place]), ids[place])
+    want = sorted((ids[place], len(words_of(t, 5)), low[by_place[place]] if words_of(t, 5) else ids[place])
+                  for place, _, t in rows)
+    docs = spark.createDataFrame(rows, "place long, doc_id long, text string").repartition(6)
+    got = minhash.dedup(docs).collect()
+    assert sorted((r.id, r.n_shingles, r.component_id) for r in got) == want
+    assert all(r.kept == (r.id == r.component_id) for r in got)
+    kept = [r.place for r in minhash.distinct_rows(docs).collect()]
+    blank = [place for place, _, t in rows if not words_of(t, 5)]
+    groups = [by_place[place] for place in kept if place not in blank]
+    assert len(kept) == len(set(kept)) and set(blank) <= set(kept)
+    assert sorted(groups) == sorted({by_place[place] for place, _, t in rows if place not in blank})
+
+
+def test_one_id_with_two_texts(spark):
+    """The copy of either text is found, and a text of its own under a copied id stays."""
+    a, b = " ".join(f"w{k}" for k in range(62)), " ".join(f"v{k}" for k in range(62))
+    rows = [(1, a), (1, b), (5, b + " more"), (0, a + " too"), (7, "quite another text of its own here"), (7, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.id, r.n_shingles): r.component_id for r in minhash.dedup(docs).collect()}
+    assert got[5, 59] == 1 and got[0, 59] == 0
+    kept = {(r.doc_id, r.text) for r in minhash.distinct_rows(docs).collect()}
+    assert (7, "quite another text of its own here") in kept and (0, a + " too") in kept and len(kept) == 3
+
+
 def test_densified_bins_collide_as_often_as_sets_are_alike():
     rng = np.random.default_rng(0)
     rates = []
