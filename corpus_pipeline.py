@@ -11,10 +11,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from panelspark.llm import minhash, mixing, packing, pu_quality, quality_rules
-from panelspark.session import bounded, shared_dir
+from panelspark.session import shared_dir
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +36,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
-    repeats = minhash.dedup(docs).where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(bounded(repeats, 1_000_000), "doc_id", "left_anti").select(docs.columns)
+    return minhash.distinct_rows(docs).select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
