@@ -27,10 +27,10 @@ columns are read, and columns kept travel in a struct, so names cannot clash.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelspark.session import bounded, written
+from panelspark.llm.places import indexed
+from panelspark.session import written
 
 ENTRY = "array<struct<before:string,after:string>>"
 HEX = 64
@@ -47,23 +47,6 @@ def digest(*parts: Column) -> Column:
     return F.sha2(F.concat(*parts).cast("binary"), 256)
 
 
-def _indexed(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Replaces nothing and adds ``idx``, the place in the group, and ``n``, the group's size."""
-    keys = ["grp", *order, "_from"]
-    placed = written(
-        rows.withColumn("_from", F.monotonically_increasing_id()).repartitionByRange(*keys)
-        .sortWithinPartitions(*keys).drop("_from").withColumn("_at", F.monotonically_increasing_id()),
-        "merkle-leaves").withColumn("_range", F.shiftright("_at", 33))
-    ranges = W.partitionBy("grp").orderBy("_range")
-    starts = placed.groupBy("grp", "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).select(
-        "grp", "_range", "_first",
-        F.coalesce(F.sum("_n").over(ranges.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
-        F.sum("_n").over(ranges.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("n"))
-    starts = written(starts, "merkle-ranges")
-    return placed.join(bounded(starts), ["grp", "_range"]).withColumn(
-        "idx", F.col("_start") + F.col("_at") - F.col("_first")).drop("_range", "_at", "_first", "_start")
-
-
 def siblings(idx: Column, arity: int) -> Column:
     """Indices of the others in the run of ``idx``, some of which may lie beyond the group's end."""
     if arity == 2:
@@ -125,15 +108,15 @@ def manifest(rows: DataFrame, keep: list[str], group: str, order: str, leaf: str
     if arity < 2:
         raise ValueError("a run has two nodes at least")
     name = F.col(group).cast("string")
-    leaves = _indexed(rows.select(
+    leaves = indexed(rows.select(
         F.coalesce(F.concat(F.lit("="), name), F.lit("-")).alias("grp"), F.col(order).alias("_order"),
-        F.col(leaf).alias("digest"), F.struct(*keep).alias("row")), ["_order", "digest"])
+        F.col(leaf).alias("digest"), F.struct(*keep).alias("row")), "grp", ["_order", "digest"], "merkle-leaves")
     levels = _levels(leaves, arity)
     subroots = None
     for nodes in levels:
         last = nodes.where("n = 1").select(F.lit("").alias("grp"), F.col("grp").alias("row"), "digest")
         subroots = last if subroots is None else subroots.unionByName(last)
-    over = _levels(_indexed(subroots, ["row"]), arity)
+    over = _levels(indexed(subroots, "grp", ["row"], "merkle-subroots"), arity)
     root = over[-1].where("n = 1").select("digest").first()
     tops = _paths(over, None, arity).select(F.col("row").alias("grp"), "path", F.col("digest").alias("subroot"))
     return _paths(levels, written(tops, "merkle-tops"), arity).select(

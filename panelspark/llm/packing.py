@@ -5,10 +5,10 @@ boundaries with the least padding, when every text of a bucket is padded to the
 longest. Inside a bucket, texts are dealt in seeded order into batches of as many rows as the
 token budget holds at the padded length.
 
-The histogram is exact up to ``FINE`` tokens and has ``STEPS`` cells for each doubling beyond,
-so it has some thousand rows at most for any input; sums inside a cell are exact, so is the
-padding. Places in a bucket come from counts of slices of the seeded order and row numbers
-inside slices, so no bucket is ever sorted in one task.
+The histogram has one row for every length that occurs, so its size follows the longest text, not the
+rows, and the boundaries are the best there are. As the best earlier boundary never falls when texts get
+longer, a layer of the programme is settled by halving, in time n log n. Places in a bucket come from ranges
+of the seeded order, so neither a bucket nor a mass of equal rows is ever sorted in one task.
 
 Edge cases, all defined: a null text has no tokens and an empty one neither; texts longer than the
 budget get batches of one row; ties in padding go to the smaller boundary; equal rows take
@@ -18,48 +18,65 @@ of the input beyond id and text play no part.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelspark.llm.mixing import WORD
+from panelspark.llm.places import indexed
 from panelspark.session import written
 
-FINE, STEPS = 1024, 128
+#: Most distinct lengths; more are an error.
+LENGTHS = 5_000_000
 BUCKETS = 16
 TOKEN_BUDGET = 65_536
-SLICE_ROWS = 50_000
 
 
 def length_of(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def cell_of(n: Column) -> Column:
-    return F.when(n <= FINE, n).otherwise(FINE + F.floor(STEPS * F.log2(n / FINE))).cast("long")
+def _layer(cost: np.ndarray, longest: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One more bucket: for every last length the least padded size, and the first boundary before it that gives it.
+
+    Places are settled middle first; a place between two settled ones looks only between their picks.
+    """
+    n = len(longest)
+    fresh, pick = np.full(n, np.iinfo(np.int64).max), np.zeros(n, dtype=np.int64)
+    fresh[0] = cost[0]
+    spans = np.array([[1, n - 1, 0, n - 2]], dtype=np.int64) if n > 1 else np.zeros((0, 4), np.int64)
+    while len(spans):
+        first, last, low, high = spans.T
+        middle = (first + last) // 2
+        high_here = np.minimum(high, middle - 1)
+        sizes = high_here - low + 1
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        owner = np.repeat(np.arange(len(spans)), sizes)
+        tried = np.arange(sizes.sum()) - starts[owner] + low[owner]
+        at = middle[owner]
+        through = cost[tried] + longest[at] * (before[at + 1] - before[tried + 1])
+        least = np.minimum.reduceat(through, starts)
+        hits = np.flatnonzero(through == least[owner])
+        _, one = np.unique(owner[hits], return_index=True)
+        fresh[middle], pick[middle] = least, tried[hits[one]]
+        halves = np.concatenate([np.stack([first, middle - 1, low, pick[middle]], axis=1),
+                                 np.stack([middle + 1, last, pick[middle], high], axis=1)])
+        spans = halves[halves[:, 0] <= halves[:, 1]]
+    return fresh, pick
 
 
 def best_boundaries(longest: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
-    """Longest lengths of the buckets; cells come in order of length."""
+    """Longest lengths of the buckets; lengths come in order, each with its count."""
     cells = len(longest)
     buckets = min(buckets, cells)
+    longest = longest.astype(np.int64)
     before = np.concatenate([[0], np.cumsum(counts)])
     # the lengths' sum is the same for every choice, so padded size alone decides
-    cost = longest.astype(np.int64) * before[1:]
+    cost = longest * before[1:]
     picks = []
     for _ in range(1, buckets):
-        fresh, pick = np.full(cells, np.iinfo(np.int64).max), np.zeros(cells, dtype=np.int64)
-        for j in range(cells):
-            if j:
-                through = cost[:j] + longest[j] * (before[j + 1] - before[1: j + 1])
-                pick[j] = int(through.argmin())
-                fresh[j] = through[pick[j]]
-        fresh[0] = cost[0]
+        cost, pick = _layer(cost, longest, before)
         picks.append(pick)
-        cost = fresh
     out, at = [], cells - 1
     for pick in reversed(picks):
         out.append(int(longest[at]))
@@ -77,23 +94,15 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET, se
     content = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), content).cast("binary"))
     rows = written(docs.select(F.col(doc_id).alias("doc_id"), length_of(F.col(text)).alias("n_tokens"), order.alias("at")), "lengths")
-    histogram = (
-        rows.groupBy(cell_of(F.col("n_tokens")).alias("cell"))
-        .agg(F.max("n_tokens").alias("longest"), F.count("*").alias("n")).orderBy("cell").toPandas())
-    total = int(histogram["n"].sum())
-    ends = best_boundaries(histogram["longest"].to_numpy(), histogram["n"].to_numpy(), buckets) if total else [0]
+    table = rows.groupBy("n_tokens").count().orderBy("n_tokens").limit(LENGTHS + 1).toArrow()
+    if table.num_rows > LENGTHS:
+        raise ValueError(f"more than {LENGTHS} distinct lengths")
+    lengths, counts = (table.column(c).to_numpy() for c in ("n_tokens", "count"))
+    ends = best_boundaries(lengths, counts, buckets) if len(lengths) else [0]
     bucket = sum(((F.col("n_tokens") > e).cast("int") for e in ends[:-1]), F.lit(0))
     padded = F.element_at(F.array(*(F.lit(e).cast("long") for e in ends)), F.col("bucket") + 1)
     per_batch = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest("padded_to", F.lit(1)))).cast("long")
-    digits = max(1, math.ceil(math.log(max(1, total / SLICE_ROWS), 16)))
-    rows = rows.withColumn("bucket", bucket).withColumn("padded_to", padded).withColumn("slice", F.substring("at", 1, digits))
-    earlier = W.partitionBy("bucket").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    starts = rows.groupBy("bucket", "slice").count().select(
-        F.col("bucket").alias("b"), F.col("slice").alias("s"), F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("start"))
-    inside = F.row_number().over(W.partitionBy("bucket", "slice").orderBy("at", "doc_id")) - 1
-    rank = F.col("start") + F.col("inside")
-    return (
-        rows.withColumn("inside", inside)
-        .join(starts, (F.col("bucket") == F.col("b")) & (F.col("slice") == F.col("s")))
-        .select("doc_id", "n_tokens", "bucket", "padded_to", F.floor(rank / per_batch).cast("long").alias("batch"),
-                F.pmod(rank, per_batch).cast("long").alias("place")))
+    placed = indexed(rows.withColumn("bucket", bucket).withColumn("padded_to", padded), "bucket", ["at", "doc_id"], "packing")
+    return placed.select(
+        "doc_id", "n_tokens", "bucket", "padded_to", F.floor(F.col("idx") / per_batch).cast("long").alias("batch"),
+        F.pmod("idx", per_batch).cast("long").alias("place"))

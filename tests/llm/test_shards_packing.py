@@ -81,16 +81,35 @@ def test_boundaries_have_the_least_padding(seed):
     assert packing.best_boundaries(longest, counts, 20) == sorted(longest)
 
 
+def test_many_lengths_equal_the_plain_programme():
+    """Against the programme that tries every boundary for every length."""
+    rng = np.random.default_rng(2)
+    longest = np.sort(rng.choice(5000, 700, replace=False)).astype(np.int64)
+    counts = rng.integers(1, 30, 700)
+    before = np.concatenate([[0], np.cumsum(counts)])
+    cost = longest * before[1:]
+    for _ in range(6):
+        fresh, pick = packing._layer(cost, longest, before)
+        for j in range(1, 700):
+            through = cost[:j] + longest[j] * (before[j + 1] - before[1: j + 1])
+            assert fresh[j] == through.min() and pick[j] == through.argmin()
+        cost = fresh
+
+
+def test_a_mass_of_equal_rows_is_dealt_out(spark):
+    docs = spark.createDataFrame([(5, "same words")] * 3000 + [(i, "w " * i) for i in range(1, 40)], "doc_id long, text string")
+    found = packing.pack(docs, buckets=3, budget=100).toPandas()
+    assert len(found) == 3039 and not found.duplicated(["bucket", "batch", "place"]).any()
+    for _, part in found.groupby("bucket"):
+        assert sorted(part.groupby("batch").size())[1:] == [max(1, 100 // part.padded_to.iloc[0])] * (part.batch.nunique() - 1)
+
+
 def test_batches_hold_the_budget_and_every_row(spark):
     rng = np.random.default_rng(1)
     rows = [(i if i % 7 else None, " ".join(["w"] * int(n)), 1) for i, n in enumerate(rng.geometric(0.02, 900))]
     rows += [(5000, None, 1), (5001, " \n", 1), (5002, "w " * 3000, 1)] + [(9, "same words here", 1)] * 40
     docs = spark.createDataFrame(rows, "doc_id long, text string, batch int")
-    packing_slices, packing.SLICE_ROWS = packing.SLICE_ROWS, 20
-    try:
-        found = packing.pack(docs, buckets=5, budget=1000).toPandas()
-    finally:
-        packing.SLICE_ROWS = packing_slices
+    found = packing.pack(docs, buckets=5, budget=1000).toPandas()
     assert len(found) == len(rows) and (found.n_tokens <= found.padded_to).all()
     assert sorted(found.n_tokens) == sorted(len((t or "").split()) for _, t, _ in rows)
     for (_, padded), part in found.groupby(["bucket", "padded_to"]):
