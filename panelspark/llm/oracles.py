@@ -57,7 +57,6 @@ def _content_hash(seed: int) -> str:
 
 def packing_sql(buckets: int = packing.BUCKETS, budget: int = packing.TOKEN_BUDGET) -> str:
     """Dynamic programming as one table for each number of buckets, then the way back."""
-    fine, steps = packing.FINE, packing.STEPS
     forward = "".join(f""",
 f{k} AS MATERIALIZED (
     SELECT b.j, coalesce(min([a.cost + b.longest * (b.upto - a.upto), a.j]), [b.longest * b.upto, 0]) AS best
@@ -68,10 +67,7 @@ e{k - 1} AS (SELECT f.best[2] AS j FROM e{k} e JOIN f{k} f USING (j) WHERE e.j >
     ends = " UNION ".join(f"SELECT j FROM e{k}" for k in range(1, buckets + 1))
     return f"""
 WITH t AS MATERIALIZED (SELECT doc_id, CAST({WORDS} AS BIGINT) AS n_tokens, {_content_hash(31)} AS ord FROM documents),
-cells AS (
-    SELECT CASE WHEN n_tokens <= {fine} THEN n_tokens ELSE {fine} + CAST(floor({steps} * log2(n_tokens / {fine})) AS BIGINT) END AS cell,
-           max(n_tokens) AS longest, count(*) AS n
-    FROM t GROUP BY 1),
+cells AS (SELECT n_tokens AS cell, n_tokens AS longest, count(*) AS n FROM t GROUP BY 1),
 h AS MATERIALIZED (
     SELECT CAST(row_number() OVER (ORDER BY cell) - 1 AS BIGINT) AS j, longest, CAST(sum(n) OVER (ORDER BY cell) AS BIGINT) AS upto FROM cells),
 f1 AS (SELECT j, [longest * upto, 0] AS best FROM h){forward}{back},
@@ -92,18 +88,19 @@ FROM ranked"""
 def mixing_sql(rounds: int = 40) -> str:
     form = "CASE " + " ".join(f"WHEN n_tokens < {n} THEN '{name}'" for n, name in mixing.FORMS) + f" ELSE '{mixing.LONGEST}' END"
     margins = mixing.MARGINS
-    pooled = ", ".join(
-        f"CASE WHEN sum(n_tokens) OVER (PARTITION BY {m}) >= {mixing.LEAST_SHARE} * sum(n_tokens) OVER () "
-        f"THEN {m} ELSE '{mixing.POOLED}' END AS c_{m}" for m in margins)
-    names = ", ".join(f"c_{m}" for m in margins)
-    goals = ", ".join(f"g_{m} / sum(g_{m} / k_{m}) OVER () AS g_{m}" for m in margins)
-    powers = ", ".join(
-        f"power(sum(tokens) OVER (PARTITION BY c_{m}), {mixing.TEMPER}) AS g_{m}, count(*) OVER (PARTITION BY c_{m}) AS k_{m}" for m in margins)
+    names = ", ".join(margins)
+    levels = ",\n".join(f"""o_{m} AS (
+    SELECT {m}, tok, share, sum(tok) OVER up - tok AS full_, sum(share) OVER (ORDER BY tok / share DESC, {m} DESC) AS open_
+    FROM (SELECT {m}, sum(tokens) AS tok, power(sum(tokens), {mixing.TEMPER}) AS share FROM cells GROUP BY {m})
+    WINDOW up AS (ORDER BY tok / share, {m})),
+g_{m} AS (SELECT {m}, least(tok, share * (SELECT max(({mixing.BUDGET} * (SELECT sum(tokens) FROM cells) - full_) / open_) FROM o_{m})) AS g_{m} FROM o_{m})"""
+                          for m in margins)
+    keep = ", ".join(f"g_{m}" for m in margins)
+    joins = " ".join(f"JOIN g_{m} USING ({m})" for m in margins)
     steps, last = [], "goals"
     for k in range(rounds):
         for m in margins:
-            keep = ", ".join(f"g_{x}" for x in margins)
-            steps.append(f"w{k}_{m} AS (SELECT {names}, tokens, {keep}, w * g_{m} / sum(w) OVER (PARTITION BY c_{m}) AS w FROM {last})")
+            steps.append(f"w{k}_{m} AS (SELECT {names}, tokens, {keep}, least(tokens, w * g_{m} / sum(w) OVER (PARTITION BY {m})) AS w FROM {last})")
             last = f"w{k}_{m}"
     chain = ",\n".join(steps)
     draw = f"CAST('0x' || substr({_content_hash(23)}, 1, 12) AS BIGINT) / {float(16**12)}"
@@ -113,14 +110,13 @@ WITH n AS MATERIALIZED (
            greatest(CAST({WORDS} AS BIGINT), 1) AS n_tokens, {draw} AS draw
     FROM documents),
 t AS (SELECT *, {form} AS topic FROM n),
-p AS MATERIALIZED (SELECT *, {pooled} FROM t),
-cells AS (SELECT {names}, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM p GROUP BY ALL),
-powers AS (SELECT {names}, tokens, tokens AS w, {powers} FROM cells),
-goals AS MATERIALIZED (SELECT {names}, tokens, w, {goals} FROM powers),
+cells AS MATERIALIZED (SELECT {names}, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM t GROUP BY ALL),
+{levels},
+goals AS MATERIALIZED (SELECT {names}, tokens, tokens AS w, {keep} FROM cells {joins}),
 {chain},
-rates AS MATERIALIZED (SELECT {names}, {mixing.MAX_RATE} * (w / tokens) / max(w / tokens) OVER () AS rate FROM {last})
+rates AS MATERIALIZED (SELECT {names}, w / tokens AS rate FROM {last})
 SELECT doc_id, source, lang, topic, n_tokens, round(rate, 6) AS rate, draw < rate AS taken
-FROM p JOIN rates USING ({names})"""
+FROM t JOIN rates USING ({names})"""
 
 
 def warc_sql() -> str:

@@ -104,7 +104,8 @@ def test_raked_margins_meet_their_targets():
     rng = np.random.default_rng(0)
     cells = [(a, b, c, int(rng.integers(1, 1000))) for a in "abc" for b in "xy" for c in "pqrs" if rng.random() < 0.9]
     goals = [{"a": 5, "b": 3, "c": 2}, {"x": 1, "y": 1, "absent": 9}, {"p": 1, "q": 2, "r": 3, "s": 4}]
-    weight = mixing.rake(cells, goals)
+    weight = mixing.rake(cells, goals, 0.02)
+    assert weight.sum() == pytest.approx(0.02 * sum(c[-1] for c in cells))
     for k, goal in enumerate(goals):
         there = {c[k] for c in cells}
         total = sum(v for x, v in goal.items() if x in there)
@@ -119,8 +120,9 @@ def test_sampled_tokens_follow_the_rates(spark):
     rows += [(9001, None, None, None, 0.0), (9002, "", "s1", "en", 0.0), (None, "a b", "rare", "xx", 0.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, rate double")
     goals = {"source": {"s0": 0.25, "s1": 0.25, "s2": 0.2, "s3": 0.3}}
-    got = mixing.mix(docs, goals).select("doc_id", "text", "_mix.*").toPandas()
-    assert len(got) == len(rows) and got.rate.between(0, 1).all() and got.rate.max() == 1.0
+    got = mixing.mix(docs, goals, budget=0.3).select("doc_id", "text", "_mix.*").toPandas()
+    assert len(got) == len(rows) and got.rate.between(0, 1).all()
+    assert (got.n_tokens * got.rate).sum() == pytest.approx(0.3 * got.n_tokens.sum(), rel=0.01)
     large = got[got.source.isin(list(goals["source"]))]
     expected = (large.n_tokens * large.rate).groupby(large.source).sum()
     assert np.allclose(expected / expected.sum(), [goals["source"][s] for s in expected.index], atol=0.01)
@@ -208,15 +210,61 @@ def test_rare_values_have_targets_of_their_own(spark, monkeypatch, most):
     rows = [(f"s{i}", lang, topic, int(rng.integers(80, 100)))
             for i in range(300) for lang in ("en", "de", "xx") for topic in ("note", "essay")]
     frame = spark.createDataFrame(rows, "source string, lang string, topic string, n_tokens long")
-    table = mixing.rates(frame)
+    table = mixing.rates(frame, budget=0.3)
     got = frame.join(table, list(mixing.MARGINS)).toPandas()
-    assert len(got) == len(rows) and got.source.nunique() == 300 and got.rate.max() == pytest.approx(1)
+    assert len(got) == len(rows) and got.source.nunique() == 300 and got.rate.max() <= 1
     for m in mixing.MARGINS:
         own = got.groupby(m).n_tokens.sum() ** mixing.TEMPER
         taken = (got.n_tokens * got.rate).groupby(got[m]).sum()
         assert np.allclose(taken / taken.sum(), own / own.sum(), rtol=1e-8), m
 
 
+def plain_levels(tokens, share, budget):
+    """Pours the budget out a little at a time."""
+    given, left = [0.0] * len(tokens), budget
+    while left > 1e-9 * budget:
+        open_ = [i for i, t in enumerate(tokens) if given[i] < t * (1 - 1e-12) and share[i] > 0]
+        if not open_:
+            break
+        pour = min(left / sum(share[i] for i in open_), min((tokens[i] - given[i]) / share[i] for i in open_))
+        for i in open_:
+            given[i] += pour * share[i]
+            left -= pour * share[i]
+    return given
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_budgets_are_dealt_as_by_pouring(seed):
+    rng = np.random.default_rng(seed)
+    tokens, share = rng.integers(1, 1000, 12).astype(float), rng.random(12) * (rng.random(12) < 0.8)
+    for part in (0.05, 0.5, 0.95):
+        want = plain_levels(tokens, share, part * tokens.sum())
+        assert np.allclose(mixing.dealt(tokens, share, part * tokens.sum()), want, rtol=1e-6, atol=1e-6)
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_one_rare_cell_takes_no_more_than_its_tokens(spark, monkeypatch, most):
+    """240 equal cells and one tiny one in a source and language of its own: the budget is still kept."""
+    monkeypatch.setattr(mixing, "CELLS", most)
+    rows = [(f"s{i}", lang, topic, 10**9) for i in range(20) for lang in ("en", "de", "fr") for topic in ("a", "b", "c", "d")]
+    rows.append(("rare", "xx", "a", 50))
+    frame = spark.createDataFrame(rows, "source string, lang string, topic string, n_tokens long")
+    got = frame.join(mixing.rates(frame, budget=0.6), list(mixing.MARGINS)).toPandas()
+    taken = got.n_tokens * got.rate
+    assert taken.sum() == pytest.approx(0.6 * got.n_tokens.sum(), rel=1e-6)
+    assert got[got.source == "rare"].rate.iloc[0] == pytest.approx(1) and got.rate.max() <= 1
+    assert taken.groupby(got.source).sum().drop("rare").std() < 1e-3 * 1e9
+
+
+def test_given_topics_and_refused_names(spark):
+    rows = [(i, "a b c", "s", "en", f"t{i % 2}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, subject string")
+    got = mixing.mix(docs, {"topic": {"t0": 3, "t1": 1}}, budget=0.4, topic="subject").select("_mix.*").toPandas()
+    assert got.groupby("topic").rate.first().tolist() == pytest.approx([0.6, 0.2])
+    with pytest.raises(ValueError):
+        mixing.mix(docs.withColumn("_mix", F.lit(1)))
+
+
 def test_rules_stage_rejects_by_the_trees(spark, sf):
     docs, labels = queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels")
     judged = quality_rules.judge(docs, labels, ["doc_id"]).select("_row.*", "base_failed", "kept").toPandas()
