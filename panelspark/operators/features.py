@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from panelspark.functions import expr
 from panelspark.functions.correlation import spearman_features, to_long
 from panelspark.functions.ranking import exact_median
-from panelspark.operators.stability import pairs_of, ratio_of
+from panelspark.operators import pairs
+from panelspark.operators.stability import RATIO_EPS, pairs_of, ratio_of
 from panelspark.session import all_rows, bounded, written
 
 # Name patterns, guards and caps of the engineered columns.
@@ -62,20 +63,16 @@ def yolo_features(df: DataFrame, relationships) -> DataFrame:
 
 def math_features(df: DataFrame, base: list[str], max_pairs: int | None = None) -> DataFrame:
     """Ratio (when over 80% valid) and difference of each ordered pair of base features."""
-    pairs = pairs_of(base, max_pairs)
-    if not pairs:
+    used = pairs_of(base, max_pairs)
+    if not used:
         return df
     # a ratio of finite columns is missing only where one side is
-    shares = df.agg(
-        *[
-            F.avg((F.col(a).isNotNull() & F.col(b).isNotNull()).cast("double")).alias(f"s{i}")
-            for i, (a, b) in enumerate(pairs)
-        ]
-    ).first()
+    poor = {r["pair"] for r in _shares(df, base).where(
+        F.coalesce("valid_share", F.lit(0.0)) <= MATH_VALID_SHARE).select("pair").toLocalIterator()}
     made = {}
-    for i, (a, b) in enumerate(pairs):
+    for i, (a, b) in enumerate(used):
         tail = {"i": i, "a": a.split("_")[-1], "b": b.split("_")[-1]}
-        if (shares[f"s{i}"] or 0.0) > MATH_VALID_SHARE:
+        if i not in poor:
             made[MATH_RATIO_NAME.format(**tail)] = ratio_of(a, b)
         made[MATH_DIFF_NAME.format(**tail)] = F.col(a) - F.col(b)
     return df.withColumns(made)
@@ -102,21 +99,39 @@ def neutralize(
     )
 
 
+def _shares(df: DataFrame, features: list[str]) -> DataFrame:
+    """(pair, i, j, valid_share) of all pairs, from the patterns of missing values."""
+    p = len(features)
+    patterns = pairs.null_patterns(df, features)
+    n = patterns.agg(F.sum("n")).first()[0]
+    share = F.coalesce("n_valid", F.lit(0)) / F.lit(float(n)) if n else F.lit(None).cast("double")
+    return pairs.pair_table(df.sparkSession, p).join(
+        pairs.pair_counts(patterns, p).select("pair", "n_valid"), "pair", "left").select(
+        "pair", "i", "j", share.alias("valid_share"))
+
+
 def feature_pairs(df: DataFrame, features: list[str], limit: int | None = None) -> DataFrame:
     """(pair_idx, feature1, feature2, valid_share): pairs i < j with their complete rows."""
-    pairs = pairs_of(features, limit)
-    checks = [
-        F.struct(
-            F.lit(i).alias("pair_idx"),
-            F.lit(a).alias("feature1"),
-            F.lit(b).alias("feature2"),
-            F.avg((F.col(a).isNotNull() & F.col(b).isNotNull()).cast("double")).alias(
-                "valid_share"
-            ),
-        )
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return df.agg(F.array(*checks).alias("pairs")).select(F.inline("pairs"))
+    names = F.array(*[F.lit(f) for f in features])
+    found = _shares(df, features) if limit is None else _shares(df, features).where(F.col("pair") < limit)
+    return found.select(F.col("pair").cast("int").alias("pair_idx"), names[F.col("i")].alias("feature1"),
+                        names[F.col("j")].alias("feature2"), "valid_share")
+
+
+def math_pairs(df: DataFrame, keys: list[str], base: list[str]) -> DataFrame:
+    """(keys, pair, ratio, diff): the mathematical features as rows, for any number of features.
+
+    ``pair`` counts pairs i < j in order. A ratio is NULL where its pair has too few complete rows.
+    """
+    x = pairs.doubles(base)
+    diffs = F.flatten(F.transform(x, lambda a, i: F.transform(F.slice(x, i + 2, F.size(x)), lambda b: a - b)))
+    both = F.arrays_zip(pairs.ratio_cells(x, RATIO_EPS).alias("ratio"), diffs.alias("diff"))
+    cells = df.select(*keys, F.posexplode(both).alias("_at", "_v")).select(
+        *keys, F.col("_at").cast("long").alias("pair"), "_v.ratio", "_v.diff")
+    poor = _shares(df, base).where(F.coalesce("valid_share", F.lit(0.0)) <= MATH_VALID_SHARE)
+    poor = poor.select("pair", F.lit(True).alias("_poor"))
+    return cells.join(poor, "pair", "left").select(
+        *keys, "pair", F.when(F.col("_poor").isNull(), F.col("ratio")).alias("ratio"), "diff")
 
 
 def impute_zero(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.correlation import spearman, spearman_features, to_long
+from panelspark.functions.correlation import spearman_features
+from panelspark.operators.pairs import ratio_correlations
 
 # Limits of the three stability tests and of the selections.
 MIN_REGIME_ROWS = 50
@@ -211,48 +212,21 @@ def select_ratios(
 
     Returns (feature, numerator, denominator, score); pairs with under 80% valid
     rows or a correlation up to 0.01 are dropped. All stable features take part, or the first
-    ``pool`` of them.
+    ``pool`` of them. Pairs are rows, so the plan does not grow with them.
     """
     used = stable if pool is None else stable[:pool]
-    names = {f"{a}_over_{b}": (a, b) for a, b in pairs_of(used)}
-    empty = "feature string, numerator string, denominator string, score double"
-    if not names:
-        return df.sparkSession.createDataFrame([], empty)
-    # one pass: share of rows in which both sides are present
-    valid = {n: F.col(a).isNotNull() & F.col(b).isNotNull() for n, (a, b) in names.items()}
-    counts = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(ok).alias(f"v{i}") for i, ok in enumerate(valid.values())],
-    ).first()
-    n = counts["n"]
-    kept = [p for i, p in enumerate(names) if n and counts[f"v{i}"] / n >= RATIO_VALID_SHARE]
-    if not kept:
-        return df.sparkSession.createDataFrame([], empty)
-    whole = all(counts[f"v{i}"] == n for i, p in enumerate(names) if p in kept)
-    made = df.select(
-        F.lit("all").alias("_all"),
-        F.col(target).alias("_y"),
-        *[ratio_of(*names[p]).alias(p) for p in kept],
-    )
-    if whole:  # the target's ranks are the same for every ratio
-        corrs = spearman_features(made, ["_all"], kept, "_y")
-    else:
-        cells = to_long(made, ["_y"], kept).where(F.col("value").isNotNull())
-        corrs = spearman(cells, ["feature"], "value", "_y")
-    numerators = F.create_map(*[F.lit(v) for p in kept for v in (p, names[p][0])])
-    denominators = F.create_map(*[F.lit(v) for p in kept for v in (p, names[p][1])])
+    if len(used) < 2:
+        return df.sparkSession.createDataFrame(
+            [], "feature string, numerator string, denominator string, score double")
+    corrs = ratio_correlations(df, used, target, RATIO_EPS, RATIO_VALID_SHARE)
+    names = F.array(*[F.lit(f) for f in used])
     return (
-        corrs.select(
-            "feature",
-            numerators[F.col("feature")].alias("numerator"),
-            denominators[F.col("feature")].alias("denominator"),
-            F.abs("corr").alias("score"),
-            position(kept).alias("_pos"),
-        )
+        corrs.withColumn("score", F.abs("corr"))
         .where(F.col("score") > RATIO_MIN_CORRELATION)
-        .orderBy(F.col("score").desc(), "_pos")
+        .orderBy(F.col("score").desc(), "pair")
         .limit(limit)
-        .drop("_pos")
+        .select(names[F.col("i")].alias("numerator"), names[F.col("j")].alias("denominator"), "score")
+        .select(F.concat_ws("_over_", "numerator", "denominator").alias("feature"), "numerator", "denominator", "score")
     )
 
 

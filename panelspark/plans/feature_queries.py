@@ -96,6 +96,23 @@ def math_features_zero(spark, sf):
     return _made(ops.math_features(fx.gappy_panel(spark, sf), ZERO_BASE), 2)
 
 
+@query(
+    sql(
+        " UNION ALL ".join(
+            f"SELECT era, {KEY_SQL}, {i} AS pair, round({a} / (abs({b}) + 1e-8::double), 2) + 0.0 AS ratio, "
+            f"round({a} - {b}, 4) + 0.0 AS diff FROM gappy"
+            for i, (a, b) in enumerate(ops.pairs_of(BASE))
+        ),
+        "gappy",
+    )
+)
+def math_pairs(spark, sf):
+    """The mathematical features in long form, as wide feature lists need it."""
+    out = ops.math_pairs(fx.gappy_panel(spark, sf), ["era", *fx.KEYS], BASE)
+    return out.select("era", *fx.KEYS, F.col("pair").cast("int").alias("pair"), r("ratio", 2).alias("ratio"),
+                      r("diff", 4).alias("diff"))
+
+
 @query(
     sql(
         f"""

@@ -152,6 +152,32 @@ def select_ratios(spark, sf):
     return out.select("feature", "numerator", "denominator", r("score").alias("score"))
 
 
+WIDE = 64
+WIDE_RATIO_SQL = spearman_sql("cells", "i, j", "value", "y")
+
+
+@query(
+    sql(
+        f"""
+WITH cells AS (
+  SELECT i, j, features[i + 1] / (abs(features[j + 1]) + 1e-8::double) AS value, features[1] - features[{WIDE}] AS y
+  FROM vectors, unnest(range({WIDE})) AS a(i), unnest(range({WIDE})) AS b(j) WHERE i < j),
+ranked AS (SELECT i, j, abs(corr) AS score FROM ({WIDE_RATIO_SQL}) WHERE abs(corr) > 0.01)
+SELECT 'feature_' || i || '_over_feature_' || j AS feature, 'feature_' || i AS numerator,
+       'feature_' || j AS denominator, round(score, 6) + 0.0 AS score
+FROM ranked ORDER BY ranked.score DESC, i, j LIMIT 200""",
+        "vectors",
+    )
+)
+def select_ratios_wide(spark, sf):
+    """All 2,016 ratios of 64 features, the best 200 of them."""
+    v = fx.vector_panel(spark, sf, WIDE)
+    names = [f"feature_{i}" for i in range(WIDE)]
+    v = v.select(*names, (F.col("feature_0") - F.col(f"feature_{WIDE - 1}")).alias("y"))
+    out = ops.select_ratios(v, names, "y", limit=200)
+    return out.select("feature", "numerator", "denominator", r("score").alias("score"))
+
+
 @query(
     sql(
         f"""

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.operators import features, motifs, stability
+from panelspark.operators import features, motifs, pairs, stability
 
 NAMES = [f"feature_{i}" for i in range(10)]
 
@@ -195,3 +195,85 @@ def test_motifs_against_a_dictionary(spark):
     with pytest.raises(ValueError):
         motifs.motif_mine(df, names, "y", [])
     assert motifs.motif_mine(df, names, "y", [2], eras=["2"]).count() == 0
+
+
+def _plain_ratio_scores(x, y, share=0.8):
+    """{(i, j): |rank correlation|} of the ratios over complete rows, by pandas."""
+    found = {}
+    for i in range(x.shape[1]):
+        for j in range(i + 1, x.shape[1]):
+            v = pd.Series(x[:, i] / (np.abs(x[:, j]) + 1e-8))
+            ok = v.notna()
+            if ok.mean() >= share:
+                found[i, j] = v[ok].rank().corr(pd.Series(y)[ok].rank())
+    return found
+
+
+@pytest.mark.parametrize("bucket_rows", [1 << 20, 60])
+@pytest.mark.parametrize("gaps", [False, True])
+def test_ratios_of_all_pairs_against_pandas(spark, monkeypatch, bucket_rows, gaps):
+    """Ties, masses of equal ratios and gaps; with small buckets every pair is cut into ranges."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(500, 9)), 1)
+    x[:, 3] = 0.0
+    x[:200, 4] = x[:200, 5] = 1.0
+    if gaps:
+        x[rng.random(500) < 0.1, 1] = np.nan
+        x[rng.random(500) < 0.3, 2] = np.nan
+        x[rng.random(500) < 0.05, 8] = np.nan
+    y = np.round(x[:, 0] + rng.normal(size=500), 1)
+    rows = [(*[None if np.isnan(v) else float(v) for v in line], float(t)) for line, t in zip(x, y)]
+    names = [f"f{i}" for i in range(9)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in [*names, "y"])).repartition(4)
+    monkeypatch.setattr(pairs, "BUCKET_ROWS", bucket_rows)
+    monkeypatch.setattr(pairs.whole_ratio_correlations, "__defaults__", (bucket_rows,))
+    got = {(r["i"], r["j"]): r["corr"] for r in pairs.ratio_correlations(df, names, "y", 1e-8, 0.8).collect()}
+    want = _plain_ratio_scores(x, y)
+    assert set(got) == set(want)
+    for key, corr in want.items():
+        assert (got[key] is None and np.isnan(corr)) or got[key] == pytest.approx(corr, abs=1e-9), key
+
+
+def test_pair_numbers_and_empty_inputs(spark):
+    rows = pairs.pair_table(spark, 5).orderBy("pair").collect()
+    want = [(k, i, j) for k, (i, j) in enumerate((i, j) for i in range(5) for j in range(i + 1, 5))]
+    assert [tuple(r) for r in rows] == want
+    df = spark.createDataFrame([], "a double, b double, y double")
+    assert pairs.pair_table(spark, 1).count() == pairs.pair_table(spark, 0).count() == 0
+    assert stability.select_ratios(df, ["a", "b"], "y").count() == 0
+    assert [r["valid_share"] for r in features.feature_pairs(df, ["a", "b"]).collect()] == [None]
+
+
+def test_missing_targets_leave_no_score(spark):
+    df = spark.createDataFrame([(1.0, 2.0, None), (2.0, 1.0, 3.0), (4.0, 3.0, 1.0)], "a double, b double, y double")
+    assert [r["corr"] for r in pairs.ratio_correlations(df, ["a", "b"], "y", 1e-8).collect()] == [None]
+
+
+def test_many_pairs_take_no_more_plan(spark):
+    """The plan's size follows the features, not their pairs."""
+    def size(p):
+        df = spark.range(200).select(*[(F.rand(i) + F.col("id")).alias(f"f{i}") for i in range(p)], F.rand(99).alias("y"))
+        out = stability.select_ratios(df, [f"f{i}" for i in range(p)], "y")
+        return len(out._jdf.queryExecution().analyzed().toString())
+
+    small, large = size(10), size(80)
+    assert large < 12 * small
+
+
+def test_math_pairs_equal_the_columns(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, *[None if rng.random() < 0.15 * k else float(v) for k, v in enumerate(rng.normal(size=4))]) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, f_a double, f_b double, f_c double, f_d double")
+    base = ["f_a", "f_b", "f_c", "f_d"]
+    wide = {r["id"]: r for r in features.math_features(df, base).collect()}
+    ratios = [c for c in features.math_features(df, base).columns if c.startswith("ratio")]
+    assert 0 < len(ratios) < 6
+    for r in features.math_pairs(df, ["id"], base).collect():
+        a, b = pairs_in_order(base)[r["pair"]]
+        name = f"{a[-1]}_{b[-1]}_{r['pair']:02d}"
+        assert r["diff"] == wide[r["id"]][f"diff_{name}"]
+        assert r["ratio"] == (wide[r["id"]][f"ratio_{name}"] if f"ratio_{name}" in ratios else None)
+
+
+def pairs_in_order(names):
+    return stability.pairs_of(names)
