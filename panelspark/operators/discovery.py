@@ -13,6 +13,7 @@ from panelspark.functions import expr
 from panelspark.functions.correlation import pearson_of, to_long
 from panelspark.functions.moments import schema_of, second_moments
 from panelspark.functions.ranking import exact_median
+from panelspark.operators import boosting
 from panelspark.operators.metrics import CONSTANT_TOLERANCE, MAD_TO_STD, SHARPE_EPS
 from panelspark.operators.splits import train_test_split
 from panelspark.session import bounded, written
@@ -28,6 +29,10 @@ TRAIN_SHARE = 0.7
 BAD_CONDITION, BAD_EIGENVALUE, EIGENVALUE_FLOOR = 1e12, 1e-6, 1e-10
 TOP_FEATURES, REFINE_TOP = 80, 3
 KEEP_AT_LEAST, KEEP_SHARE = 15, 5
+SCREEN_ABOVE, MIN_SCREEN_ERAS = 10, 3
+REFINE = boosting.Settings(rounds=20, depth=3, step=0.2, row_share=0.8, feature_share=0.5)
+PATIENCE, FLAT = 5, 1e-8
+MODES = ("linear", "hybrid", "boosted")
 
 
 def blends(n_targets: int, limit: int | None = None, seed: int = 42) -> np.ndarray:
@@ -349,7 +354,7 @@ def top_features_per_era(
     return ranked.where(F.col("rank") <= k)
 
 
-def ridge_prescreen(
+def prescreen_by_era(
     df: DataFrame,
     features: list[str],
     targets: list[str],
@@ -360,10 +365,10 @@ def ridge_prescreen(
     keys: list[str] | None = None,
     era: str = "era",
 ) -> DataFrame:
-    """(combo_id, score): mean absolute held-out correlation of a small ridge per era.
+    """(era, combo_id, score): absolute held-out correlation of a small ridge inside each era.
 
     For each blend the features that correlate best with it are standardised and fitted, from
-    the second moments of all rows.
+    the second moments of all rows. An era's scores use no other era.
     """
     rows = _clean(df, features, targets, keys, era).na.fill(0.0, list(dict.fromkeys([*features, *targets])))
     p = len(features)
@@ -390,12 +395,22 @@ def ridge_prescreen(
                     spread = np.sqrt(max(0.0, beta @ test_xx[np.ix_(best, best)] @ beta))
                     held = np.sqrt(max(0.0, w @ test_yy @ w))
                     if spread >= 1e-8 and held >= 1e-8:
-                        found.append((c, float(abs(beta @ test_xy[best] @ w) / (spread * held))))
-            yield pd.DataFrame(found, columns=["combo_id", "score"])
+                        found.append((row[era], c, float(abs(beta @ test_xy[best] @ w) / (spread * held))))
+            yield pd.DataFrame(found, columns=[era, "combo_id", "score"])
 
     moments = split_moments(rows, features, targets, seed, keys, era)
-    per_era = moments.mapInPandas(score, "combo_id int, score double")
-    enough = rows.select(F.count_distinct(era).alias("n")).scalar() >= 3
+    return moments.mapInPandas(score, f"{schema_of(df, [era])}, combo_id int, score double")
+
+
+def ridge_prescreen(
+    df: DataFrame, features: list[str], targets: list[str], combos: np.ndarray, era: str = "era", **options
+) -> DataFrame:
+    """(combo_id, score): the mean of ``prescreen_by_era`` over the eras of ``df``, 0 for less than three eras.
+
+    ``walk_forward`` takes the scores by era and forms this mean over earlier eras only.
+    """
+    per_era = prescreen_by_era(df, features, targets, combos, era=era, **options)
+    enough = df.select(F.count_distinct(era).alias("n")).scalar() >= MIN_SCREEN_ERAS
     every = df.sparkSession.range(len(combos)).select(F.col("id").cast("int").alias("combo_id"))
     means = per_era.groupBy("combo_id").agg(F.avg("score").alias("score"))
     return every.join(means, "combo_id", "left").select(
@@ -403,52 +418,69 @@ def ridge_prescreen(
     )
 
 
-def walk_forward(
+def candidates(
     eras: DataFrame,
     scores: DataFrame,
-    combos: np.ndarray,
+    n_combos: int,
     history: int = 50,
     warmup: int = 20,
     era: str = "era",
+    screen: DataFrame | None = None,
 ) -> DataFrame:
-    """Weights per era from the scores of earlier eras only.
+    """(era, era_idx, combo_id, found, Sharpe columns, rank): every blend that an era may choose from.
 
-    ``eras`` is (era, era_idx, n_rows), ``scores`` is (era, combo_id, corr). Each blend's
-    history is a window over era-level rows, hence there is no join of eras with eras.
+    Statistics of an era come from earlier eras only. ``eras`` is (era, era_idx, n_rows), ``scores``
+    is (era, combo_id, corr). With ``screen`` (era, combo_id, score) and more than ten blends, only the best
+    fifth by mean score over the era's history stays, 15 at least. Each blend's history is a window
+    over era-level rows, hence there is no join of eras with eras.
     """
-    n_targets = combos.shape[1]
     warm = F.least(F.lit(warmup), F.greatest(F.lit(0), eras.agg(F.max("era_idx")).scalar() - 1))
-    ids = F.sequence(F.lit(0), F.lit(len(combos) - 1))
+    ids = F.sequence(F.lit(0), F.lit(n_combos - 1))
     grid = eras.select(era, "era_idx", "n_rows", F.explode(ids).alias("combo_id"))
     past = Window.partitionBy("combo_id").orderBy("era_idx").rangeBetween(-history, -1)
-    known = F.when(F.col("scored"), 1)
-    seen = (
-        grid.join(
-            scores.select(era, "combo_id", "corr", F.lit(True).alias("scored")),
-            [era, "combo_id"],
-            "left",
-        )
-        .withColumns(
-            {
-                "_c": F.collect_list("corr").over(past),
-                "_rows": F.sum("n_rows").over(past),
-                "_known": F.count(known).over(past),
-            }
-        )
+    seen = grid.join(
+        scores.select(era, "combo_id", "corr", F.lit(True).alias("scored")), [era, "combo_id"], "left"
     )
-    best = best_combination(with_sharpe(seen, "_c"), [era, "era_idx"])
-    table = F.array(*[F.array(*[F.lit(float(v)) for v in w]) for w in combos])
+    screened = screen is not None and n_combos > SCREEN_ABOVE
+    if screened:
+        seen = seen.join(screen.select(era, "combo_id", "score"), [era, "combo_id"], "left")
+        mean = F.when(F.count(F.lit(1)).over(past) >= MIN_SCREEN_ERAS, F.avg("score").over(past))
+        seen = seen.withColumn("_screen", F.coalesce(mean, F.lit(0.0)))
+    seen = seen.withColumns(
+        {
+            "_c": F.collect_list("corr").over(past),
+            "_rows": F.sum("n_rows").over(past),
+            "_known": F.count(F.when(F.col("scored"), 1)).over(past),
+        }
+    )
+    if screened:
+        best = Window.partitionBy(era).orderBy(F.col("_screen").desc(), "combo_id")
+        keep = max(KEEP_AT_LEAST, n_combos // KEEP_SHARE)
+        seen = seen.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= keep)
     found = (
         (F.col("era_idx") > warm)
         & (F.coalesce("_rows", F.lit(0)) >= MIN_HISTORY_ROWS)
         & (F.col("_known") > 0)
     )
+    order = Window.partitionBy(era).orderBy(F.col("sharpe").desc(), "combo_id")
+    return (
+        with_sharpe(seen.withColumn("found", found), "_c")
+        .select(era, "era_idx", "combo_id", "found", *STATISTICS, F.row_number().over(order).alias("rank"))
+    )
+
+
+def chosen(tried: DataFrame, combos: np.ndarray, era: str = "era") -> DataFrame:
+    """The candidate with the highest Sharpe ratio of every era, the better ranked one on a tie."""
+    order = Window.partitionBy(era, "era_idx").orderBy(F.col("sharpe").desc(), "rank")
+    best = tried.withColumn("_best", F.row_number().over(order)).where("_best = 1")
+    table = F.array(*[F.array(*[F.lit(float(v)) for v in w]) for w in combos])
+    found = F.col("found")
     return best.select(
         era,
         "era_idx",
         F.when(found, F.col("combo_id")).alias("combo_id"),
         F.when(found, table[F.col("combo_id")])
-        .otherwise(expr.equal_weights(n_targets))
+        .otherwise(expr.equal_weights(combos.shape[1]))
         .alias("weights"),
         F.when(found, F.col("sharpe")).alias("sharpe"),
         F.when(found, F.col("mean_score")).alias("mean_score"),
@@ -456,6 +488,111 @@ def walk_forward(
     )
 
 
+def walk_forward(
+    eras: DataFrame,
+    scores: DataFrame,
+    combos: np.ndarray,
+    history: int = 50,
+    warmup: int = 20,
+    era: str = "era",
+    screen: DataFrame | None = None,
+) -> DataFrame:
+    """Weights per era from the scores of earlier eras only; see ``candidates``."""
+    return chosen(candidates(eras, scores, len(combos), history, warmup, era, screen), combos, era)
+
+
+def blend_features(
+    rows: DataFrame, features: list[str], targets: list[str], combos: np.ndarray, top_k: int, era: str = "era"
+) -> dict:
+    """{(era, combo): places of the features that correlate best with the blend}, from second moments."""
+    p = len(features)
+
+    def pick(batches):
+        for batch in batches:
+            out = []
+            for name, cov in zip(batch[era], batch["cov"]):
+                cov = np.asarray(cov, dtype=np.float64).reshape(p + len(targets), -1)
+                sx = np.sqrt(np.maximum(0.0, np.diag(cov)[:p]))
+                for c, w in enumerate(combos):
+                    r = np.divide(np.abs(cov[:p, p:] @ w), sx, out=np.zeros(p), where=sx > 0)
+                    out.append((name, c, np.argsort(-r, kind="stable")[:top_k].tolist()))
+            yield pd.DataFrame(out, columns=[era, "combo_id", "places"])
+
+    moments = second_moments(rows, [*features, *targets], [era])
+    found = moments.select(era, "cov").mapInPandas(pick, f"{schema_of(rows, [era])}, combo_id int, places array<int>")
+    return {(r[era], r["combo_id"]): tuple(r["places"]) for r in found.toLocalIterator()}
+
+
+def best_round(checks: list[np.ndarray], patience: int = PATIENCE) -> np.ndarray:
+    """For every model the round whose held-out error is least before ``patience`` rounds bring none lower."""
+    error = np.stack([c[:, -1] for c in checks])
+    best = np.full(error.shape[1], min(1, len(error) - 1))
+    going = np.ones(error.shape[1], dtype=bool)
+    models = np.arange(error.shape[1])
+    for turn in range(2, len(error)):
+        better = going & (error[turn] < error[best, models])
+        best = np.where(better, turn, best)
+        going &= turn - best < patience
+    return best
+
+
+def boosted_by_era(
+    df: DataFrame,
+    features: list[str],
+    targets: list[str],
+    combos: np.ndarray,
+    wanted: DataFrame | None = None,
+    settings: boosting.Settings = REFINE,
+    top_k: int = TOP_FEATURES,
+    seed: int = 42,
+    keys: list[str] | None = None,
+    era: str = "era",
+) -> DataFrame:
+    """(era, combo_id, corr): held-out correlation of boosted trees fitted inside an era, per blend.
+
+    All eras and blends in ``wanted`` (era, combo_id), or all there are, grow in the same passes over all
+    rows. Each model stops by its own held-out error. An era's scores use no other era, so any history
+    is a window over them.
+    """
+    names = list(dict.fromkeys([*features, *targets]))
+    rows = _clean(df, features, targets, keys, era).na.fill(0.0, names)
+    sizes = rows.groupBy(era).count().where(F.col("count") >= MIN_ERA_ROWS).select(era)
+    spark = df.sparkSession
+    if wanted is None:
+        ids = F.explode(F.sequence(F.lit(0), F.lit(len(combos) - 1)))
+        wanted = sizes.select(era, ids.alias("combo_id"))
+    pairs = [(r[era], r["combo_id"]) for r in wanted.select(era, "combo_id").distinct().join(sizes, era).orderBy(
+        era, "combo_id").limit(boosting.MAX_MODELS + 1).collect()]
+    schema = f"{schema_of(df, [era])}, combo_id int, corr double"
+    if not pairs:
+        return spark.createDataFrame([], schema)
+    places = blend_features(rows, features, targets, combos, top_k, era) if len(features) > top_k else {}
+    models = [boosting.ModelKey(e, tuple(map(float, combos[c])), seed, places.get((e, c))) for e, c in pairs]
+    split = train_test_split(rows, TRAIN_SHARE, seed, keys, era)
+    fitted = boosting.boost(split, features, targets, models, era, settings, "is_train")
+    turn = best_round(fitted.checks)
+    found = []
+    for k, (e, c) in enumerate(pairs):
+        n, y, f, yy, ff, yf, _ = fitted.checks[turn[k]][k]
+        if n < 2:
+            continue
+        held, spread = (np.sqrt(max(0.0, q / n - (s / n) ** 2)) for q, s in ((yy, y), (ff, f)))
+        if held > FLAT and spread > FLAT:
+            found.append((e, c, float((yf / n - y / n * f / n) / (held * spread))))
+    return spark.createDataFrame(found, schema)
+
+
+def _with_refined(tried: DataFrame, refined: DataFrame, eras: DataFrame, history: int, top: int | None, era: str) -> DataFrame:
+    """Replaces the statistics of the ``top`` candidates by those of refined scores of earlier eras."""
+    leading = F.col("found") & (F.lit(True) if top is None else F.col("rank") <= top)
+    by_idx = refined.join(eras.select(era, F.col("era_idx").alias("h")), era).select("h", "combo_id", "corr")
+    pasts = tried.where(leading).select(
+        era, "era_idx", "combo_id", "found", "rank", F.explode(F.sequence(F.col("era_idx") - history, F.col("era_idx") - 1)).alias("h"))
+    lists = pasts.join(by_idx, ["h", "combo_id"], "left").groupBy(era, "era_idx", "combo_id", "found", "rank").agg(
+        F.collect_list("corr").alias("_c"))
+    return tried.where(~leading).unionByName(with_sharpe(lists, "_c").select(*tried.columns))
+
+
 def walk_forward_weights(
     df: DataFrame,
     features: list[str],
@@ -465,13 +602,38 @@ def walk_forward_weights(
     limit: int | None = None,
     seed: int = 42,
     era: str = "era",
+    mode: str = "linear",
+    prescreen: bool | None = None,
+    refine: boosting.Settings = REFINE,
+    keys: list[str] | None = None,
     **ridge,
 ) -> DataFrame:
-    """Rows to weights: one ridge fit per era, then all blends and histories at era level."""
+    """Rows to weights, each era's from earlier eras only.
+
+    ``linear`` scores all blends by one ridge fit per era. ``hybrid`` pre-screens blends, scores the
+    rest the same way and scores the three best of each era again with boosted trees; ``boosted`` does
+    so for all that pass the pre-screen. ``prescreen`` turns the pre-screen on or off in any mode. Every
+    fit stays inside an era, so it serves all later eras whose history holds it.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {MODES}")
     combos = blends(len(targets), limit, seed)
-    moments = era_ridge_moments(df, features, targets, seed=seed, era=era, **ridge)
+    moments = era_ridge_moments(df, features, targets, seed=seed, era=era, keys=keys, **ridge)
     scores = score_by_era(moments, combos, era)
-    return walk_forward(era_index(df, era), scores, combos, history, warmup, era)
+    eras = era_index(df, era)
+    screen = None
+    if (mode != "linear" if prescreen is None else prescreen) and len(combos) > SCREEN_ABOVE:
+        screen = prescreen_by_era(df, features, targets, combos, seed=seed, keys=keys, era=era)
+    if mode == "linear":
+        return walk_forward(eras, scores, combos, history, warmup, era, screen)
+    eras = written(eras, "eras")
+    tried = written(candidates(eras, scores, len(combos), history, warmup, era, screen), "candidates")
+    top = REFINE_TOP if mode == "hybrid" else None
+    leading = tried.where("found") if top is None else tried.where(F.col("found") & (F.col("rank") <= top))
+    pasts = leading.select(F.explode(F.sequence(F.col("era_idx") - history, F.col("era_idx") - 1)).alias("era_idx"), "combo_id")
+    wanted = pasts.distinct().join(eras.select(era, "era_idx"), "era_idx")
+    refined = boosted_by_era(df, features, targets, combos, wanted, refine, seed=seed, keys=keys, era=era)
+    return chosen(_with_refined(tried, refined, eras, history, top, era), combos, era)
 
 
 def refine_top_k(
@@ -480,34 +642,19 @@ def refine_top_k(
     targets: list[str],
     candidates: DataFrame,
     k: int = REFINE_TOP,
-    rounds: int = 20,
+    settings: boosting.Settings = REFINE,
     seed: int = 42,
+    keys: list[str] | None = None,
     era: str = "era",
 ) -> DataFrame:
-    """Re-scores the ``k`` best blends with boosted trees: (combo_id, Sharpe columns)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
+    """Scores the ``k`` best blends again with boosted trees inside every era of ``df``: (combo_id, Sharpe columns).
 
+    ``df`` is a history: pass only eras before the one that the scores are for, or use
+    ``walk_forward_weights`` with mode ``hybrid``, which does so for every era.
+    """
     best = candidates.orderBy(F.col("sharpe").desc(), "combo_id").limit(k).collect()
-    rows = df.select(
-        era, *[expr.finite(F.col(c)).alias(c) for c in dict.fromkeys([*features, *targets])]
-    ).na.fill(0.0)
-    split = written(train_test_split(rows, TRAIN_SHARE, seed, era=era), "split")
-    vectors = VectorAssembler(inputCols=features, outputCol="x").transform(split)
-    scored = None
-    for r in best:
-        y = expr.plain_dot([F.col(t) for t in targets], F.array(*[F.lit(v) for v in r["weights"]]))
-        data = vectors.withColumn("y", y).select(era, "x", "y", "is_train")
-        model = GBTRegressor(
-            featuresCol="x", labelCol="y", maxDepth=3, maxIter=rounds, stepSize=0.2,
-            subsamplingRate=0.8, featureSubsetStrategy="0.5", seed=seed,
-        ).fit(data.where("is_train"))
-        corr = (
-            model.transform(data.where("not is_train"))
-            .groupBy(era)
-            .agg(pearson_of("prediction", "y").alias("corr"))
-            .withColumn("combo_id", F.lit(r["combo_id"]))
-        )
-        scored = corr if scored is None else scored.unionByName(corr)
-    kept = scored.groupBy("combo_id").agg(F.collect_list("corr").alias("_c"))
+    combos = np.array([r["weights"] for r in best])
+    scores = boosted_by_era(df, features, targets, combos, None, settings, seed=seed, keys=keys, era=era)
+    names = F.array(*[F.lit(r["combo_id"]) for r in best])
+    kept = scores.groupBy(names[F.col("combo_id")].alias("combo_id")).agg(F.collect_list("corr").alias("_c"))
     return with_sharpe(kept, "_c")

@@ -3,26 +3,26 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions import expr
 from panelspark.functions.correlation import pearson, spearman
 from panelspark.functions.moments import schema_of, second_moments
+from panelspark.operators import boosting
 from panelspark.operators.metrics import scopes, summarise_scopes
 from panelspark.operators.splits import check_era_gap, era_cv_splits, fold_rows
 from panelspark.session import bounded, written
 
 # Sizes and limits of training and of the honesty test.
-TREE_DEPTH, STEP, SUBSAMPLE, FEATURE_SHARE = 6, 0.05, 0.8, 0.8
-REGIME_TREE_DEPTH, REGIME_FEATURE_SHARE = 5, 0.9
+ENSEMBLE = boosting.Settings(rounds=100, depth=6, step=0.05, row_share=0.8, feature_share=0.8)
+BY_REGIME = boosting.Settings(rounds=50, depth=5, step=0.05, row_share=0.8, feature_share=0.9)
 FIRST_SEED, N_MODELS = 42, 5
 MIN_REGIME_TRAIN_ROWS = 100
 HONEST_DROP, HONEST_SCORE = 0.5, 0.8
 MIN_VALIDATION_GAP = 200
 REGIMES = ("crisis", "grind", "transition")
+WHOLE = "all"
 
 
 def linear_fit(
@@ -191,105 +191,54 @@ def validate_folds(
     }
 
 
-def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
-    filled = df.na.fill(0.0, subset=features)
-    return VectorAssembler(inputCols=features, outputCol="_x").transform(filled)
-
-
 def train_ensemble(
     df: DataFrame,
     features: list[str],
     target: str,
     seeds: list[int] | None = None,
-    rounds: int = 100,
-    depth: int = TREE_DEPTH,
-) -> list[GBTRegressionModel]:
-    """One boosted-tree model per seed on the same assembled rows."""
+    settings: boosting.Settings = ENSEMBLE,
+) -> boosting.Boosted:
+    """One boosted-tree model per seed, all grown in the same passes over the rows with a target."""
     seeds = seeds or [FIRST_SEED + i for i in range(N_MODELS)]
-    cells = df.select(*[F.col(c).cast("double").alias(c) for c in [*features, target]])
-    data = _assembled(cells.where(F.col(target).isNotNull()), features).select("_x", target).cache()
-    try:
-        return [
-            GBTRegressor(
-                featuresCol="_x",
-                labelCol=target,
-                maxIter=rounds,
-                maxDepth=depth,
-                stepSize=STEP,
-                subsamplingRate=SUBSAMPLE,
-                featureSubsetStrategy=str(FEATURE_SHARE),
-                seed=seed,
-            ).fit(data)
-            for seed in seeds
-        ]
-    finally:
-        data.unpersist()
+    rows = df.select(F.lit(WHOLE).alias("_whole"), *dict.fromkeys([*features, target])).where(F.col(target).isNotNull())
+    models = [boosting.ModelKey(WHOLE, (1.0,), seed) for seed in seeds]
+    return boosting.boost(rows, features, [target], models, "_whole", settings)
 
 
 def predict_ensemble(
-    df: DataFrame, models: list[GBTRegressionModel], features: list[str], out="prediction"
+    df: DataFrame, model: boosting.Boosted, features: list[str], out: str = "prediction"
 ) -> DataFrame:
     """Adds the mean prediction of all models; all required features must exist."""
     missing = [f for f in features if f not in df.columns]
     if missing:
         raise ValueError(f"missing features {missing}")
-    # copies under private names leave the caller's columns untouched
-    cells = {f"_f{i}": F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for i, f in enumerate(features)}
-    data = VectorAssembler(inputCols=list(cells), outputCol="_x").transform(df.withColumns(cells))
-    names = []
-    for i, model in enumerate(models):
-        data = model.setPredictionCol(f"_p{i}").transform(data)
-        names.append(f"_p{i}")
-    mean = expr.total([F.col(n) for n in names]) / len(names)
-    return data.withColumn(out, mean).drop("_x", *cells, *names)
+    return boosting.predict(df, model, F.lit(WHOLE), out)
 
 
 def train_by_regime(
-    df: DataFrame, features: list[str], target: str, rounds: int = 50, seed: int = FIRST_SEED
-) -> dict[str, GBTRegressionModel]:
-    """One model per regime with at least 100 rows; needs a ``vix`` column."""
+    df: DataFrame,
+    features: list[str],
+    target: str,
+    settings: boosting.Settings = BY_REGIME,
+    seed: int = FIRST_SEED,
+) -> boosting.Boosted:
+    """One model per regime with at least 100 rows, all in the same passes; needs a ``vix`` column."""
     if "vix" not in df.columns:
         raise ValueError("a vix column is needed")
     label = expr.regime_by_level(F.col("vix"), labels=expr.SHORT_LABELS)
-    cells = df.select(
-        label.alias("_regime"), *[F.col(c).cast("double").alias(c) for c in [*features, target]]
-    ).where(F.col(target).isNotNull() & F.col("_regime").isNotNull())
-    data = _assembled(cells, features).select("_regime", "_x", target).cache()
-    try:
-        sizes = {r["_regime"]: r["count"] for r in data.groupBy("_regime").count().collect()}
-        return {
-            regime: GBTRegressor(
-                featuresCol="_x",
-                labelCol=target,
-                maxIter=rounds,
-                maxDepth=REGIME_TREE_DEPTH,
-                stepSize=STEP,
-                subsamplingRate=SUBSAMPLE,
-                featureSubsetStrategy=str(REGIME_FEATURE_SHARE),
-                seed=seed,
-            ).fit(data.where(F.col("_regime") == regime))
-            for regime in REGIMES
-            if sizes.get(regime, 0) >= MIN_REGIME_TRAIN_ROWS
-        }
-    finally:
-        data.unpersist()
+    rows = df.select(label.alias("_regime"), *dict.fromkeys([*features, target])).where(
+        F.col(target).isNotNull() & F.col("_regime").isNotNull())
+    sizes = {r["_regime"]: r["count"] for r in rows.groupBy("_regime").count().collect()}
+    models = [boosting.ModelKey(regime, (1.0,), seed) for regime in REGIMES if sizes.get(regime, 0) >= MIN_REGIME_TRAIN_ROWS]
+    return boosting.boost(rows, features, [target], models, "_regime", settings)
 
 
 def predict_by_regime(
-    df: DataFrame, models: dict, features: list[str], out: str = "prediction"
+    df: DataFrame, model: boosting.Boosted, features: list[str], out: str = "prediction"
 ) -> DataFrame:
     """Each row by its regime's model; 0 without a model or an indicator."""
     label = expr.regime_by_level(F.col("vix"), labels=expr.SHORT_LABELS)
-    tagged = df.withColumn("_regime", label)
-    known = F.col("_regime").isin(list(models)) if models else F.lit(False)
-    parts = [tagged.where(~F.coalesce(known, F.lit(False))).withColumn(out, F.lit(0.0))]
-    for regime, model in models.items():
-        rows = tagged.where(F.col("_regime") == regime)
-        parts.append(predict_ensemble(rows, [model], features, out))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result.drop("_regime")
+    return boosting.predict(df, model, label, out)
 
 
 def fit_linear_by_regime(

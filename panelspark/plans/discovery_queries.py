@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelspark.operators import boosting
 from panelspark.operators import discovery as ops
 from panelspark.plans import fixtures as fx
 from panelspark.plans.registry import draw_sql, query, r, sql
@@ -341,9 +342,116 @@ def ridge_prescreen_wide(spark, sf):
     return out.withColumn("score", r("score"))
 
 
+# More than ten blends, so that the pre-screen works: five targets.
+MANY_TARGETS = ["target_net", "target_gross", "target_order", "feature_flip", "feature_quantity"]
+COARSE = ["feature_discount", "feature_tax"]
+MANY_COMBOS = ops.blends(len(MANY_TARGETS))
+
+
+def _screened_sql(p: int, refined: bool) -> str:
+    """Walk-forward over ``p`` coarse features with the pre-screen, and with stumps for the three best."""
+    combos = ", ".join(f"({i}, [{', '.join(repr(float(x)) for x in w)}]::double[])" for i, w in enumerate(MANY_COMBOS))
+    moments = ["count(*) AS n", *[f"covar_pop(x{i}, x{j}) AS c{i}{j}" for i in range(p) for j in range(i, p)],
+               *[f"covar_pop(x{i}, y) AS r{i}" for i in range(p)]]
+    if p == 1:
+        plain = ["n * r0 / (n * c00 + 1)"]
+        scaled = ["n * r0 / c00 / (n + 1)"]
+    else:
+        det = "((n * c00 + 1) * (n * c11 + 1) - n * c01 * n * c01)"
+        plain = [f"((n * c11 + 1) * n * r0 - n * c01 * n * r1) / {det}", f"((n * c00 + 1) * n * r1 - n * c01 * n * r0) / {det}"]
+        d0, d1, g = "sqrt(c00)", "sqrt(c11)", "(n * c01 / sqrt(c00 * c11))"
+        det = f"((n + 1) * (n + 1) - {g} * {g})"
+        scaled = [f"((n + 1) * n * r0 / {d0} - {g} * n * r1 / {d1}) / {det} / {d0}",
+                  f"((n + 1) * n * r1 / {d1} - {g} * n * r0 / {d0}) / {det} / {d1}"]
+    fits = ", ".join(f"{e} AS {t}{i}" for t, es in (("b", plain), ("s", scaled)) for i, e in enumerate(es))
+
+    def corr(t):
+        f = " + ".join(f"{t}{i} * x{i}" for i in range(p))
+        return f"covar_pop({f}, y) / nullif(stddev_pop({f}) * stddev_pop(y), 0)"
+
+    xs = ", ".join(f"x{i}" for i in range(p))
+    body = f"""
+WITH combos(combo_id, w) AS (VALUES {combos}),
+halves AS (SELECT *, k <= floor(0.7::double * n) AS is_train FROM (
+  SELECT era, era_idx, {", ".join(f"{c} AS x{i}" for i, c in enumerate(COARSE[:p]))}, [{", ".join(MANY_TARGETS)}]::double[] AS ys,
+         count(*) OVER (PARTITION BY era) AS n,
+         row_number() OVER (PARTITION BY era ORDER BY {draw_sql(fx.KEYS)}, {", ".join(fx.KEYS)}) AS k
+  FROM panel) WHERE n >= 100),
+blended AS MATERIALIZED (SELECT era, era_idx, is_train, {xs}, combo_id, list_dot_product(ys, w) AS y FROM halves CROSS JOIN combos),
+fits AS (SELECT era, combo_id, {fits} FROM (
+  SELECT era, combo_id, {", ".join(moments)} FROM blended WHERE is_train GROUP BY era, combo_id)),
+scored AS (SELECT era, any_value(era_idx) AS era_idx, combo_id, {corr("b")} AS corr, abs({corr("s")}) AS score
+         FROM blended JOIN fits USING (era, combo_id) WHERE NOT is_train GROUP BY era, combo_id),
+sizes AS (SELECT era, era_idx, count(*) AS n_rows FROM panel GROUP BY era, era_idx),
+hist AS (SELECT e.era, sum(h.n_rows) AS n_hist, count(*) AS n_eras FROM sizes e JOIN sizes h
+         ON h.era_idx BETWEEN e.era_idx - 50 AND e.era_idx - 1 GROUP BY e.era),
+past AS (SELECT e.era, s.combo_id, s.corr, s.score FROM sizes e JOIN scored s ON s.era_idx BETWEEN e.era_idx - 50 AND e.era_idx - 1),
+kept AS (SELECT era, combo_id FROM (
+  SELECT e.era, c.combo_id, row_number() OVER (PARTITION BY e.era ORDER BY CASE WHEN n_eras >= 3 THEN coalesce(score, 0) ELSE 0 END DESC, c.combo_id) AS k
+  FROM sizes e CROSS JOIN combos c LEFT JOIN hist USING (era)
+  LEFT JOIN (SELECT era, combo_id, avg(score) AS score FROM past GROUP BY era, combo_id) m ON m.era = e.era AND m.combo_id = c.combo_id)
+  WHERE k <= 15),
+stats AS ({history_sql("SELECT era, combo_id, corr FROM past JOIN kept USING (era, combo_id)", "era, combo_id")}),
+warm AS (SELECT least(20, greatest(0, max(era_idx) - 1)) AS warmup FROM sizes),
+open AS (SELECT era FROM sizes CROSS JOIN warm JOIN hist USING (era) WHERE era_idx > warmup AND n_hist >= 1000),
+ranked AS (SELECT era, combo_id, sharpe, row_number() OVER (PARTITION BY era ORDER BY sharpe DESC, combo_id) AS k
+           FROM stats JOIN open USING (era)),
+"""
+    if refined:
+        cells = " UNION ALL ".join(f"SELECT era, combo_id, {i} AS f, x{i} AS v, y - middle AS d FROM centred" for i in range(p))
+        side = " ".join(f"WHEN {i} THEN x{i} <= v" for i in range(p))
+        body += f"""
+centred AS (SELECT *, avg(y) OVER (PARTITION BY era, combo_id) AS middle FROM blended WHERE is_train),
+cells AS (SELECT era, combo_id, f, v, sum(d) AS s, count(*) AS n FROM ({cells}) GROUP BY era, combo_id, f, v),
+ends AS (SELECT *, sum(s) OVER upto AS sl, sum(n) OVER upto AS nl, sum(s) OVER whole AS st, sum(n) OVER whole AS nt FROM cells
+         WINDOW upto AS (PARTITION BY era, combo_id, f ORDER BY v), whole AS (PARTITION BY era, combo_id, f)),
+stumps AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY era, combo_id ORDER BY sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) - st * st / nt DESC, f, v) AS place
+  FROM ends WHERE nl >= 20 AND nt - nl >= 20) WHERE place = 1),
+grown AS (
+  SELECT era, any_value(era_idx) AS era_idx, combo_id, covar_pop(p, y) / nullif(stddev_pop(p) * stddev_pop(y), 0) AS corr
+  FROM (SELECT era, era_idx, combo_id, y, 0.2 * CASE WHEN CASE f {side} END THEN sl / nl ELSE (st - sl) / (nt - nl) END AS p
+        FROM blended JOIN stumps USING (era, combo_id) WHERE NOT is_train) GROUP BY era, combo_id),
+deeper AS (SELECT e.era, r.combo_id, g.corr FROM ranked r JOIN sizes e USING (era) JOIN grown g
+           ON g.combo_id = r.combo_id AND g.era_idx BETWEEN e.era_idx - 50 AND e.era_idx - 1 WHERE r.k <= 3),
+again AS ({history_sql("SELECT era, combo_id, corr FROM deeper", "era, combo_id")}),
+final AS (SELECT era, combo_id, k, CASE WHEN k <= 3 THEN coalesce(a.sharpe, 0) ELSE r.sharpe END AS sharpe
+          FROM ranked r LEFT JOIN again a USING (era, combo_id)),
+"""
+    else:
+        body += "final AS (FROM ranked),"
+    return sql(body + """
+best AS (SELECT *, row_number() OVER (PARTITION BY era ORDER BY sharpe DESC, k) AS place FROM final)
+SELECT z.era, b.combo_id, round(b.sharpe, 4) + 0.0 AS sharpe FROM sizes z LEFT JOIN (FROM best WHERE place = 1) b USING (era)""", "panel")
+
+
+def _screened(spark, sf, p, **options):
+    out = ops.walk_forward_weights(fx.panel(spark, sf), COARSE[:p], MANY_TARGETS, keys=fx.KEYS, prescreen=True, **options)
+    return out.select("era", "combo_id", r("sharpe", 4).alias("sharpe"))
+
+
+@query(_screened_sql(1, False))
+def walk_forward_screened(spark, sf):
+    """Of 26 blends the 15 with the best pre-screen over earlier eras compete, one feature."""
+    return _screened(spark, sf, 1)
+
+
+@query(_screened_sql(2, False))
+def walk_forward_screened_pair(spark, sf):
+    """The same with two features."""
+    return _screened(spark, sf, 2)
+
+
+@query(_screened_sql(2, True))
+def walk_forward_hybrid(spark, sf):
+    """Pre-screen, ridge scores, and the three best of each era scored again with one stump per era."""
+    stump = boosting.Settings(rounds=1, depth=1, step=0.2, row_share=1.0, feature_share=1.0)
+    return _screened(spark, sf, 2, mode="hybrid", refine=stump)
+
+
 @query()
 def refine_top_k(spark, sf):
-    p = fx.panel(spark, sf)
+    """The three best blends, scored again by twenty rounds of trees in every era."""
     scores = ops.score_combinations(_scores(spark, sf))
-    out = ops.refine_top_k(p, WALK_FEATURES, fx.TARGETS, scores)
+    out = ops.refine_top_k(fx.panel(spark, sf), WALK_FEATURES, fx.TARGETS, scores, keys=fx.KEYS)
     return out.select("combo_id", *[r(c).alias(c) for c in STAT_COLUMNS])

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelspark.functions import expr
 from panelspark.functions.correlation import spearman
+from panelspark.operators import boosting
 from panelspark.operators import models as ops
-from panelspark.operators import splits
 from panelspark.operators.metrics import evaluate_predictions
 from panelspark.plans import fixtures as fx
 from panelspark.plans.metric_queries import IMPACT_SQL
@@ -210,30 +211,68 @@ def join_predictions(spark, sf):
 GBT_FEATURES = ["feature_quantity", "feature_discount", "feature_tax", "feature_flip"]
 
 
-def _fold_zero(spark, sf):
-    """Train and validation rows of the first monthly fold."""
-    p = fx.labelled_panel(spark, sf)
-    rows = splits.fold_rows(p, splits.era_cv_splits(p, 5, 10).where("fold = 0"))
-    return rows.where("role = 'train'"), rows.where("role = 'val'")
-
-
 @query()
 def train_ensemble(spark, sf):
-    """Three small boosted-tree models on one fold, scored per era of its validation part."""
-    train, val = _fold_zero(spark, sf)
-    models = ops.train_ensemble(train, GBT_FEATURES, TARGET, [42, 43, 44], rounds=3, depth=4)
-    scored = ops.predict_ensemble(val, models, GBT_FEATURES)
+    """Five seeds of a hundred rounds on all rows, scored per era."""
+    p = fx.panel(spark, sf)
+    scored = ops.predict_ensemble(p, ops.train_ensemble(p, GBT_FEATURES, TARGET), GBT_FEATURES)
     return spearman(scored, ["era"], "prediction", TARGET)
 
 
 @query()
 def train_by_regime(spark, sf):
+    """Fifty rounds for every regime on all rows, scored overall, per era and per regime."""
     p = fx.labelled_panel(spark, sf)
-    models = ops.train_by_regime(p, GBT_FEATURES, TARGET, rounds=3)
-    scored = ops.predict_by_regime(p, models, GBT_FEATURES)
+    scored = ops.predict_by_regime(p, ops.train_by_regime(p, GBT_FEATURES, TARGET), GBT_FEATURES)
     return evaluate_predictions(scored, target=TARGET)
 
 
+# Stumps on features whose values all have a bin of their own, without sampling: SQL can follow them.
+STUMP_FEATURES = ["feature_discount", "feature_quantity"]
+STUMPS = boosting.Settings(rounds=3, depth=1, step=0.05, row_share=1.0, feature_share=1.0)
+
+
+def _stump_sql(view: str, segment: str) -> str:
+    parts = [f"""
+f0 AS (SELECT era, seg, x0, x1, y, avg(y) OVER (PARTITION BY seg) AS f FROM (
+  SELECT era, {segment} AS seg, {STUMP_FEATURES[0]} AS x0, {STUMP_FEATURES[1]} AS x1, {TARGET} AS y FROM {view})
+  QUALIFY seg IS NOT NULL AND count(*) OVER (PARTITION BY seg) >= 100)"""]
+    for k in range(STUMPS.rounds):
+        parts.append(f"""
+h{k} AS (SELECT seg, j, v, sum(d) AS s, count(*) AS n FROM (
+  SELECT seg, 0 AS j, x0 AS v, y - f AS d FROM f{k} UNION ALL SELECT seg, 1, x1, y - f FROM f{k}) GROUP BY seg, j, v),
+e{k} AS (SELECT *, sum(s) OVER upto AS sl, sum(n) OVER upto AS nl, sum(s) OVER whole AS st, sum(n) OVER whole AS nt FROM h{k}
+  WINDOW upto AS (PARTITION BY seg, j ORDER BY v), whole AS (PARTITION BY seg, j)),
+b{k} AS (SELECT * FROM e{k} WHERE nl >= 20 AND nt - nl >= 20 QUALIFY row_number() OVER (
+  PARTITION BY seg ORDER BY sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) - st * st / nt DESC, j, v) = 1),
+f{k + 1} AS (SELECT era, seg, x0, x1, y, f + 0.05 * CASE WHEN CASE j WHEN 0 THEN x0 ELSE x1 END <= v THEN sl / nl ELSE (st - sl) / (nt - nl) END AS f
+  FROM f{k} JOIN b{k} USING (seg))""")
+    return sql("WITH " + ",".join(parts) + f"""
+SELECT era, seg AS regime, count(*) AS n, round(avg(f), 4) + 0.0 AS mean_prediction, round(max(f), 4) + 0.0 AS max_prediction
+FROM f{STUMPS.rounds} GROUP BY era, seg""", view)
+
+
+def _predicted(scored, segment):
+    return scored.where(segment.isNotNull()).groupBy("era", segment.alias("regime")).agg(
+        F.count("*").alias("n"), r(F.avg("prediction"), 4).alias("mean_prediction"),
+        r(F.max("prediction"), 4).alias("max_prediction"))
+
+
+@query(_stump_sql("panel", "'all'"))
+def train_ensemble_stumps(spark, sf):
+    p = fx.panel(spark, sf)
+    fitted = ops.train_ensemble(p, STUMP_FEATURES, TARGET, [42, 43], STUMPS)
+    return _predicted(ops.predict_ensemble(p, fitted, STUMP_FEATURES), F.lit("all"))
+
+
+@query(_stump_sql("labelled", SHORT_SQL))
+def train_by_regime_stumps(spark, sf):
+    p = fx.labelled_panel(spark, sf)
+    fitted = ops.train_by_regime(p, STUMP_FEATURES, TARGET, STUMPS)
+    label = expr.regime_by_level(F.col("vix"), labels=expr.SHORT_LABELS)
+    return _predicted(ops.predict_by_regime(p, fitted, STUMP_FEATURES), label)
+
+
 LIVE_SQL = f"""
 SELECT d AS window_start, n, round(corr, 6) + 0.0 AS corr, coalesce(corr < 0, FALSE) AS regime_change
 FROM ({spearman_sql("(SELECT date_trunc('day', ts) AS d, value, user_id FROM events)", "d", "value", "user_id")})

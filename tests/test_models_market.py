@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.operators import market, metrics, models, quality
+from panelspark.operators import boosting, market, metrics, models, quality
 from panelspark.operators.splits import era_cv_splits
 
 
@@ -108,15 +108,16 @@ def test_era_sanity_cases(spark):
 
 def test_ensemble_and_regime_models(df):
     train, test = df.where("era <= '0060'"), df.where("era > '0080'")
-    fitted = models.train_ensemble(train, ["x1", "x2"], "target", [1, 2], rounds=5, depth=3)
+    quick = boosting.Settings(rounds=6, depth=3, step=0.3)
+    fitted = models.train_ensemble(train, ["x1", "x2"], "target", [1, 2], quick)
     scored = models.predict_ensemble(test, fitted, ["x1", "x2"])
     assert scored.columns == [*test.columns, "prediction"]
     assert scored.select(F.corr("prediction", "target")).first()[0] > 0.7
     with pytest.raises(ValueError):
         models.predict_ensemble(test.drop("x1"), fitted, ["x1", "x2"])
     small = train.where("vix < 25 or era = '0003'")  # one era of 25 crisis rows
-    by = models.train_by_regime(small, ["x1", "x2"], "target", rounds=3)
-    assert set(by) == {"grind", "transition"}
+    by = models.train_by_regime(small, ["x1", "x2"], "target", quick)
+    assert set(by.of_segment()) == {"grind", "transition"}
     rows = test.withColumn("vix", F.when(F.col("era") != "0081", F.col("vix")))
     out = models.predict_by_regime(rows, by, ["x1", "x2"])
     assert out.count() == rows.count()
@@ -128,6 +129,83 @@ def test_ensemble_and_regime_models(df):
         models.train_by_regime(df.drop("vix"), ["x1"], "target")
 
 
+def _plain_boost(x, y, goes, settings, models):
+    """Predictions by trees grown one at a time from all rows, every value a bin of its own."""
+    values = [np.unique(x[:, k]) for k in range(x.shape[1])]
+    base = y[goes].mean()
+    f = np.full(len(y), base)
+    for _ in range(settings.rounds):
+        left = [(np.arange(len(y)), 0)]
+        step = np.zeros(len(y))
+        while left:
+            rows, depth = left.pop()
+            teach = rows[goes[rows]]
+            r = (y - f)[teach]
+            step[rows] = settings.step * r.mean()
+            best = None
+            for k in range(x.shape[1]) if depth < settings.depth else ():
+                for v in values[k][:-1]:
+                    low = x[teach, k] <= v
+                    n = low.sum()
+                    if settings.min_rows <= n <= len(teach) - settings.min_rows:
+                        gain = r[low].sum() ** 2 / n + r[~low].sum() ** 2 / (len(teach) - n) - r.sum() ** 2 / len(teach)
+                        if best is None or gain > best[0] + 1e-12:
+                            best = (gain, k, v)
+            if best and best[0] > 1e-12:
+                low = x[rows, best[1]] <= best[2]
+                left += [(rows[low], depth + 1), (rows[~low], depth + 1)]
+        f = f + step
+    return f
+
+
+@pytest.mark.parametrize("state_rounds, block, held", [(10, 64, 1 << 22), (2, 1, 50)])
+def test_boosted_trees_against_plain_ones(spark, monkeypatch, state_rounds, block, held):
+    """Two segments and two targets at once; with small blocks, hand-ons and rewritten predictions."""
+    for name, value in (("STATE_ROUNDS", state_rounds), ("BLOCK", block), ("HELD", held)):
+        monkeypatch.setattr(boosting, name, value)
+    rng = np.random.default_rng(4)
+    n = 600
+    x = rng.integers(0, 12, size=(n, 3)).astype(float)
+    y = np.stack([x[:, 0] * (x[:, 1] > 5) + rng.normal(size=n), x[:, 2] + rng.normal(size=n)], axis=1)
+    seg, goes = rng.integers(0, 3, n), rng.random(n) < 0.7
+    frame = pd.DataFrame(x, columns=["a", "b", "c"]).assign(seg=seg, goes=goes, y0=y[:, 0], y1=y[:, 1], place=range(n))
+    df = spark.createDataFrame(frame).repartition(5)
+    settings = boosting.Settings(rounds=5, depth=3, step=0.3, row_share=1.0, feature_share=1.0, min_rows=7)
+    keys = [boosting.ModelKey(0, (1.0, 0.0)), boosting.ModelKey(1, (0.5, 0.5)), boosting.ModelKey(1, (0.0, 1.0))]
+    fitted = boosting.boost(df, ["a", "b", "c"], ["y0", "y1"], keys, "seg", settings, "goes")
+    got = boosting.predict(df, fitted, F.col("seg"), missing=-1.0).toPandas().sort_values("place")["prediction"].to_numpy()
+    want = np.full(n, -1.0)
+    plain = {}
+    for s in (0, 1):
+        here = seg == s
+        mine = [k for k in keys if k.segment == s]
+        plain.update({k: _plain_boost(x[here], y[here] @ np.array(k.weights), goes[here], settings, mine) for k in mine})
+        want[here] = np.mean([plain[k] for k in mine], axis=0)
+    assert np.allclose(got, want)
+    assert len(fitted.checks) == settings.rounds + 1
+    for m, key in enumerate(keys):
+        out = ~goes[seg == key.segment]
+        error = ((y[seg == key.segment] @ np.array(key.weights) - plain[key])[out] ** 2).sum()
+        assert fitted.checks[-1][m][-1] == pytest.approx(error) and fitted.checks[-1][m][0] == out.sum()
+
+
+def test_boosting_draws_rows_and_features_by_seed(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2000, 6))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcdef")).assign(y=x[:, 0] + x[:, 3], seg="s"))
+    settings = boosting.Settings(rounds=3, depth=2, step=0.5, row_share=0.5, feature_share=0.5, bins=16)
+    keys = [boosting.ModelKey("s", (1.0,), seed) for seed in (1, 2)] + [boosting.ModelKey("s", (1.0,), 1, (1, 2))]
+    runs = [boosting.boost(df.repartition(k), list("abcdef"), ["y"], keys, "seg", settings) for k in (4, 4)]
+    assert all(np.array_equal(a, b) for a, b in zip(runs[0].feature, runs[1].feature))
+    used = [set(np.concatenate([f[m] for f in runs[0].feature])) - {-1} for m in range(3)]
+    assert used[2] <= {1, 2} and not np.array_equal(runs[0].value[0][0], runs[0].value[0][1])
+    assert all(len(c) <= 15 for c in runs[0].cuts)
+    assert boosting.boost(df, ["a"], ["y"], [], "seg", settings).models == []
+    flat = boosting.boost(df.withColumn("y", F.lit(2.0)), ["a"], ["y"], keys[:1], "seg", settings)
+    got = boosting.predict(df, flat, F.col("seg")).agg(F.min("prediction"), F.max("prediction")).first()
+    assert got[0] == pytest.approx(2.0) and got[1] == pytest.approx(2.0)
+
+
 def test_compare_models(spark):
     valid = spark.createDataFrame([(i, float(i)) for i in range(10)], "id long, target double")
     good = valid.select("id", F.col("target").alias("prediction")).where("id < 8")

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.plans import fixtures as fx
+from panelspark.operators import boosting
 from panelspark.plans import runs
 
 
@@ -38,6 +39,7 @@ def test_purge_run(spark, sf, panel):
 def test_regime_model_run(spark, sf, panel):
     out = runs.regime_model_run(
         panel.where("era_idx <= 40"), panel.where("era_idx > 50"), fx.indicator(spark, sf),
-        ["feature_quantity", "feature_discount", "feature_flip"], "target_net", rounds=2,
+        ["feature_quantity", "feature_discount", "feature_flip"], "target_net",
+        settings=boosting.Settings(rounds=2, depth=2),
     )
     assert {r["metric"] for r in out.collect()} >= {"overall_correlation", "sharpe_ratio"}

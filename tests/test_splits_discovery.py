@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.operators import discovery, relations, splits
+from panelspark.operators import boosting, discovery, relations, splits
 from panelspark.sources.panel import era_index
 
 
@@ -196,10 +196,44 @@ def test_refine_top_k(spark, learnable):
     df = spark.createDataFrame(learnable).where("era <= '0008'")
     moments = discovery.era_ridge_moments(df, FEATURES, TARGETS)
     scores = discovery.score_combinations(discovery.score_by_era(moments, discovery.blends(2)))
-    out = discovery.refine_top_k(df, FEATURES, TARGETS, scores, k=2, rounds=5).collect()
+    quick = boosting.Settings(rounds=4, depth=2, step=0.3, row_share=0.8, feature_share=0.5)
+    out = discovery.refine_top_k(df, FEATURES, TARGETS, scores, k=2, settings=quick).collect()
     assert len(out) == 2 and all(np.isfinite(r["sharpe"]) for r in out)
 
 
+def test_early_stopping_takes_the_first_low():
+    def turn(*errors):
+        line = np.zeros((len(errors), boosting.CHECKS))
+        line[:, -1] = errors
+        return line
+
+    checks = [turn(9, 1, 5), turn(8, 2, 4), turn(7, 2, 6), turn(7.5, 2, 6), turn(6, 2, 6), turn(9, 1, 3)]
+    assert discovery.best_round(checks, 3).tolist() == [4, 1, 1]
+    assert discovery.best_round(checks[:1]).tolist() == [0, 0, 0]
+
+
+def test_features_of_a_blend_are_those_that_correlate_best(spark, learnable):
+    df = spark.createDataFrame(learnable).where("era <= '0003'")
+    combos = discovery.blends(2)
+    got = discovery.blend_features(df, FEATURES, TARGETS, combos, 2)
+    part = learnable[learnable["era"] == "0002"]
+    for c, w in enumerate(combos):
+        corr = part[FEATURES].corrwith(pd.Series(part[TARGETS].to_numpy() @ w, index=part.index)).abs().to_numpy()
+        assert got["0002", c] == tuple(np.argsort(-corr, kind="stable")[:2])
+
+
+def test_no_choice_looks_ahead(spark, learnable):
+    """The weights of early eras stay as they are when later rows change."""
+    df = spark.createDataFrame(learnable)
+    late = df.withColumns({t: F.when(F.col("era") > "0009", -F.col(t)).otherwise(F.col(t)) for t in TARGETS})
+    quick = boosting.Settings(rounds=2, depth=2, step=0.3)
+    runs = [discovery.walk_forward_weights(d, FEATURES, TARGETS, history=9, warmup=2, mode="hybrid", refine=quick).where(
+        "era <= '0010'").orderBy("era").collect() for d in (df, late)]
+    assert runs[0] == runs[1] and any(r["combo_id"] is not None for r in runs[0])
+    with pytest.raises(ValueError):
+        discovery.walk_forward_weights(df, FEATURES, TARGETS, mode="other")
+
+
 def test_degenerate_eras(spark):
     rows = [("1", 1.0, 2.0), ("1", 1.0, 3.0), ("1", 1.0, 9.0), ("2", 1.0, 5.0), ("2", 1.0, 5.0), ("2", 1.0, 9.0)]
     df = spark.createDataFrame(rows, "era string, target_a double, target_b double")
