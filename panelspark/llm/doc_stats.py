@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,15 +105,31 @@ def trusted(labels: DataFrame, label: str = "quality", doc_id: str = "doc_id") -
         .where("y = _high").select("id", F.col("y").cast("int").alias("y")))
 
 
+def likely(rows: DataFrame, most: int, hashed: Column) -> DataFrame:
+    """Rows whose hash is below a threshold that leaves hardly more than ``most``, and fewer with a chance of 1e-9.
+
+    It goes before a sort with a limit, which else would gather ``most`` rows of every partition.
+    """
+    n = rows.count()
+    share = (most + 6 * most**0.5 + 6) / max(n, 1)
+    return rows if share >= 1 else rows.where(hashed < int(share * 2**64) - 2**63)
+
+
 def smallest(ids: DataFrame, most: int, seed: int) -> DataFrame:
     """At most ``most`` rows, those whose ids have the smallest hashes."""
-    return ids.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(most)
+    hashed = F.xxhash64(F.lit(seed), "id")
+    return likely(ids, most, hashed).orderBy(hashed, "id").limit(most)
+
+
+def once(docs: DataFrame, sample: DataFrame, keep: list[str]) -> DataFrame:
+    """(id, ``keep``, text), one row for each id in ``sample`` however often ``docs`` (id, text) repeats it: the least text."""
+    return docs.join(F.broadcast(sample), "id").groupBy("id", *keep).agg(F.min("text").alias("text"))
 
 
 def sample_features(docs: DataFrame, sample: DataFrame, text: str = "text",
                     doc_id: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
     """(features, y) of the sampled documents, on the driver; the sample's bound is the caller's."""
-    found = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample), "id")
+    found = once(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), sample, ["y"])
     table = mapped(
         found, "text", ["id", "y"], T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))]),
         lambda _, x: {"x": list(x)}).select("_row.*", "x").toArrow().sort_by("id")

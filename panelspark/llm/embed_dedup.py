@@ -10,7 +10,7 @@ pairs within the block's budget that no earlier block has found are checked exac
 whole vectors. A tile gives link counts and a spanning forest of its links, never pairs.
 
 Equal vectors of a label form one class with a multiplicity before all this. The sample (at
-most ``SAMPLE`` classes) only steers rotation, budgets, cells and chunks; results are exact
+most ``SAMPLE`` classes and ``SAMPLE_BYTES``) only steers rotation, budgets, cells and chunks; results are exact
 for any. The trees are bounded by the sample: eight of its vectors for a leaf at least.
 
 Edge cases, all defined: a vector that is null, empty, zero or holds null or non-finite
@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.components import Forest, components
+from panelspark.llm.doc_stats import likely
 from panelspark.session import written
 
-SAMPLE = 50_000
+#: Most vectors that the plan is made from, and bytes of them on the driver.
+SAMPLE, SAMPLE_BYTES = 50_000, 64 << 20
 BLOCK = 16
 CHUNK = 4096
 SLACK = 1e-9
@@ -162,11 +164,12 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
 
 def _plan(classes: DataFrame, least: float) -> tuple[dict, dict]:
     """({dim: Space}, {(label, dim, block): Cells}) from the sample."""
-    total = classes.count()
+    total, widest = classes.agg(F.count("*"), F.max("key.dim")).first()
+    most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * (widest or 1))))
     picked = classes.select(
         F.col("key.label").cast("string").alias("label"), F.col("key.dim").alias("dim"), "v",
         F.xxhash64("key").alias("at"))
-    table = picked.orderBy("at").limit(SAMPLE).toArrow()
+    table = likely(picked, most, F.col("at")).orderBy("at").limit(most).toArrow()
     scale = max(1.0, total / max(1, table.num_rows))
     labels, dims = np.array(table.column("label").to_pylist(), dtype=object), table.column("dim").to_numpy()
     spaces, cells = {}, {}

@@ -21,10 +21,23 @@ def url_filter_sql() -> str:
         return f"CASE WHEN {h} <> '' THEN {h} || {path.format(rest)} || {query.format(rest)} END"
 
     def named(tag: str, attribute: str) -> str:
-        url = f"regexp_extract(regexp_extract(html, '{tag}', 0), '{attribute}', 1)"
-        absolute = key(f"regexp_extract({url}, '(?s)^.*?://(.*)$', 1)")
-        relative = key(f"(host || {url})")
-        return f"CASE WHEN contains({url}, '://') THEN {absolute} WHEN starts_with({url}, '/') AND host <> '' THEN {relative} END"
+        """Links are taken apart into what they change: all, host and path, path, last segment, query."""
+        link = f"replace(regexp_extract(regexp_extract(html, '{tag}', 0), '{attribute}', 1), '&amp;', '&')"
+        segments = "string_split(p, '/')[2:]"
+        walked = (f"array_to_string(list_reduce(list_prepend([]::varchar[], list_transform({segments}, lambda s: [s])), lambda k, s: "
+                  "CASE s[1] WHEN '.' THEN k WHEN '..' THEN k[:greatest(len(k) - 1, 0)] ELSE list_concat(k, s) END), '/')")
+        tidy = (f"CASE WHEN contains(p, '/.') THEN list_transform([{walked}], lambda w: '/' || w || "
+                "CASE WHEN w <> '' AND regexp_matches(p, '/[.][.]?$') THEN '/' ELSE '' END)[1] ELSE p END")
+        return f"""(SELECT CASE WHEN h <> '' THEN h || {tidy} || q END FROM (
+            SELECT CASE kind WHEN 'all' THEN {host.format("substr(l, strpos(l, '://') + 3)")} WHEN 'host' THEN {host.format('substr(l, 3)')} ELSE host END AS h,
+                   CASE kind WHEN 'all' THEN {path.format("substr(l, strpos(l, '://') + 3)")} WHEN 'host' THEN {path.format('substr(l, 3)')}
+                             WHEN 'path' THEN regexp_extract(l, '^([^?#]*)', 1) WHEN 'query' THEN path
+                             WHEN 'near' THEN coalesce(nullif(regexp_extract(path, '(?s)^(.*/)', 1), ''), '/') || regexp_extract(l, '^([^?#]*)', 1) END AS p,
+                   {query.format("CASE kind WHEN 'all' THEN substr(l, strpos(l, '://') + 3) WHEN 'host' THEN substr(l, 3) ELSE l END")} AS q
+            FROM (SELECT l, CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN 'all' WHEN starts_with(l, '//') THEN 'host'
+                                 WHEN l = '' OR starts_with(l, '#') OR regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+                                 WHEN starts_with(l, '/') THEN 'path' WHEN starts_with(l, '?') THEN 'query' ELSE 'near' END AS kind
+                  FROM (SELECT {link} AS l)) WHERE kind IS NOT NULL))"""
 
     quote = lambda s: s.replace("'", "''")
     return f"""

@@ -4,6 +4,9 @@ Urls that redirect to one another, or name one another as canonical, are one res
 rule decides the urls that it fits. A url without a rule takes the decision of its aliases:
 allow if a rule allows one of them, else block if a rule blocks one of them, else allow.
 
+Links of a page may be absolute, start with ``//`` or ``/``, be relative to the page's folder or only
+a query; dot segments are taken out. Links with a scheme that has no host, such as ``mailto:``, name nothing.
+
 Edge cases, all defined: a null url, or one without ``://``, has empty host and path, no
 rule and no alias, and is allowed. A null page body names no alias. Repeated rows get equal
 verdicts. An empty table gives an empty result. Kept columns named like a result column are
@@ -28,6 +31,9 @@ CANONICAL = r"(?is)<link\b[^>]*\brel=[\"']?canonical\b[^>]*>"
 REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv=[\"']?refresh\b[^>]*>"
 HREF = r"(?is)\bhref=[\"']?([^\"'\s>]+)"
 REFRESH_URL = r"(?is)\burl=[\"']?([^\"'\s>]+)"
+#: A scheme counts at the start of a link only; ``a:b`` is a scheme without a host.
+WITH_SCHEME, OTHER_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://", r"^[A-Za-z][A-Za-z0-9+.-]*:"
+PATH_OF_LINK, FOLDER = r"^([^?#]*)", r"(?s)^(.*/)"
 #: Host prefixes, path ends and query parameters that sites redirect away.
 HOST_PREFIX = r"^(www|m)[.]"
 PATH_END = r"([.]html|/)$"
@@ -83,11 +89,35 @@ def landing_of(rest: Column) -> Column:
     return F.when(host_of(rest) != "", key)
 
 
+def without_dots(path: Column) -> Column:
+    """A path from the root without ``.`` and ``..`` segments."""
+    parts = F.split(path, "/")
+    walked = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), lambda kept, part: (
+        F.when(part == ".", kept).when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))))
+        .otherwise(F.concat(kept, F.array(part)))))
+    inside = F.element_at(parts, -1).isin(".", "..")
+    joined = F.concat(F.lit("/"), F.array_join(walked, "/"), F.when(inside & (F.size(walked) > 0), "/").otherwise(""))
+    return F.when(path.contains("/."), joined).otherwise(path)
+
+
+def resolved(link: Column, rest: Column) -> Column:
+    """What follows the scheme of the url that a link means on the page with ``rest``; null for other schemes."""
+    host, path = host_of(rest), path_of(rest)
+    own = F.regexp_extract(link, PATH_OF_LINK, 1)
+    tail = F.regexp_extract(link, QUERY, 1)
+    here = host != ""
+    full = F.when(link.rlike(WITH_SCHEME), F.regexp_extract(link, AFTER_SCHEME, 1)).when(
+        link.startswith("//"), F.substring(link, 3, 1 << 30))
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, FOLDER, 1))
+    near = (F.when(link.startswith("/"), own).when(own == "", path).otherwise(F.concat(folder, own)))
+    return F.when(full.isNotNull(), F.concat(host_of(full), without_dots(path_of(full)), F.regexp_extract(full, QUERY, 1))).when(
+        here & (link != "") & ~link.startswith("#") & ~link.rlike(OTHER_SCHEME), F.concat(host, without_dots(near), tail))
+
+
 def named_in(html: Column, tag: str, target: str, rest: Column) -> Column:
-    """Key of the absolute or host-relative url that a tag of the page names, else null."""
-    url = F.regexp_extract(F.regexp_extract(html, tag, 0), target, 1)
-    return F.when(url.contains("://"), key_of(after_scheme(url))).when(
-        url.startswith("/") & (host_of(rest) != ""), key_of(F.concat(host_of(rest), url)))
+    """Key of the url that a tag of the page names, else null."""
+    link = F.replace(F.regexp_extract(F.regexp_extract(html, tag, 0), target, 1), F.lit("&amp;"), F.lit("&"))
+    return key_of(resolved(link, rest))
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from panelspark.llm import doc_stats, langid, pu_quality, quality_rules, texts, trees
 
@@ -210,3 +211,21 @@ def test_model_is_of_all_grams_whatever_is_broadcast(spark, letters, monkeypatch
     want, found = model.entropies(pa.array(got.text, pa.string()))
     assert len(got) == odd.count() and (got.letters == found).all()
     assert np.allclose(np.array(got.h.tolist())[found], want[found], atol=1e-6)
+
+
+def test_an_id_is_learned_from_once_however_often_it_repeats(spark):
+    docs = [(0, "good words in a line " * 9)] * 10_000 + [(i, f"text {i} " * 20) for i in range(1, 40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    known = doc_stats.trusted(labels)
+    x, y = doc_stats.sample_features(frame, doc_stats.smallest(known, 30, 3))
+    assert len(x) == len(y) == min(30, known.count())
+
+
+def test_samples_are_the_smallest_hashes_with_and_without_the_threshold(spark):
+    ids = spark.range(20_000).repartition(9)
+    every = ids.select("id", F.xxhash64(F.lit(5), "id").alias("h")).orderBy("h").limit(300)
+    got = sorted(r["id"] for r in doc_stats.smallest(ids, 300, 5).collect())
+    assert got == sorted(r["id"] for r in every.collect())
+    assert doc_stats.likely(ids, 300, F.xxhash64(F.lit(5), "id")).count() < 450
+    assert doc_stats.smallest(ids.limit(0), 300, 5).count() == 0

@@ -196,3 +196,12 @@ def test_vector_edge_cases(spark):
     assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (None, 0, None, False), (2, 0, 2, True)], key=str)
     assert embed_dedup.dedup(frame.limit(0)).count() == 0
     assert embed_dedup.dedup(frame.withColumn("embedding", F.lit(None).cast("array<double>"))).where("n_links > 0").count() == 0
+
+
+def test_long_vectors_are_planned_from_bounded_bytes(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "SAMPLE_BYTES", 20 * 1024 * 8)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(60, 1024))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([base, base[:9] + 0.01 * rng.normal(size=(9, 1024))]))]
+    got = {r.id: r.component_id for r in embed_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {i: i if i < 60 else i - 60 for i in range(69)}

@@ -40,6 +40,52 @@ def test_blocks_reach_aliases_and_allow_comes_first(spark):
         1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow", 8: "block", 9: "block", 10: "block"}
 
 
+LINKS = ["http://B.com/de/1", "https://b.com", "//b.com/de/1?x=1", "//b.com", "/r?u=http://b.com/de/9", "/a/../b/./c", "/../..", "p2.html",
+         "./p2", "../up?q=/../z", "..", "?page=2", "?u=http://c.com/", "a/b/", "#top", "mailto:x@b.com", "a//b", "/.well/x..y", "/a/b/..",
+         "x.html?u=//q", "/e?a=1&amp;b=2", "...", "a/.../b/.", "HTTP://b.com/De/../x"]
+BASES = ["http://A.net/dir/page.html?s=1#f", "https://a.net", "http://a.net/", "x://a.net/one", "http://a.net?q=/x/y"]
+
+
+def test_links_mean_what_they_mean_to_a_browser(spark):
+    from urllib.parse import urljoin, urlsplit
+
+    def key(base, link):
+        link = link.replace("&amp;", "&")
+        if link.startswith("#") or link.startswith("mailto:"):
+            return None
+        web = base.replace("x://", "http://")  # the library joins links for known schemes only
+        full = urlsplit(urljoin(web, link))
+        path = full.path or ("/" if not link.startswith(("?", "//")) and "://" not in link else "")
+        return full.netloc.lower() + path + (f"?{full.query}" if full.query else "")
+
+    rows = [(f"{k}|{b}", base, f'<link rel="canonical" href="{link}">') for k, link in enumerate(LINKS) for b, base in enumerate(BASES)]
+    rest = url_filter.after_scheme(F.col("url"))
+    found = spark.createDataFrame(rows, "id string, url string, html string").select(
+        "id", url_filter.named_in(F.col("html"), url_filter.CANONICAL, url_filter.HREF, rest).alias("key")).collect()
+    for r in found:
+        k, b = map(int, r["id"].split("|"))
+        if LINKS[k] not in ("a//b", "HTTP://b.com/De/../x"):  # the library drops empty segments, and keeps dots after a host
+            assert r["key"] == key(BASES[b], LINKS[k]), (BASES[b], LINKS[k])
+
+
+def test_the_sql_of_the_rules_knows_links_too(spark):
+    import duckdb
+
+    from panelspark.llm import oracles
+
+    rows = [(k * 10 + b, base, f'<link href="{link}" rel=canonical>') for k, link in enumerate(LINKS) for b, base in enumerate(BASES)]
+    rows += [(900, "http://b.com/de/1", None), (901, "http://a.net/r?u=http://b.com/de/9", None), (902, None, ""), (903, "http://a.net/dir/p2.html", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(tuple(r) for r in url_filter.judge(pages, ["page_id"]).select("page_id", "host", "path", "rule", "verdict").collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    want = sorted(con.sql(f"SELECT page_id, host, path, rule, verdict FROM ({oracles.url_filter_sql()})").fetchall())
+    assert got == want
+    verdict = {r[0]: r[4] for r in got}
+    assert verdict[901] == "allow" and verdict[0] == "block" and verdict[20] == "block"
+
+
 def test_url_edge_cases(spark):
     frame = spark.createDataFrame([(1, "http://a.net/", "h", "x")] * 3, "page_id long, url string, html string, _key string")
     assert url_filter.judge(frame, ["page_id", "_key"]).count() == 3
