@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.ranking import counted, distribution
+from panelspark.functions.runs import run_correlations
 
 # Above this many columns rows are unfolded from an array instead of an expand node.
 MAX_UNPIVOT = 64
@@ -54,43 +55,15 @@ def _centred_rank(weight: str = "weight") -> Column:
     ) / F.col("total")
 
 
-def _joined_rank(df: DataFrame, groups: list[str], y: str, weight: str | None) -> DataFrame:
-    """Adds ``_ry``, the target's rank in its group, by joining the ranked distinct values.
+def joined_rank(df: DataFrame, groups: list[str], y: str, weight: str | None = None) -> tuple[DataFrame, int]:
+    """(``df`` with ``_ry``, the target's rank in its group; how many rows have a target).
 
-    Rows stay spread over all tasks however few groups there are. Few distinct values are
-    broadcast and frequent ones split by adaptive execution, which sees both sides' sizes.
+    The ranked distinct values are joined, so rows stay spread over all tasks however few groups there
+    are. Few distinct values are broadcast and frequent ones split by adaptive execution, which sees both sides' sizes.
     """
-    ranks = distribution(counted(df, groups, y, weight), groups, y).select(
-        *groups, y, _centred_rank().alias("_ry")
-    )
-    return df.join(ranks, [*groups, y], "left")
-
-
-def _rank_corr(
-    cells: DataFrame,
-    groups: list[str],
-    x: str,
-    weight: str | None,
-    out: str,
-) -> DataFrame:
-    """Rank correlation from cells (groups, x, _ry): collapse by value, rank, assemble."""
-    w = F.col(weight) if weight else F.lit(1)
-    bad = F.col(x).isNull() | F.col("_ry").isNull()
-    by_value = cells.groupBy(*groups, x).agg(
-        F.sum(F.when(bad, 0).otherwise(w)).cast("long").alias("weight"),
-        F.sum(F.when(bad, w).otherwise(0)).cast("long").alias("_bad"),
-        F.sum(F.when(~bad, w * F.col("_ry"))).alias("_sy"),
-        F.sum(F.when(~bad, w * F.col("_ry") * F.col("_ry"))).alias("_syy"),
-    )
-    dist = distribution(by_value, groups, x).withColumn("_rx", _centred_rank())
-    corr = F.try_divide(
-        F.sum(F.col("_rx") * F.col("_sy")),
-        F.sqrt(F.sum(F.col("weight") * F.col("_rx") * F.col("_rx")) * F.sum("_syy")),
-    )
-    return dist.groupBy(*groups).agg(
-        F.when(F.sum("_bad") == 0, corr).alias(out),
-        F.sum(F.col("weight") + F.col("_bad")).alias("n"),
-    )
+    ranks = distribution(counted(df, groups, y, weight), groups, y)
+    rows = ranks.agg(F.sum("weight")).first()[0] or 0
+    return df.join(ranks.select(*groups, y, _centred_rank().alias("_ry")), [*groups, y], "left"), int(rows)
 
 
 def spearman(
@@ -111,7 +84,8 @@ def spearman(
     rows = df.select(*dict.fromkeys(keep))
     if omit:
         rows = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return _rank_corr(_joined_rank(rows, groups, y, weight), groups, x, weight, out)
+    ranked, size = joined_rank(rows, groups, y, weight)
+    return run_correlations(ranked, groups, [x], size, weight).select(*groups, F.col("corr").alias(out), "n")
 
 
 def spearman_features(
@@ -123,12 +97,8 @@ def spearman_features(
 ) -> DataFrame:
     """``spearman`` of every feature with one target: (groups, feature, corr, n).
 
-    The target is ranked once per group; rows are then unfolded and collapsed by
-    feature value, which shrinks before the shuffle for coarse features.
+    The target is ranked once per group; rows then become sorted runs of every feature.
     """
-    rows = df.select(*dict.fromkeys([*groups, *features, y]))
-    ranked = _joined_rank(rows, groups, y, None)
-    # shuffle keys carry the feature's position, not its name
-    cells = _coded(ranked, [*groups, "_ry"], features, "_value")
-    corrs = _rank_corr(cells, [*groups, "_pos"], "_value", None, out)
-    return corrs.select(*groups, _named(features), out, "n")
+    ranked, size = joined_rank(df.select(*dict.fromkeys([*groups, *features, y])), groups, y)
+    corrs = run_correlations(ranked, groups, features, size)
+    return corrs.select(*groups, _named(features), F.col("corr").alias(out), "n")

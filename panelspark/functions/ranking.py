@@ -63,7 +63,10 @@ def exact_median(
     weight: str | None = None,
 ) -> DataFrame:
     """Exact (weighted by row count) median per group; never holds a group in memory."""
-    dist = distribution(counted(df, groups, value, weight), groups, value)
+    return _middle(distribution(counted(df, groups, value, weight), groups, value), groups, value, out)
+
+
+def _middle(dist: DataFrame, groups: list[str], value: str, out: str) -> DataFrame:
     end = F.col("below") + F.col("weight")
     low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
     has_low = (F.col("below") <= low) & (low < end)
@@ -83,6 +86,15 @@ def exact_median(
     )
 
 
+def median_and_mad(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """(groups, median, mad): the MAD comes from the counted values of the median, not from rows again."""
+    dist = distribution(counted(df, groups, value), groups, value)
+    middle = bounded(_middle(dist, groups, value, "median"))
+    away = dist.select(*groups, value, "weight").join(middle, groups).select(
+        *groups, F.abs(F.col(value) - F.col("median")).alias("_away"), "weight")
+    return middle.join(exact_median(away, groups, "_away", "mad", "weight"), groups)
+
+
 def top_rows(
     df: DataFrame, groups: list[str], order: list[Column], n: int, salts: int = 64
 ) -> DataFrame:

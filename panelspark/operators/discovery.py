@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from panelspark.functions import expr
 from panelspark.functions.correlation import pearson_of, to_long
 from panelspark.functions.moments import schema_of, second_moments
-from panelspark.functions.ranking import exact_median
+from panelspark.functions.ranking import exact_median, median_and_mad
 from panelspark.operators import boosting
 from panelspark.operators.metrics import CONSTANT_TOLERANCE, MAD_TO_STD, SHARPE_EPS
 from panelspark.operators.splits import train_test_split
@@ -79,10 +79,7 @@ def degenerate_eras(
 ) -> DataFrame:
     """Eras in which the MAD of every target is below ``tol``."""
     cells = to_long(df, [era], targets).where(F.col("value").isNotNull())
-    keys = [era, "feature"]
-    middle = bounded(exact_median(cells, keys, "value", "_median"))
-    away = cells.join(middle, keys).withColumn("_away", F.abs(F.col("value") - F.col("_median")))
-    mads = exact_median(away, keys, "_away", "mad")
+    mads = median_and_mad(cells, [era, "feature"], "value")
     return mads.groupBy(era).agg(F.max("mad").alias("max_mad")).where(F.col("max_mad") < tol)
 
 

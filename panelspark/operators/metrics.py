@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import expr
 from panelspark.functions.correlation import spearman
-from panelspark.functions.ranking import exact_median
-from panelspark.session import bounded
+from panelspark.functions.ranking import median_and_mad
 
 # Tolerances of the degenerate and Sharpe checks.
 CONSTANT_TOLERANCE = 1e-12
@@ -26,13 +25,7 @@ def era_sanity(df: DataFrame, groups: list[str], value: str) -> DataFrame:
         F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"),
         F.avg(value).alias("mean"),
     )
-    middle = exact_median(rows, groups, value, "_median")
-    away = (
-        rows.select(*groups, value)
-        .join(bounded(middle), groups)
-        .withColumn("_away", F.abs(F.col(value) - F.col("_median")))
-    )
-    mad = exact_median(away, groups, "_away", "mad")
+    mad = median_and_mad(rows, groups, value).drop("median")
     tol = CONSTANT_TOLERANCE
     return base.join(mad, groups).withColumn(
         "is_constant",

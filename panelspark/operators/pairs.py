@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.correlation import _joined_rank, spearman
+from panelspark.functions.correlation import joined_rank, spearman
 from panelspark.session import written
 
 #: Distinct values of a pair that a task ranks, unless there are more than MAX_CUTS times as many rows.
@@ -163,7 +163,7 @@ def whole_ratio_correlations(
     p = len(features)
     spark = df.sparkSession
     rows = df.select(F.lit("all").alias("_all"), F.col(target).alias("_y"), doubles(features).alias("_x"))
-    ranked = written(_joined_rank(rows, ["_all"], "_y", None).select("_x", "_y", "_ry"), "ranked-rows")
+    ranked = written(joined_rank(rows, ["_all"], "_y")[0].select("_x", "_y", "_ry"), "ranked-rows")
     whole = ranked.agg(F.count("*"), F.count("_ry"), F.sum(F.col("_ry") * F.col("_ry"))).first()
     n, s_yy = whole[0], whole[2]
     if p < 2 or not n or whole[1] < n:

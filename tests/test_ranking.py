@@ -5,8 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from panelspark.functions import runs
 from panelspark.functions.correlation import pearson, spearman, spearman_features, to_long
-from panelspark.functions.ranking import counted, distribution, exact_median, top_rows
+from panelspark.functions.ranking import counted, distribution, exact_median, median_and_mad, top_rows
 
 
 @pytest.fixture(scope="module")
@@ -95,6 +96,15 @@ def test_weighted_median(spark):
     assert exact_median(df, ["g"], "v", weight="n").first()["median"] == 3.0
 
 
+def test_median_and_mad_equal_pandas(spark, frame):
+    df = spark.createDataFrame(frame)
+    got = {r["g"]: r for r in median_and_mad(df, ["g"], "y").collect()}
+    for g, part in frame.groupby("g"):
+        middle = part["y"].median()
+        assert got[g]["median"] == pytest.approx(middle)
+        assert got[g]["mad"] == pytest.approx((part["y"] - middle).abs().median())
+
+
 def test_pearson_guards(spark):
     rows = [("a", 1.0, 2.0), ("a", 2.0, 4.0), ("a", None, 1.0), ("b", 1.0, 1.0), ("b", 1.0, 2.0)]
     df = spark.createDataFrame(rows, "g string, x double, y double")
@@ -116,3 +126,29 @@ def test_long_form_of_wide_tables(spark):
     df = spark.createDataFrame([(1, *map(float, range(70)))], ["k", *names])
     got = {r["feature"]: r["value"] for r in to_long(df, ["k"], names).collect()}
     assert got == {f"f{i}": float(i) for i in range(70)}
+
+
+@pytest.mark.parametrize("range_rows, held", [(1 << 20, 1 << 21), (40, 60)])
+def test_runs_in_small_ranges_equal_pandas(spark, monkeypatch, range_rows, held):
+    """Masses of ties, a null group, a group of one row and weights, with many ranges, runs and batches."""
+    monkeypatch.setattr(runs, "RANGE_ROWS", range_rows)
+    monkeypatch.setattr(runs, "HELD", held)
+    rng = np.random.default_rng(11)
+    n = 900
+    x = np.where(rng.random(n) < 0.4, 2.0, np.round(rng.normal(size=n), 2))
+    table = pd.DataFrame({"g": rng.choice(["a", "b", None], n, p=[0.7, 0.2, 0.1]), "k": rng.integers(0, 2, n), "x": x, "z": -x**2,
+                          "y": np.round(x + rng.normal(size=n), 1), "w": rng.integers(1, 4, n)})
+    table.loc[0, ["g", "k"]] = ["one", 7]
+    df = spark.createDataFrame(table).withColumn("g", F.when(F.col("g") != "NaN", F.col("g"))).repartition(6)
+    got = {(r["g"], r["k"], r["feature"]): r for r in spearman_features(df, ["g", "k"], ["x", "z"], "y").collect()}
+    heavy = {(r["g"], r["k"]): r for r in spearman(df, ["g", "k"], "x", "y", weight="w").collect()}
+    for (g, k), part in table.groupby(["g", "k"]):
+        for f in ("x", "z"):
+            r = got[g, k, f]
+            want = part[f].rank().corr(part["y"].rank())
+            assert r["n"] == len(part)
+            assert (r["corr"] is None and np.isnan(want)) or r["corr"] == pytest.approx(want, abs=1e-9)
+        long = part.loc[part.index.repeat(part["w"])]
+        want = long["x"].rank().corr(long["y"].rank())
+        assert heavy[g, k]["n"] == part["w"].sum()
+        assert (heavy[g, k]["corr"] is None and np.isnan(want)) or heavy[g, k]["corr"] == pytest.approx(want, abs=1e-9)
