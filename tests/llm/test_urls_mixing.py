@@ -82,8 +82,17 @@ def test_the_sql_of_the_rules_knows_links_too(spark):
     con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
     want = sorted(con.sql(f"SELECT page_id, host, path, rule, verdict FROM ({oracles.url_filter_sql()})").fetchall())
     assert got == want
-    verdict = {r[0]: r[4] for r in got}
-    assert verdict[901] == "allow" and verdict[0] == "block" and verdict[20] == "block"
+
+
+def test_blocks_follow_links_of_every_kind_and_no_others(spark):
+    link = lambda to: f'<link rel="canonical" href="{to}">'
+    got = judged(spark, [
+        (1, "http://a.net/x", link("/r?u=http://b.com/de/9")), (2, "http://b.com/de/9", None),
+        (3, "http://c.net/d/1", link("p2.html")), (4, "http://c.net/d/p2.html", link("//b.com/de/1")),
+        (5, "http://e.net/d/1", link("?page=2")), (6, "http://e.net/d/1?page=2", link("../../b.com/de/1")),
+        (7, "http://f.net/d/1", link("./../q")), (8, "http://f.net/q", link("https://b.com/x/../de/3"))])
+    assert {k: v[3] for k, v in got.items()} == {
+        1: "allow", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "block", 8: "block"}
 
 
 def test_url_edge_cases(spark):
