@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.expr import finite
+from panelspark.functions.ranking import draw_of
 from panelspark.session import written
 
 # Learning constants and the two parameter sets.
@@ -22,7 +23,8 @@ NORMAL = {"n_paths": 8, "max_length": 4, "cap": 60, "min_strength": 0.25, "top_k
 YOLO = {"n_paths": 16, "max_length": 6, "cap": 120, "min_strength": 0.2, "top_k": 80}
 
 WALK_SCHEMA = "kind string, i int, j int, path array<int>, value double"
-MAX_HELD_PATHS = 100_000
+#: Paths and edges that a task holds before it hands them on, and bytes of the index that is broadcast.
+MAX_HELD_PATHS, MAX_INDEX = 100_000, 512 << 20
 
 
 @dataclass
@@ -46,59 +48,106 @@ def _uniform(rows: np.ndarray, *keys: int) -> np.ndarray:
     return h
 
 
-def walk(x: np.ndarray, y: np.ndarray, rows: np.ndarray, m: np.ndarray, path_no: int, max_length: int):
-    """One walk per row, all rows at once: (positions with -1 after the end, success)."""
+def _columns(n: int) -> np.ndarray:
+    return np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+
+
+def start_strengths(i: int, n: int, seed: int) -> np.ndarray:
+    """The strengths from feature ``i`` before anything is learned: drawn by hashing, so never stored."""
+    h = _uniform(np.array([seed], dtype=np.uint64), i)
+    share = (_mix(h + _columns(n)) >> np.uint64(11)).astype(np.float64) / 2.0**53
+    low, high = START_STRENGTH
+    return low + (high - low) * share
+
+
+def strengths_of(i: int, n: int, seed: int, at: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """All strengths from feature ``i``; gains of learned edges are added to what it started with."""
+    s = start_strengths(i, n, seed)
+    s[at] = np.minimum(MAX_STRENGTH, s[at] + gain)
+    return s
+
+
+@dataclass
+class Index:
+    """For every feature its neighbours that a walk can ever choose, strongest first."""
+
+    first: np.ndarray  # where a feature's neighbours begin, and the end of all
+    to: np.ndarray
+    strength: np.ndarray
+
+
+def reachable(s: np.ndarray, i: int, max_length: int) -> np.ndarray:
+    """Features that can be the strongest but for noise when up to ``max_length`` others are visited."""
+    s = s.copy()
+    s[i] = -1.0
+    order = np.argsort(-s, kind="stable")
+    least = max(MIN_STEP, s[order[min(max_length, len(s)) - 1]]) - NOISE
+    return order[: int(np.searchsorted(-s[order], -least, "right"))]
+
+
+def walk(x: np.ndarray, y: np.ndarray, rows: np.ndarray, index: Index, path_no: int, max_length: int):
+    """One walk per row, all rows at once: (positions with -1 after the end, success).
+
+    A step goes to the strongest neighbour that is not on the path yet, with a little noise. Only
+    neighbours in the index are looked at, as no other can win.
+    """
     n_rows, n = x.shape
-    at = np.arange(n_rows)
+    columns = _columns(n)
     base = _uniform(rows, path_no)
     current = (base % np.uint64(n)).astype(np.int64)
     steps = np.full((n_rows, max_length), -1, dtype=np.int64)
     steps[:, 0] = current
-    seen = np.zeros((n_rows, n), dtype=bool)
-    seen[at, current] = True
-    total = x[at, current].copy()
+    total = x[np.arange(n_rows), current].copy()
     weight = np.ones(n_rows)
     alive = np.ones(n_rows, dtype=bool)
-    columns = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
     for step in range(1, max_length):
-        draw = _mix(_uniform(base, step)[:, None] + columns[None, :])
-        noise = (draw >> np.uint64(11)).astype(np.float64) * (NOISE / 2.0**53)
-        strength = np.where(seen, 0.0, m[current]) + noise
-        nxt = strength.argmax(axis=1)
-        alive &= strength[at, nxt] >= MIN_STEP
-        if not alive.any():
+        count = index.first[current + 1] - index.first[current]
+        going = np.flatnonzero(alive & (count > 0))
+        alive[:] = False
+        if not len(going):
             break
-        w = np.where(alive, m[current, nxt], 0.0)
-        total = total + np.where(alive, x[at, nxt] * w, 0.0)
-        weight = weight + w
-        steps[alive, step] = nxt[alive]
-        seen[at[alive], nxt[alive]] = True
-        current = np.where(alive, nxt, current)
-        close = np.abs(total / np.maximum(weight, MIN_WEIGHT) - y) < CLOSE_ENOUGH
-        alive &= ~close
+        size = count[going]
+        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+        owner = np.repeat(np.arange(len(going)), size)
+        flat = np.arange(size.sum()) - starts[owner] + index.first[current[going]][owner]
+        to, row = index.to[flat], going[owner]
+        draw = _mix(_uniform(base[row], step) + columns[to])
+        noise = (draw >> np.uint64(11)).astype(np.float64) * (NOISE / 2.0**53)
+        seen = (steps[row] == to[:, None]).any(axis=1)
+        strength = np.where(seen, 0.0, index.strength[flat]) + noise
+        best = np.maximum.reduceat(strength, starts)
+        hits = np.flatnonzero(strength == best[owner])
+        _, one = np.unique(owner[hits], return_index=True)
+        place = hits[one]
+        good = best >= MIN_STEP
+        going, place = going[good], place[good]
+        nxt, w = to[place], index.strength[flat[place]]
+        total[going] += x[going, nxt] * w
+        weight[going] += w
+        steps[going, step] = nxt
+        current[going] = nxt
+        close = np.abs(total[going] / np.maximum(weight[going], MIN_WEIGHT) - y[going]) < CLOSE_ENOUGH
+        alive[going[~close]] = True
     error = np.abs(total / np.maximum(weight, MIN_WEIGHT) - y)
     success = np.maximum(0.0, np.nan_to_num(1.0 - ERROR_SCALE * error, nan=0.0))
     return steps, np.where(steps[:, 1] >= 0, success, 0.0)
 
 
-def _walker(m: np.ndarray, n_paths: int, max_length: int):
-    n = m.shape[0]
-
+def _walker(shared, n: int, n_paths: int, max_length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        edges = np.zeros((n, n))
+        index = shared.value
+        edges: dict[int, float] = {}
         importance = np.zeros(n)
         held: dict[tuple, float] = {}
 
-        def paths_out():
-            return pd.DataFrame(
-                {
-                    "kind": "path",
-                    "i": -1,
-                    "j": -1,
-                    "path": [list(k) for k in held],
-                    "value": list(held.values()),
-                }
-            )
+        def out():
+            if held:
+                yield pd.DataFrame({"kind": "path", "i": -1, "j": -1, "path": [list(k) for k in held], "value": list(held.values())})
+            if edges:
+                code = np.fromiter(edges, np.int64, len(edges))
+                yield pd.DataFrame({"kind": "edge", "i": code // n, "j": code % n, "path": [[] for _ in code], "value": list(edges.values())})
+            held.clear()
+            edges.clear()
 
         for batch in batches:
             if not len(batch):
@@ -107,41 +156,66 @@ def _walker(m: np.ndarray, n_paths: int, max_length: int):
             y = batch["y"].to_numpy(dtype=np.float64)
             rows = batch["h"].to_numpy(dtype=np.int64).view(np.uint64)
             for p in range(n_paths):
-                steps, success = walk(x, y, rows, m, p, max_length)
+                steps, success = walk(x, y, rows, index, p, max_length)
                 won = success > 0
                 steps, success = steps[won], success[won]
                 if not len(steps):
                     continue
-                for s in range(max_length - 1):
-                    ok = steps[:, s + 1] >= 0
-                    np.add.at(edges, (steps[ok, s], steps[ok, s + 1]), success[ok])
-                for s in range(max_length):
-                    ok = steps[:, s] >= 0
-                    np.add.at(importance, steps[ok, s], success[ok])
+                ok = steps[:, 1:] >= 0
+                code, value = (steps[:, :-1] * n + steps[:, 1:])[ok], np.broadcast_to(success[:, None], ok.shape)[ok]
+                keys, where = np.unique(code, return_inverse=True)
+                for key, add in zip(keys.tolist(), np.bincount(where, value, len(keys)).tolist()):
+                    edges[key] = edges.get(key, 0.0) + add
+                on = steps >= 0
+                importance += np.bincount(steps[on], np.broadcast_to(success[:, None], on.shape)[on], n)
                 keys, where = np.unique(np.sort(steps, axis=1), axis=0, return_inverse=True)
-                sums = np.bincount(where.ravel(), weights=success, minlength=len(keys))
-                for key, value in zip(keys.tolist(), sums.tolist()):
+                for key, add in zip(keys.tolist(), np.bincount(where.ravel(), success, len(keys)).tolist()):
                     k = tuple(v for v in key if v >= 0)
-                    held[k] = held.get(k, 0.0) + value
-            if len(held) > MAX_HELD_PATHS:
-                yield paths_out()
-                held.clear()
-        if held:
-            yield paths_out()
-        a, b = np.nonzero(edges)
-        if len(a):
-            yield pd.DataFrame(
-                {"kind": "edge", "i": a, "j": b, "path": [[] for _ in a], "value": edges[a, b]}
-            )
+                    held[k] = held.get(k, 0.0) + add
+            if len(held) + len(edges) > MAX_HELD_PATHS:
+                yield from out()
+        yield from out()
         c = np.nonzero(importance)[0]
         if len(c):
-            yield pd.DataFrame(
-                {"kind": "node", "i": c, "j": -1, "path": [[] for _ in c], "value": importance[c]}
-            )
+            yield pd.DataFrame({"kind": "node", "i": c, "j": -1, "path": [[] for _ in c], "value": importance[c]})
 
     return run
 
 
+EDGE = "i int, j int, gain double"
+
+
+def _rows_of_gains(spark, gains: DataFrame, n: int) -> DataFrame:
+    """(i, at, gain): every feature with its learned edges as arrays."""
+    lists = gains.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "gain"))).alias("e"))
+    return spark.range(n).select(F.col("id").cast("int").alias("i")).join(lists, "i", "left").select(
+        "i", F.coalesce(F.col("e.j"), F.array().cast("array<int>")).alias("at"),
+        F.coalesce(F.col("e.gain"), F.array().cast("array<double>")).alias("gain"))
+
+
+def neighbour_index(spark, gains: DataFrame, n: int, seed: int, max_length: int) -> Index:
+    """The index of all features, each made from its own learned edges in a task."""
+
+    def run(batches):
+        for batch in batches:
+            to, strength = [], []
+            for i, at, gain in zip(batch["i"], batch["at"], batch["gain"]):
+                s = strengths_of(int(i), n, seed, np.asarray(at, dtype=np.int64), np.asarray(gain, dtype=np.float64))
+                near = reachable(s, int(i), max_length)
+                to.append(near.tolist())
+                strength.append(s[near].tolist())
+            yield pd.DataFrame({"i": batch["i"], "to": to, "strength": strength})
+
+    table = written(_rows_of_gains(spark, gains, n).mapInPandas(run, "i int, to array<int>, strength array<double>"), "neighbours")
+    size = table.agg(F.sum(F.size("to"))).first()[0] or 0
+    if 16 * size > MAX_INDEX:
+        raise ValueError(f"{size} neighbours are too many to broadcast; choose features first")
+    rows = table.orderBy("i").toArrow()
+    to, strength = (rows.column(c).combine_chunks() for c in ("to", "strength"))
+    first = np.concatenate([[0], np.cumsum(to.value_lengths().to_numpy())]).astype(np.int64)
+    return Index(first, to.flatten().to_numpy().astype(np.int64), strength.flatten().to_numpy())
+
+
 def mine_relationships(
     df: DataFrame,
     features: list[str],
@@ -151,65 +225,66 @@ def mine_relationships(
     cap: int | None = None,
     batches: int = 4,
     seed: int = 42,
+    keys: list[str] | None = None,
 ) -> Mined:
     """Learns edge strengths in a few rounds over hash-chosen parts of the rows.
 
-    Within a round the strengths are fixed, so rows are walked independently and
-    only summed successes come back: one number for each pair of features a round. Path
-    memory stays a table. All draws are hashes of the row, so the result does not
-    depend on the number of partitions.
+    Within a round the strengths are fixed, so rows are walked independently and their summed
+    successes become gains in a table of edges. What features start with is hashed, so only learned
+    edges are kept anywhere, and the walks get an index of the neighbours that can win: no matrix
+    of all pairs exists. Draws are hashes of the row, or of ``keys``, so the result does
+    not depend on the number of partitions.
     """
     features = features if cap is None else features[:cap]
-    n = len(features)
+    n, spark = len(features), df.sparkSession
     x = F.array(*[F.coalesce(finite(F.col(f)), F.lit(float("nan"))) for f in features])
     y = F.coalesce(finite(F.col(target)), F.lit(float("nan")))
-    rows = df.select(x.alias("x"), y.alias("y")).withColumn("h", F.xxhash64(F.lit(seed), "x", "y"))
+    h = draw_of([F.col(k) for k in keys], seed) if keys else F.xxhash64(F.lit(seed), "x", "y")
+    rows = df.select(x.alias("x"), y.alias("y"), *(keys or [])).select("x", "y", h.alias("h"))
     # one write lets each round read only its own part
     parts = written(
-        rows.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(batches)).cast("int")), "walk", ["part"]
+        rows.withColumn("part", F.pmod("h", F.lit(batches)).cast("int")), "walk", ["part"]
     )
-    m = np.random.default_rng(seed).uniform(*START_STRENGTH, size=(n, n))
-    np.fill_diagonal(m, 1.0)
-    importance = np.zeros(n)
-    path_tables = []
+    gains, tables = spark.createDataFrame([], EDGE), []
     for part in range(batches):
+        shared = spark.sparkContext.broadcast(neighbour_index(spark, gains, n, seed, max_length))
         found = (
             parts.where(F.col("part") == part)
             .select("x", "y", "h")
-            .mapInPandas(_walker(m, n_paths, max_length), WALK_SCHEMA)
+            .mapInPandas(_walker(shared, n, n_paths, max_length), WALK_SCHEMA)
         )
         summed = written(
             found.groupBy("kind", "i", "j", "path").agg(F.sum("value").alias("value")), "walked"
         )
-        for r in summed.where("kind = 'node'").collect():  # at most cap rows
-            importance[r["i"]] += LEARNING_RATE * r["value"]
-        gain = np.zeros((n, n))
-        for r in summed.where("kind = 'edge'").collect():  # at most cap x cap rows
-            gain[r["i"], r["j"]] = LEARNING_RATE * REINFORCEMENT * r["value"]
-        m = np.minimum(MAX_STRENGTH, m + gain + gain.T)
-        path_tables.append(summed.where("kind = 'path'").select("path", "value"))
-    m = m * DECAY
-    np.fill_diagonal(m, 1.0)
-    memory = path_tables[0]
-    for table in path_tables[1:]:
-        memory = memory.unionByName(table)
+        tables.append(summed)
+        delta = summed.where("kind = 'edge'").select("i", "j", (LEARNING_RATE * REINFORCEMENT * F.col("value")).alias("gain"))
+        back = delta.select(F.col("j").alias("i"), F.col("i").alias("j"), "gain")
+        gains = written(
+            gains.unionByName(delta).unionByName(back).groupBy("i", "j").agg(F.sum("gain").alias("gain")), "gains")
+    every = tables[0]
+    for table in tables[1:]:
+        every = every.unionByName(table)
+    names = F.array(*[F.lit(f) for f in features])
     memory = (
-        memory.groupBy("path")
+        every.where("kind = 'path'").groupBy("path")
         .agg((F.sum("value") * DECAY).alias("success"))
         .where(F.col("success") >= FORGET_BELOW)
     )
-    spark = df.sparkSession
-    edges = [
-        (i, j, features[i], features[j], float(m[i, j])) for i in range(n) for j in range(i + 1, n)
-    ]
-    nodes = [(i, f, float(importance[i] * DECAY)) for i, f in enumerate(features)]
-    return Mined(
-        spark.createDataFrame(
-            edges, "f1_idx int, f2_idx int, feature1 string, feature2 string, strength double"
-        ),
-        spark.createDataFrame(nodes, "idx int, feature string, importance double"),
-        memory,
-    )
+    sums = every.where("kind = 'node'").groupBy("i").agg(F.sum("value").alias("value"))
+    importance = spark.range(n).select(F.col("id").cast("int").alias("i")).join(sums, "i", "left").select(
+        F.col("i").alias("idx"), names[F.col("i")].alias("feature"),
+        (F.coalesce("value", F.lit(0.0)) * LEARNING_RATE * DECAY).alias("importance"))
+
+    def all_edges(batches):
+        for batch in batches:
+            for i, at, gain in zip(batch["i"], batch["at"], batch["gain"]):
+                i = int(i)
+                s = strengths_of(i, n, seed, np.asarray(at, dtype=np.int64), np.asarray(gain, dtype=np.float64))
+                yield pd.DataFrame({"f1_idx": i, "f2_idx": np.arange(i + 1, n, dtype=np.int32), "strength": s[i + 1:] * DECAY})
+
+    edges = _rows_of_gains(spark, gains, n).mapInPandas(all_edges, "f1_idx int, f2_idx int, strength double").select(
+        "f1_idx", "f2_idx", names[F.col("f1_idx")].alias("feature1"), names[F.col("f2_idx")].alias("feature2"), "strength")
+    return Mined(edges, importance, memory)
 
 
 def top_relationships(

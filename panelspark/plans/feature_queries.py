@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelspark.operators import features as ops
 from panelspark.operators import motifs, relations
 from panelspark.plans import fixtures as fx
-from panelspark.plans.registry import query, r, spearman_sql, sql
+from panelspark.plans.registry import draw_sql, query, r, spearman_sql, sql
 from panelspark.plans.source_queries import KEY_SQL
 from panelspark.session import all_rows
 
@@ -343,6 +343,86 @@ def relationship_paths(spark, sf):
     return mined.paths.select(F.array_join("path", "-").alias("path"), r("success", 3).alias("success"))
 
 
+SHORT = {"n_paths": 2, "max_length": 3, "batches": 2}
+SCALES = {"feature_quantity": (10, 5.0), "feature_discount": (0.01, 10.0), "feature_tax": (0.01, 8.0), "l_linenumber": (1, 7.0)}
+
+
+def _short_walks_sql() -> str:
+    """The walks of two rounds spelled out: draws are 64-bit hashes of the row's keys, as in the operator."""
+    n, whole = len(SCALES), 1 << 64
+    golden, column = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+    columns = f"[{', '.join(str(column * (j + 1) % whole) for j in range(n))}]::ubigint[]"
+
+    def times(a, c):
+        return f"(({a})::uhugeint * {c}::uhugeint % {whole}::uhugeint)::ubigint"
+
+    def plus(a, b):
+        return f"((({a})::uhugeint + ({b})::uhugeint) % {whole}::uhugeint)::ubigint"
+
+    def mixed(e):
+        one = f"list_transform([{e}], lambda a: {times('xor(a, a >> 30)', 0xBF58476D1CE4E5B9)})"
+        two = f"list_transform({one}, lambda a: {times('xor(a, a >> 27)', 0x94D049BB133111EB)})"
+        return f"list_transform({two}, lambda a: xor(a, a >> 31))[1]"
+
+    def drawn(e, key):
+        return mixed(plus(e, str(golden * (key + 1) % whole)))
+
+    start = [float(v) for i in range(n) for v in relations.start_strengths(i, n, 42)]
+    xs = ", ".join(f"cast(floor({c} / {float(width)!r}::double + 1e-9::double) AS double) / {float(top)!r}::double" for c, (width, top) in SCALES.items())
+    parts = [f"""
+base AS MATERIALIZED (SELECT {draw_sql(fx.KEYS)} AS d, [{xs}] AS x, target_net / 100000.0::double AS y FROM panel),
+s0 AS (SELECT {start!r}::double[] AS s)"""]
+    for turn in range(SHORT["batches"]):
+        walks = []
+        for p in range(SHORT["n_paths"]):
+            parts.append(f"""
+w{turn}_{p}_0 AS (SELECT x, y, base, cur, [cur] AS path, x[cur] AS total, 1.0::double AS weight, true AS alive, s FROM (
+  SELECT x, y, base, (base % {n})::int + 1 AS cur, s FROM (
+    SELECT x, y, {drawn("d::ubigint", p)} AS base, s FROM base CROSS JOIN s{turn} WHERE d % {SHORT["batches"]} = {turn})))""")
+            for t in range(1, SHORT["max_length"]):
+                noise = f"({mixed(plus('u', f'({columns})[j]'))} >> 11)::double * ({relations.NOISE!r}::double / {2.0**53!r}::double)"
+                parts.append(f"""
+w{turn}_{p}_{t} AS (
+  SELECT x, y, base, s, CASE WHEN go THEN nxt ELSE cur END AS cur, CASE WHEN go THEN list_append(path, nxt) ELSE path END AS path,
+         CASE WHEN go THEN total + x[nxt] * w ELSE total END AS total, CASE WHEN go THEN weight + w ELSE weight END AS weight,
+         go AND NOT (abs((total + x[nxt] * w) / (weight + w) - y) < 0.1) AS alive
+  FROM (SELECT *, alive AND best.v >= 0.1 AS go, best.j AS nxt, s[(cur - 1) * {n} + best.j] AS w FROM (
+    SELECT *, list_max(list_transform(range(1, {n + 1}), lambda j: {{'v': CASE WHEN list_contains(path, j) THEN 0 ELSE s[(cur - 1) * {n} + j] END + {noise}, 'j': j::int}})) AS best
+    FROM (SELECT *, {drawn("base", t)} AS u FROM w{turn}_{p}_{t - 1}))))""")
+            walks.append(f"SELECT path, greatest(0, 1 - 2 * abs(total / weight - y)) AS success FROM w{turn}_{p}_{SHORT['max_length'] - 1} WHERE len(path) > 1")
+        parts.append(f"""
+won{turn} AS MATERIALIZED (SELECT * FROM ({' UNION ALL '.join(walks)}) WHERE success > 0),
+e{turn} AS (SELECT path[k] AS i, path[k + 1] AS j, 0.05 * 0.02 * sum(success) AS g FROM won{turn}, unnest(range(1, {SHORT["max_length"]})) AS u(k)
+  WHERE k < len(path) GROUP BY 1, 2)""")
+        edges = " UNION ALL ".join(f"SELECT i, j, g FROM e{k} UNION ALL SELECT j, i, g FROM e{k}" for k in range(turn + 1))
+        parts.append(f"""
+g{turn} AS (SELECT (i - 1) * {n} + j AS slot, sum(g) AS g FROM ({edges}) GROUP BY 1),
+s{turn + 1} AS (SELECT list(least(3.0, v + coalesce(g, 0)) ORDER BY k) AS s
+  FROM (SELECT unnest(s) AS v, unnest(range(1, {n * n + 1})) AS k FROM s0) LEFT JOIN g{turn} ON k = slot)""")
+    last = SHORT["batches"]
+    won = " UNION ALL ".join(f"SELECT * FROM won{k}" for k in range(last))
+    return sql(f"""
+WITH {",".join(parts)},
+won AS ({won})
+SELECT 'edge' AS kind, (i - 1) || '-' || (j - 1) AS name, round(s[(i - 1) * {n} + j] * 0.95, 4) + 0.0 AS value
+FROM s{last}, unnest(range(1, {n + 1})) AS a(i), unnest(range(1, {n + 1})) AS b(j) WHERE i < j
+UNION ALL SELECT 'node', (f - 1)::varchar, round(sum(success) * 0.05 * 0.95, 3) + 0.0 FROM (SELECT unnest(path) AS f, success FROM won) GROUP BY f
+UNION ALL SELECT 'path', array_to_string(list_transform(list_sort(path), lambda f: (f - 1)::varchar), '-') AS name, round(sum(success) * 0.95, 2) + 0.0
+FROM won GROUP BY name HAVING sum(success) * 0.95 >= 0.01""", "panel")
+
+
+@query(_short_walks_sql())
+def mine_relationships_short(spark, sf):
+    """Two rounds of short walks whose draws come from the row's keys: edges, importance and path memory."""
+    columns = {c: F.floor(F.col(c) / width + 1e-9).cast("double") / top for c, (width, top) in SCALES.items()}
+    p = fx.panel(spark, sf).select(*fx.KEYS, *[e.alias(f"x_{c}") for c, e in columns.items()], (F.col("target_net") / 100000.0).alias("y"))
+    mined = relations.mine_relationships(p, [f"x_{c}" for c in SCALES], "y", keys=fx.KEYS, **SHORT)
+    edges = mined.edges.select(F.lit("edge").alias("kind"), F.concat_ws("-", "f1_idx", "f2_idx").alias("name"), r("strength", 4).alias("value"))
+    nodes = mined.importance.where("importance > 0").select(F.lit("node").alias("kind"), F.col("idx").cast("string").alias("name"), r("importance", 3).alias("value"))
+    paths = mined.paths.select(F.lit("path").alias("kind"), F.array_join("path", "-").alias("name"), r("success", 2).alias("value"))
+    return edges.unionByName(nodes).unionByName(paths)
+
+
 def _edge_corrs(spark, sf):
     """Edges with absolute correlation as strength, for the operators after mining."""
     from panelspark.functions.correlation import pearson_of

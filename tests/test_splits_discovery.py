@@ -258,9 +258,16 @@ def test_mining_does_not_depend_on_partitions(planted):
     assert len(runs[0]) == 28 and (runs[0]["strength"] <= 3.0).all()
 
 
+def whole_index(m):
+    """Every other feature as a neighbour, in order, as a dense matrix has them."""
+    n = len(m)
+    to = np.array([j for i in range(n) for j in range(n) if i != j])
+    return relations.Index(np.arange(n + 1) * (n - 1), to, np.array([m[i, j] for i in range(n) for j in range(n) if i != j]))
+
+
 def test_walk_rules():
     n = 6
-    m = np.full((n, n), 0.5)
+    m = whole_index(np.full((n, n), 0.5))
     rows = np.arange(200, dtype=np.uint64) * np.uint64(977)
     x = np.tile(np.linspace(0, 1, n), (200, 1))
     steps, success = relations.walk(x, np.full(200, 9.0), rows, m, 0, 4)
@@ -269,10 +276,97 @@ def test_walk_rules():
     steps, success = relations.walk(x, np.full(200, 0.5), rows, m, 0, 4)
     done = steps[:, 1] >= 0
     assert (success[done] >= 0).all() and (success[~done] == 0).all()
-    steps, _ = relations.walk(x, np.full(200, 9.0), rows, np.full((n, n), 0.05), 0, 4)
+    steps, _ = relations.walk(x, np.full(200, 9.0), rows, whole_index(np.full((n, n), 0.05)), 0, 4)
     assert (steps[:, 1:] == -1).all()  # too weak to follow
 
 
+def _plain_mining(x, y, h, batches, n_paths, max_length, seed=42):
+    """Walks one row at a time over a matrix of all pairs, with whole-number arithmetic."""
+    mask, n = (1 << 64) - 1, x.shape[1]
+
+    def mix(v):
+        v = (v ^ v >> 30) * 0xBF58476D1CE4E5B9 & mask
+        v = (v ^ v >> 27) * 0x94D049BB133111EB & mask
+        return v ^ v >> 31
+
+    def drawn(v, key):
+        return mix(v + 0x9E3779B97F4A7C15 * (key + 1) & mask)
+
+    column = [0xD1342543DE82EF95 * (j + 1) & mask for j in range(n)]
+    m = [[0.01 + (0.1 - 0.01) * ((mix(drawn(seed, i) + column[j] & mask) >> 11) / 2.0**53) for j in range(n)] for i in range(n)]
+    paths, importance = {}, [0.0] * n
+    for part in range(batches):
+        gain = np.zeros((n, n))
+        for row in range(len(y)):
+            if h[row] % batches != part:
+                continue
+            for p in range(n_paths):
+                base = drawn(int(h[row]), p)
+                path = [base % n]
+                total, weight = x[row, path[0]], 1.0
+                for step in range(1, max_length):
+                    u = drawn(base, step)
+                    tried = [(0.0 if j in path else m[path[-1]][j]) + (mix(u + column[j] & mask) >> 11) * (0.01 / 2.0**53) for j in range(n)]
+                    j = int(np.argmax(tried))
+                    if tried[j] < 0.1:
+                        break
+                    total += x[row, j] * m[path[-1]][j]
+                    weight += m[path[-1]][j]
+                    path.append(j)
+                    if abs(total / weight - y[row]) < 0.1:
+                        break
+                success = max(0.0, 1 - 2 * abs(total / weight - y[row])) if len(path) > 1 else 0.0
+                if success:
+                    for a, b in zip(path, path[1:]):
+                        gain[a, b] += 0.001 * success
+                        gain[b, a] += 0.001 * success
+                    for f in path:
+                        importance[f] += 0.05 * success
+                    paths[tuple(sorted(path))] = paths.get(tuple(sorted(path)), 0.0) + success
+        m = [[min(3.0, m[i][j] + gain[i, j]) for j in range(n)] for i in range(n)]
+    return np.array(m) * 0.95, np.array(importance) * 0.95, {k: v * 0.95 for k, v in paths.items() if v * 0.95 >= 0.01}
+
+
+def test_mining_equals_walking_row_by_row(spark):
+    from panelspark.functions.ranking import draw_of
+
+    rng = np.random.default_rng(12)
+    x, y = rng.random((500, 6)), rng.random(500)
+    names = [f"f{i}" for i in range(6)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(y=y, place=range(500))).repartition(5)
+    drawn = {r["place"]: r["h"] for r in df.select("place", draw_of([F.col("place")], 42).alias("h")).collect()}
+    strength, importance, paths = _plain_mining(x, y, [drawn[i] for i in range(500)], 3, 4, 4)
+    mined = relations.mine_relationships(df, names, "y", n_paths=4, max_length=4, batches=3, keys=["place"])
+    edges = mined.edges.collect()
+    assert len(edges) == 15
+    for r in edges:
+        assert r["strength"] == pytest.approx(strength[r["f1_idx"], r["f2_idx"]], abs=1e-9)
+    assert {r["idx"]: r["importance"] for r in mined.importance.collect()} == pytest.approx(dict(enumerate(importance)))
+    assert {tuple(r["path"]): r["success"] for r in mined.paths.collect()} == pytest.approx(paths)
+
+
+def test_the_index_holds_every_neighbour_that_can_win():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        s = np.concatenate([rng.uniform(0.01, 0.1, 40), rng.uniform(0.05, 0.3, 5)])
+        kept = set(relations.reachable(s, 7, 4).tolist())
+        for _ in range(20):
+            visited = [7, *rng.choice(sorted(kept), min(2, len(kept)), replace=False)]
+            tried = np.where(np.isin(np.arange(45), visited), 0.0, s) + rng.uniform(0, 0.01, 45)
+            if tried.max() >= 0.1:
+                assert int(tried.argmax()) in kept
+
+
+def test_many_features_need_no_matrix(spark):
+    rng = np.random.default_rng(5)
+    x = rng.random((120, 400))
+    names = [f"f{i}" for i in range(400)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(y=x[:, :5].mean(axis=1)))
+    mined = relations.mine_relationships(df, names, "y", n_paths=2, max_length=3, batches=2)
+    assert mined.edges.count() == 400 * 399 // 2 and mined.importance.count() == 400
+    assert 0 < relations.top_relationships(mined.edges, 0.0, 5).count() <= 5
+
+
 def test_edges_to_relationships(planted):
     names = [f"f{i}" for i in range(8)]
     mined = relations.mine_relationships(planted, names, "y", batches=2)
