@@ -8,6 +8,7 @@ from panelspark.plans import (  # noqa: F401  (importing registers)
     metric_queries,
     model_queries,
     regime_queries,
+    run_queries,
     source_queries,
     split_queries,
     stability_queries,

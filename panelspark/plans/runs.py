@@ -10,6 +10,9 @@ from panelspark.operators.metrics import evaluate_predictions
 from panelspark.operators.regimes import join_indicator, purge_regimes, regime_by_percentile, join_regimes
 from panelspark.session import written
 
+# Fixed value: survivors whose ratios and differences are made.
+MATH_BASE = 50
+
 
 def discovery_run(
     df: DataFrame, feature_names: list[str], target_names: list[str], **options
@@ -52,7 +55,7 @@ def purge_run(
     survivors = [r["feature"] for r in stability.select_survivors(verdicts).collect()]
     if not survivors:
         return verdicts, feature_names, rows
-    made = features.math_features(rows, survivors)
+    made = features.math_features(rows, survivors[:MATH_BASE])
     made = features.neutralize(made, survivors, target)
     new = [c for c in made.columns if c not in rows.columns]
     return verdicts, survivors + new, made
