@@ -4,7 +4,8 @@ Every row belongs to one segment (all rows, a regime, an era), and every segment
 models (seeds, target blends). All models grow level by level together: a level is one pass over
 the rows, in which tasks add up gradient histograms by (model, node, feature, bin), one shuffle
 of histograms, and the choice of the best split of every node. Rows never leave their task, so a
-segment may have any size; only tree nodes reach the driver.
+segment may have any size; only tree nodes reach the driver, or histograms while they are few
+(their size is known beforehand), which saves the shuffle.
 
 Features are binned once, exactly where they have few distinct values. Rows with their bins, targets and
 predictions so far are written to the shared folder and anew every few rounds, so lost executors
@@ -31,6 +32,8 @@ BLOCK, HELD = 64, 1 << 22
 #: Rounds between writings of the rows' predictions, and rounds that share a sample of rows.
 STATE_ROUNDS, BAG_ROUNDS = 10, 5
 MAX_MODELS = 100_000
+#: Up to this many bytes of histograms from all tasks go to the driver as they are; more are shuffled first.
+DIRECT = 64 << 20
 #: What is summed over held-out rows: count, y, f, yy, ff, yf, squared error.
 CHECKS = 7
 
@@ -216,8 +219,8 @@ def _level_pass(shared, turn: int, level: int, checking: bool):
                     if not use.any():
                         continue
                     here, left = node[use] - first, (goal - now)[use]
-                    for block in range(-(-p // BLOCK)):
-                        columns = x[use, block * BLOCK: (block + 1) * BLOCK]
+                    for block in range(-(-p // job["block"])):
+                        columns = x[use, block * job["block"]: (block + 1) * job["block"]]
                         b = columns.shape[1]
                         if (model, block) not in held:
                             held[model, block] = (np.zeros((width, b, bins)), np.zeros((width, b, bins)))
@@ -232,38 +235,51 @@ def _level_pass(shared, turn: int, level: int, checking: bool):
     return run
 
 
-def _best_split(shared, turn: int):
-    """The split of a node with the largest gain among one block of features."""
-
+def _added(parts: list[bytes]) -> np.ndarray:
+    return np.sum([np.frombuffer(b, "<f8") for b in parts], axis=0)
+
+
+def best_split(job: dict, turn: int, model: int, node: int, block: int, sums: list[bytes], counts: list[bytes]) -> tuple:
+    """The split of a node with the largest gain among one block of features, from the tasks' histograms."""
+    settings = job["settings"]
+    if node < 0:
+        return model, node, -1, -1, 0.0, 0.0, 0.0, 0.0, 0.0, _added(sums).tobytes()
+    sums, counts = (_added(x).reshape(-1, settings.bins) for x in (sums, counts))
+    total, n = sums[0].sum(), counts[0].sum()
+    own = np.arange(len(sums)) + block * job["block"]
+    mine = np.arange(job["p"]) if job["features"][model] is None else np.array(job["features"][model])
+    allowed = np.isin(own, chosen_features(mine, job["seeds"][model], turn, settings.feature_share))
+    left, left_n = np.cumsum(sums, axis=1)[:, :-1], np.cumsum(counts, axis=1)[:, :-1]
+    good = allowed[:, None] & (left_n >= settings.min_rows) & (n - left_n >= settings.min_rows)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(good, left**2 / left_n + (total - left) ** 2 / (n - left_n) - total**2 / n, -np.inf)
+    best = int(np.argmax(gain))
+    f, b = divmod(best, gain.shape[1])
+    if not good.flat[best]:
+        return model, node, -1, -1, -1.0, 0.0, 0.0, total, n, b""
+    return model, node, int(own[f]), b, gain.flat[best], left.flat[best], left_n.flat[best], total, n, b""
+
+
+def _split_of_parts(shared, turn: int):
     def run(key, parts):
-        job = shared.value
-        settings, (model, node, block) = job["settings"], (k.as_py() for k in key)
-        if node < 0:
-            line = np.sum([np.frombuffer(b, "<f8") for b in parts.column("sums").to_pylist()], axis=0)
-            return _split_row(model, node, -1, -1, 0.0, 0.0, 0.0, 0.0, 0.0, line.tobytes())
-        sums, counts = (sum(np.frombuffer(b, "<f8") for b in parts.column(c).to_pylist()).reshape(-1, settings.bins)
-                        for c in ("sums", "counts"))
-        total, n = sums[0].sum(), counts[0].sum()
-        own = np.arange(len(sums)) + block * BLOCK
-        mine = np.arange(job["p"]) if job["features"][model] is None else np.array(job["features"][model])
-        allowed = np.isin(own, chosen_features(mine, job["seeds"][model], turn, settings.feature_share))
-        left, left_n = np.cumsum(sums, axis=1)[:, :-1], np.cumsum(counts, axis=1)[:, :-1]
-        good = allowed[:, None] & (left_n >= settings.min_rows) & (n - left_n >= settings.min_rows)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.where(good, left**2 / left_n + (total - left) ** 2 / (n - left_n) - total**2 / n, -np.inf)
-        best = int(np.argmax(gain))
-        f, b = divmod(best, gain.shape[1])
-        if not good.flat[best]:
-            return _split_row(model, node, -1, -1, -1.0, 0.0, 0.0, total, n, b"")
-        return _split_row(model, node, int(own[f]), b, gain.flat[best], left.flat[best], left_n.flat[best], total, n, b"")
+        model, node, block = (k.as_py() for k in key)
+        row = best_split(shared.value, turn, model, node, block, parts.column("sums").to_pylist(), parts.column("counts").to_pylist())
+        schema = pa.schema([(c.split()[0], {"int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}[c.split()[1]])
+                            for c in SPLIT.split(", ")])
+        return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(row, schema.types)], schema=schema)
 
     return run
 
 
-def _split_row(*values) -> pa.Table:
-    schema = pa.schema([(c.split()[0], {"int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}[c.split()[1]])
-                        for c in SPLIT.split(", ")])
-    return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(values, schema.types)], schema=schema)
+def _splits_here(job: dict, turn: int, histograms: pa.Table) -> pd.DataFrame:
+    """The same on the driver, for histograms that are few."""
+    found: dict[tuple, tuple[list, list]] = {}
+    for model, node, block, sums, counts in zip(*(histograms.column(c).to_pylist() for c in histograms.column_names)):
+        both = found.setdefault((model, node, block), ([], []))
+        both[0].append(sums)
+        both[1].append(counts)
+    rows = [best_split(job, turn, *key, *found[key]) for key in sorted(found)]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in SPLIT.split(", ")])
 
 
 def boost(df: DataFrame, features: list[str], targets: list[str], models: list[ModelKey], segment: str,
@@ -314,16 +330,22 @@ def boost(df: DataFrame, features: list[str], targets: list[str], models: list[M
     for k, m in enumerate(models):
         of_segment[places[m.segment]].append(k)
     nodes = 2 ** (settings.depth + 1) - 1
-    fixed = {"p": p, "settings": settings, "of_segment": of_segment, "weights": weights, "base": base,
+    fixed = {"p": p, "block": BLOCK, "settings": settings, "of_segment": of_segment, "weights": weights, "base": base,
              "seeds": [m.seed for m in models], "features": [m.features for m in models]}
     # the first predictions are the means
     pending = [(np.full((len(models), nodes), -1, np.int16), np.zeros((len(models), nodes), np.uint8),
                 np.repeat(base[:, None], nodes, axis=1))]
 
+    tasks = state.rdd.getNumPartitions()
+
     def one_pass(grown, turn, level):
-        shared = spark.sparkContext.broadcast(fixed | {"pending": pending, "grown": grown})
-        found = (state.mapInArrow(_level_pass(shared, turn, level, train is not None), HISTOGRAM)
-                 .groupBy("model", "node", "block").applyInArrow(_best_split(shared, turn), SPLIT).toPandas())
+        job = fixed | {"pending": pending, "grown": grown}
+        shared = spark.sparkContext.broadcast(job)
+        parts = state.mapInArrow(_level_pass(shared, turn, level, train is not None), HISTOGRAM)
+        if tasks * len(models) * 2**level * p * settings.bins * 16 <= DIRECT:
+            found = _splits_here(job, turn, parts.toArrow())
+        else:
+            found = parts.groupBy("model", "node", "block").applyInArrow(_split_of_parts(shared, turn), SPLIT).toPandas()
         shared.unpersist()
         if train is not None and level == 0:
             line = np.zeros((len(models), CHECKS))

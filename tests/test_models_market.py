@@ -158,10 +158,10 @@ def _plain_boost(x, y, goes, settings, models):
     return f
 
 
-@pytest.mark.parametrize("state_rounds, block, held", [(10, 64, 1 << 22), (2, 1, 50)])
-def test_boosted_trees_against_plain_ones(spark, monkeypatch, state_rounds, block, held):
+@pytest.mark.parametrize("state_rounds, block, held, direct", [(10, 64, 1 << 22, 1 << 26), (2, 1, 50, 0)])
+def test_boosted_trees_against_plain_ones(spark, monkeypatch, state_rounds, block, held, direct):
     """Two segments and two targets at once; with small blocks, hand-ons and rewritten predictions."""
-    for name, value in (("STATE_ROUNDS", state_rounds), ("BLOCK", block), ("HELD", held)):
+    for name, value in (("STATE_ROUNDS", state_rounds), ("BLOCK", block), ("HELD", held), ("DIRECT", direct)):
         monkeypatch.setattr(boosting, name, value)
     rng = np.random.default_rng(4)
     n = 600
