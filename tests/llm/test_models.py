@@ -229,3 +229,49 @@ def test_samples_are_the_smallest_hashes_with_and_without_the_threshold(spark):
     assert got == sorted(r["id"] for r in every.collect())
     assert doc_stats.likely(ids, 300, F.xxhash64(F.lit(5), "id")).count() < 450
     assert doc_stats.smallest(ids.limit(0), 300, 5).count() == 0
+
+
+def walked(forest, line):
+    """The margin of one row, node by node."""
+    total, inner = forest.start, len(forest.feature[0])
+    for feature, threshold, value in zip(forest.feature, forest.threshold, forest.value):
+        node = 0
+        while node < inner:
+            node = 2 * node + (2 if line[feature[node]] > threshold[node] else 1)
+        total += value[node - inner]
+    return total
+
+
+def test_rules_equal_a_plain_walk_over_the_trees(spark, sf):
+    """``kept`` of every document of the table, from its own statistics and one tree node after another."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    forest, least = quality_rules.fit(docs, labels)
+    rows = docs.select("doc_id", "text").collect()
+    counts, features = doc_stats.statistics(pa.array([r.text for r in rows], pa.string()))
+    want = {}
+    for r, c, f in zip(rows, counts.tolist(), features):
+        failed = c[0] < 50 or 100 * c[4] > 50 * c[0]
+        margin = walked(forest, f) if forest else 40.0
+        score = 1 / (1 + np.exp(-min(40.0, max(-40.0, margin))))
+        want[r.doc_id] = (failed, not failed and score >= least, tuple(counts_of(r.text)))
+    got = quality_rules.judge(docs, labels, ["doc_id"]).select("_row.doc_id", "base_failed", "kept", *doc_stats.COUNTS).collect()
+    assert {g[0]: (g[1], g[2], tuple(g[3:])) for g in got} == want
+
+
+def test_scores_equal_a_plain_sum_of_weights(spark, sf):
+    """Every document's score, from its own statistics and one feature after another."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    found = pu_quality.fit(docs, labels)
+    rows = docs.select("doc_id", "text").collect()
+    _, features = doc_stats.statistics(pa.array([r.text for r in rows], pa.string()))
+    want = {}
+    for r, line in zip(rows, features):
+        total, at = found[0].bias if found else 0.0, 0
+        for edges, x in zip(found[0].edges if found else [], line):
+            total += found[0].weights[at + sum(e < x for e in edges)]
+            at += len(edges) + 1
+        want[r.doc_id] = 1 / (1 + np.exp(-min(40.0, max(-40.0, total))))
+    got = pu_quality.score(docs, labels, ["doc_id"]).select("_row.doc_id", "score", "predicted").collect()
+    assert len(got) == len(want)
+    for g in got:
+        assert g[1] == pytest.approx(want[g[0]], abs=1e-9) and g[2] == (g[1] >= 0.5)
