@@ -56,7 +56,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mixture),
     ("packing", batches),
 ]
-#: Learned models and near copies cannot be said in SQL; tests compare each stage with a plain version.
+#: Learned models and near copies cannot be said in SQL. Tests compare near copies with all pairs, the other stages with their
+#: operators, which have plain versions in tests of their own.
 ORACLE_SQL = None
 
 
