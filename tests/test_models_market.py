@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import boosting, market, metrics, models, quality
 from panelspark.operators.splits import era_cv_splits
+from panelspark.session import written
 
 
 @pytest.fixture(scope="module")
@@ -189,6 +190,45 @@ def test_boosted_trees_against_plain_ones(spark, monkeypatch, state_rounds, bloc
         assert fitted.checks[-1][m][-1] == pytest.approx(error) and fitted.checks[-1][m][0] == out.sum()
 
 
+def test_places_of_rows_equal_a_walk_down_the_tree():
+    rng = np.random.default_rng(5)
+    depth, nodes = 5, 2**6 - 1
+    feature = rng.integers(-1, 3, nodes)
+    feature[0], feature[2**depth - 1:] = 1, -1
+    for node in range(1, nodes):
+        feature[node] = feature[node] if feature[(node - 1) // 2] >= 0 else -1
+    bin_, value = rng.integers(0, 9, nodes).astype(np.uint8), rng.normal(size=nodes)
+    x = rng.integers(0, 10, (3, 400)).astype(np.uint8)
+
+    def walked(row):
+        node = 0
+        while feature[node] >= 0:
+            node = 2 * node + 1 + (x[feature[node], row] > bin_[node])
+        return node
+
+    ends = np.array([walked(k) for k in range(400)])
+    assert (boosting._leaf_values(feature, bin_, value, x, depth) == value[ends]).all()
+    level = boosting.MASKED + 1
+    alive = boosting._grown_nodes(feature, level)
+    places = boosting._places(feature, bin_, x, level)
+    for k in range(400):
+        node = 0
+        for _ in range(level):
+            node = 2 * node + 1 + (x[feature[node], k] > bin_[node]) if feature[node] >= 0 else -1
+            if node < 0:
+                break
+        assert alive[places[k]] == (node >= 0) and (node < 0 or places[k] == node - 2**level + 1)
+
+
+def test_rows_are_worked_out_once_and_kept_in_chunks(spark, tmp_path, monkeypatch):
+    names = []
+    monkeypatch.setattr(boosting, "written", lambda df, name: (names.append(df), written(df, name))[1])
+    df = spark.range(500).selectExpr("'s' seg", "double(id % 7) a", "double(id % 5) y")
+    boosting.boost(df, ["a"], ["y"], [boosting.ModelKey("s", (1.0,))], "seg", boosting.Settings(rounds=1, depth=1))
+    cells, state = names
+    assert cells.count() == 500 and state.count() < 50
+
+
 def test_boosting_draws_rows_and_features_by_seed(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(2000, 6))
