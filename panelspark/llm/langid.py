@@ -10,7 +10,7 @@ The negative log probabilities of the most frequent grams, ``HEAD`` numbers at m
 A task adds up those, and hands on a text's other grams, which are joined with the tables. The sums
 are integers, in units of 1 / ``UNIT``, so results depend neither on ``HEAD`` nor on the order of rows.
 
-The language with the lowest cross-entropy per symbol wins. On a bounded sample of documents
+The language with the lowest cross-entropy per symbol wins. On all documents
 learned from, a temperature is fitted that turns cross-entropies into probabilities, and each
 language gets the largest cross-entropy that its own documents show (up to a small share):
 texts beyond it are marked as rejected.
@@ -33,7 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm import doc_stats, texts
+from panelspark.functions.ranking import counted, distribution
+from panelspark.llm import texts
 from panelspark.session import written
 
 ORDER = 4
@@ -42,7 +43,8 @@ MAX_GRAMS = 1 << 21
 #: Most numbers (grams times languages) that are broadcast for scoring; other grams are joined.
 HEAD = 1 << 22
 UNIT = 1 << 24
-MAX_SAMPLE = 10_000
+#: Temperatures that are tried.
+TEMPERATURES = np.geomspace(0.005, 2, 25)
 #: Share of a language's own documents that may lie beyond its limit.
 MAX_REJECTED = 0.001
 UNKNOWN = "und"
@@ -211,8 +213,12 @@ def probabilities(entropy: np.ndarray, temperature: float) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
+def _taught(text: str, lang: str, doc_id: str) -> Column:
+    return F.coalesce(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~texts.held_out(doc_id), F.lit(False))
+
+
 def _learnable(docs: DataFrame, text: str, lang: str, doc_id: str) -> DataFrame:
-    return docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~texts.held_out(doc_id)).select(
+    return docs.where(_taught(text, lang, doc_id)).select(
         F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
 
 
@@ -313,8 +319,17 @@ class Fitted:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Fitted | None:
-    texts.small_batches(docs.sparkSession)
     known = _learnable(docs, text, lang, doc_id)
+    model = _tables(known)
+    if model is None:
+        return None
+    found = written(_entropies(known, model, ["lang"], "text"), "known-entropies")
+    return _calibrated(model, found.where("letters").select("_row.lang", "h"))
+
+
+def _tables(known: DataFrame) -> Fitted | None:
+    """The grams of all of ``known`` (lang, text), without temperature and limits."""
+    texts.small_batches(known.sparkSession)
     counts = written(count_grams(known), "gram-counts")
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
     if not langs:
@@ -329,10 +344,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
         values = pa.concat_arrays(table.column("s").chunks).flatten().to_numpy().reshape(-1, len(langs))
         at = np.argsort(keys)
         model = replace(model, head=(keys[at], values[at]))
-    return _calibrated(model, known)
+    return model
 
 
-def _entropies(docs: DataFrame, model: Fitted, keep: list[str], text: str) -> DataFrame:
+def _entropies(docs: DataFrame, model: Fitted, keep: list[str] | list[Column], text: str) -> DataFrame:
     """The struct ``_row`` of ``keep``, with h, cross-entropies by language, and letters, whether there are any."""
     source = docs.select(
         F.monotonically_increasing_id().alias("_key"), F.struct(*keep).alias("_row"), F.col(text).alias("text"))
@@ -392,22 +407,48 @@ def _entropies(docs: DataFrame, model: Fitted, keep: list[str], text: str) -> Da
         "sums", lambda x: x / F.lit(float(UNIT)) / F.greatest("length", F.lit(1))).alias("h"), "letters")
 
 
-def _calibrated(model: Fitted, known: DataFrame) -> Fitted:
-    own = known.groupBy("id").agg(F.min("lang").alias("lang"))
-    sample = doc_stats.smallest(own, MAX_SAMPLE, 9)
-    found = _entropies(doc_stats.once(known.select("id", "text"), sample, ["lang"]), model, ["id", "lang"], "text").where("letters").select(
-        "_row.lang", "h").toArrow()
-    if not found.num_rows:
+def _calibrated(model: Fitted, found: DataFrame) -> Fitted:
+    """With the temperature and the limits that all rows of ``found`` (lang, h) give."""
+    langs = model.langs
+
+    def losses(batches):
+        sums = np.zeros(len(TEMPERATURES), dtype=np.int64)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            entropy = batch.column("h").flatten().to_numpy().reshape(n, -1)
+            truth = np.searchsorted(langs, batch.column("lang").to_pylist())
+            for k, t in enumerate(TEMPERATURES):
+                p = probabilities(entropy, t)[np.arange(n), truth]
+                # whole units, so that the order of rows does not matter
+                sums[k] += np.rint(-np.log(np.maximum(p, 1e-12)) * UNIT).astype(np.int64).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums)], names=["k", "loss"])
+
+    loss = dict(found.mapInArrow(losses, "k int, loss long").groupBy("k").agg(F.sum(F.col("loss").cast("decimal(38,0)"))).collect())
+    place = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int")
+    own = found.select("lang", F.element_at("h", place).alias("x"))
+    ranked = distribution(counted(own, ["lang"], "x"), ["lang"], "x")
+    end, at = F.col("below") + F.col("weight"), (F.col("total") - 1) * (1 - MAX_REJECTED)
+    value = lambda rank: F.max(F.when((F.col("below") <= rank) & (rank < end), F.col("x")))
+    ends = ranked.groupBy("lang").agg(
+        value(F.floor(at)).alias("low"), value(F.ceil(at)).alias("high"), F.first(at - F.floor(at)).alias("part"))
+    limit = {r["lang"]: r["low"] + (r["high"] - r["low"]) * r["part"] for r in ends.collect()}
+    if not limit:
         return model
-    entropy = np.array(found.column("h").to_pylist())
-    truth = np.searchsorted(model.langs, found.column("lang").to_pylist())
-    losses = {}
-    for t in np.geomspace(0.005, 2, 25):
-        p = probabilities(entropy, t)[np.arange(len(truth)), truth]
-        losses[t] = -np.log(np.maximum(p, 1e-12)).mean()
-    own = [entropy[truth == k, k] for k in range(len(model.langs))]
-    limits = tuple(float(np.quantile(x, 1 - MAX_REJECTED)) if len(x) else np.inf for x in own)
-    return replace(model, temperature=float(min(losses, key=losses.get)), limits=limits)
+    return replace(model, temperature=float(TEMPERATURES[min(loss, key=lambda k: (loss[k], k))]),
+                   limits=tuple(limit.get(x, np.inf) for x in langs))
+
+
+def identify(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
+    """``predict`` of the documents that the model is fitted on; each text is scored once for limits and prediction."""
+    model = _tables(_learnable(docs, text, lang, doc_id))
+    if model is None:
+        return predict(docs, None, keep, text)
+    own = [F.struct(*keep).alias("own"), F.col(lang).cast("string").alias("lang"), _taught(text, lang, doc_id).alias("taught")]
+    found = written(_entropies(docs, model, own, text), "scored")
+    model = _calibrated(model, found.where("letters and _row.taught").select("_row.lang", "h"))
+    return _judged(found.select(F.col("_row.own").alias("_row"), "h", "letters"), model)
 
 
 def predict(docs: DataFrame, model: Fitted | None, keep: list[str], text: str = "text") -> DataFrame:
@@ -416,7 +457,11 @@ def predict(docs: DataFrame, model: Fitted | None, keep: list[str], text: str =
     if model is None:
         return docs.select(F.struct(*keep).alias("_row")).select(
             "_row.*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected"))
-    source = _entropies(docs, model, keep, text)
+    return _judged(_entropies(docs, model, keep, text), model)
+
+
+def _judged(source: DataFrame, model: Fitted) -> DataFrame:
+    """``_row`` with lang_pred, score and rejected, from cross-entropies."""
     langs, temperature, limits = np.array(model.langs, dtype=object), model.temperature, np.array(model.limits)
 
     def work(batches):

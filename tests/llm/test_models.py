@@ -177,6 +177,22 @@ def test_languages_of_held_out_texts(spark, letters):
     assert row.rejected and row.lang_pred in model.langs
 
 
+def test_temperature_and_limits_come_from_all_documents(spark, letters):
+    model = langid.fit(letters)
+    known = langid._learnable(letters, "text", "lang", "doc_id")
+    rows = langid._entropies(known, model, ["lang"], "text").where("letters").select("_row.lang", "h").collect()
+    entropy, lang = np.array([r.h for r in rows]), np.array([r.lang for r in rows])
+    truth = np.searchsorted(model.langs, lang)
+    for k, x in enumerate(model.langs):
+        assert abs(model.limits[k] - np.quantile(entropy[lang == x, k], 1 - langid.MAX_REJECTED)) < 1e-9
+    loss = [-np.log(np.maximum(langid.probabilities(entropy, t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in langid.TEMPERATURES]
+    assert model.temperature == langid.TEMPERATURES[int(np.argmin(loss))]
+    got = langid.identify(letters, ["doc_id", "lang"]).collect()
+    want = langid.predict(letters, model, ["doc_id", "lang"]).collect()
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert not hasattr(langid, "MAX_SAMPLE")
+
+
 def test_nothing_to_learn_from(spark, letters):
     assert langid.fit(letters.where("lang is null")) is None
     assert langid.predict(letters, None, ["doc_id"]).where("lang_pred != 'und' or score != 0").count() == 0
