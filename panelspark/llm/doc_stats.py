@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelspark.functions.ranking import counted, distribution
 from panelspark.llm import texts
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -126,6 +127,25 @@ def once(docs: DataFrame, sample: DataFrame, keep: list[str]) -> DataFrame:
     return docs.join(F.broadcast(sample), "id").groupBy("id", *keep).agg(F.min("text").alias("text"))
 
 
+def features_of(docs: DataFrame, known: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(id, y, x) of all documents in ``known`` (id, y), one row for each id: its least text."""
+    named = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    found = named.join(known, "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    return mapped(
+        found, "text", ["id", "y"], T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))]),
+        lambda _, x: {"x": list(x)}).select("_row.*", "x")
+
+
+def quantile(df: DataFrame, groups: list[str], value: str, share: float) -> DataFrame:
+    """(groups, ``value``): the exact quantile of every group, interpolated between neighbours."""
+    ranked = distribution(counted(df, groups, value), groups, value)
+    end, at = F.col("below") + F.col("weight"), (F.col("total") - 1) * share
+    of = lambda rank: F.max(F.when((F.col("below") <= rank) & (rank < end), F.col(value)))
+    return ranked.groupBy(*groups).agg(
+        of(F.floor(at)).alias("low"), of(F.ceil(at)).alias("high"), F.first(at - F.floor(at)).alias("part")).select(
+        *groups, (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias(value))
+
+
 def sample_features(docs: DataFrame, sample: DataFrame, text: str = "text",
                     doc_id: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
     """(features, y) of the sampled documents, on the driver; the sample's bound is the caller's."""

@@ -33,8 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.functions.ranking import counted, distribution
-from panelspark.llm import texts
+from panelspark.llm import doc_stats, texts
 from panelspark.session import written
 
 ORDER = 4
@@ -428,12 +427,7 @@ def _calibrated(model: Fitted, found: DataFrame) -> Fitted:
     loss = dict(found.mapInArrow(losses, "k int, loss long").groupBy("k").agg(F.sum(F.col("loss").cast("decimal(38,0)"))).collect())
     place = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int")
     own = found.select("lang", F.element_at("h", place).alias("x"))
-    ranked = distribution(counted(own, ["lang"], "x"), ["lang"], "x")
-    end, at = F.col("below") + F.col("weight"), (F.col("total") - 1) * (1 - MAX_REJECTED)
-    value = lambda rank: F.max(F.when((F.col("below") <= rank) & (rank < end), F.col("x")))
-    ends = ranked.groupBy("lang").agg(
-        value(F.floor(at)).alias("low"), value(F.ceil(at)).alias("high"), F.first(at - F.floor(at)).alias("part"))
-    limit = {r["lang"]: r["low"] + (r["high"] - r["low"]) * r["part"] for r in ends.collect()}
+    limit = dict(doc_stats.quantile(own, ["lang"], "x", 1 - MAX_REJECTED).collect())
     if not limit:
         return model
     return replace(model, temperature=float(TEMPERATURES[min(loss, key=lambda k: (loss[k], k))]),

@@ -1,8 +1,8 @@
 """Quality rules: base limits, and boosted trees over document statistics.
 
-Trees are fitted on the statistics of at most ``most`` labelled documents (the documented
-bound), those with the smallest hashes among documents that may be learned from. They are
-kept as flat node arrays and score whole batches at once. Features whose growth can only mean
+Trees are fitted on the statistics of all labelled documents that may be learned from, from
+histograms that tasks add up, level by level; only histograms reach the driver. Up to ``most``
+documents are added up on the driver itself. Trees are kept as flat node arrays and score whole batches at once. Features whose growth can only mean
 worse text have monotonic constraints.
 
 Edge cases, all defined: a null text is an empty one, has zero counts and fails the base
@@ -15,10 +15,13 @@ any name.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.llm import doc_stats, trees
+from panelspark.session import written
 
 MIN_WORDS = 50
 #: Sign of the score in each feature that is constrained.
@@ -26,7 +29,10 @@ SIGNS = {
     "symbols_per_word": -1, "symbol_share": -1, "dup_line_share": -1, "repeat_share": -1,
     "bangs_per_word": -1, "bars_per_word": -1,
 }
-MAX_SAMPLE = 20_000
+#: Documents whose histograms are added up on the driver.
+MAX_LOCAL = 20_000
+#: Bins and labels of some thousand documents.
+CHUNK = "codes binary, y binary"
 #: At most this share of the good documents learned from may be rejected.
 MAX_LOSS = 0.002
 
@@ -36,17 +42,75 @@ def base_failed(counts: np.ndarray) -> np.ndarray:
     return (n_words < MIN_WORDS) | (100 * repeated > 50 * n_words)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_SAMPLE) -> tuple[trees.Forest | None, float]:
+def _binned(rows: DataFrame, edges: list[np.ndarray]) -> DataFrame:
+    """Chunks of rows: (codes, a line for each feature; y)."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                codes = trees.codes_of(batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1), edges)
+                y = (batch.column("y").to_numpy() > 0).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([m.tobytes()], pa.binary()) for m in (codes, y)], names=["codes", "y"])
+
+    return rows.mapInArrow(run, CHUNK)
+
+
+def _unpacked(codes: bytes, y: bytes) -> tuple[np.ndarray, np.ndarray]:
+    found = np.frombuffer(y, np.uint8)
+    return np.frombuffer(codes, np.uint8).reshape(-1, len(found)), found
+
+
+def _summed(state: DataFrame, most: int, n: int):
+    """``sums`` for ``trees.grow`` over all chunks, on the driver if there are few rows."""
+    if n <= most:
+        parts = [_unpacked(*r) for r in state.collect()]
+        codes, y = np.concatenate([c for c, _ in parts], axis=1), np.concatenate([y for _, y in parts])
+        return lambda grown, tree, level: grown.sums(codes, y, tree, level)
+
+    def sums(grown: trees.Grown, tree: int, level: int) -> np.ndarray:
+        def run(batches):
+            total = 0
+            for batch in batches:
+                for codes, y in zip(batch.column("codes").to_pylist(), batch.column("y").to_pylist()):
+                    total = total + grown.sums(*_unpacked(codes, y), tree, level)
+            if not isinstance(total, int):
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
+
+        parts = state.mapInArrow(run, "s binary").toArrow().column("s").to_pylist()
+        return np.sum([np.frombuffer(s) for s in parts], axis=0).reshape(2, 2**level, -1, trees.BINS)
+
+    return sums
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LOCAL) -> tuple[trees.Forest | None, float]:
     """(trees, least probability to keep)."""
-    x, y = doc_stats.sample_features(docs, doc_stats.smallest(doc_stats.trusted(labels), most, 3))
-    if not len(y) or y.min() == y.max():
+    rows = written(doc_stats.features_of(docs, doc_stats.trusted(labels)), "labelled-features")
+    places = [k / trees.BINS for k in range(1, trees.BINS)]
+    width = len(doc_stats.FEATURES)
+    found = rows.agg(
+        F.count("*").alias("n"), F.count_if(F.col("y") > 0).alias("good"),
+        *[F.percentile_approx(F.col("x")[j], places, 100 * trees.BINS).alias(f"e{j}") for j in range(width)]).first()
+    n, good = found["n"], found["good"]
+    if not 0 < good < n:
         return None, 0.0
-    forest = trees.fit(x, (y > 0).astype(float), np.array([SIGNS.get(f, 0) for f in doc_stats.FEATURES]))
-    return forest, float(min(0.5, np.quantile(forest.probability(x)[y > 0], MAX_LOSS)))
+    edges = [np.unique(found[f"e{j}"]) for j in range(width)]
+    state = written(_binned(rows, edges), "binned-features")
+    signs = np.array([SIGNS.get(f, 0) for f in doc_stats.FEATURES])
+    forest, grown = trees.grow(edges, signs, good / n, _summed(state, most, n))
+
+    def scores(batches):
+        for batch in batches:
+            for codes, y in zip(batch.column("codes").to_pylist(), batch.column("y").to_pylist()):
+                codes, y = _unpacked(codes, y)
+                margin = grown.margin(codes, len(grown.value))[y > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(1 / (1 + np.exp(-np.clip(margin, -40, 40))))], names=["p"])
+
+    kept = state.mapInArrow(scores, "p double").withColumn("all", F.lit(0))
+    return forest, float(min(0.5, doc_stats.quantile(kept, ["all"], "p", MAX_LOSS).first()["p"]))
 
 
 def judge(docs: DataFrame, labels: DataFrame, keep: list[str], text: str = "text",
-          most: int = MAX_SAMPLE, learn: DataFrame | None = None) -> DataFrame:
+          most: int = MAX_LOCAL, learn: DataFrame | None = None) -> DataFrame:
     """The struct ``_row`` of ``keep`` columns, with the counts, base_failed, score and kept of every document.
 
     The trees are fitted on ``learn`` (doc_id, text), or else on the documents themselves.

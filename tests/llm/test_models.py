@@ -91,6 +91,16 @@ def test_rules_on_a_small_table(spark):
     assert quality_rules.judge(docs.limit(0), labels, docs.columns).count() == 0
 
 
+def test_rules_learn_from_all_labels_in_tasks_as_on_the_driver(spark):
+    docs, labels, _ = quality_tables(spark)
+    here, least = quality_rules.fit(docs, labels)
+    there, other = quality_rules.fit(docs.repartition(3), labels, most=0)
+    assert (here.feature == there.feature).all() and (here.threshold == there.threshold).all()
+    assert np.allclose(here.value, there.value) and abs(least - other) < 1e-9
+    known = doc_stats.trusted(labels)
+    assert doc_stats.features_of(docs, known).count() == docs.join(known, docs.doc_id == known.id).select("id").distinct().count()
+
+
 def test_positives_and_unlabelled_text_suffice(spark):
     from pyspark.sql import functions as F
 
