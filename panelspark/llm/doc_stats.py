@@ -136,14 +136,19 @@ def features_of(docs: DataFrame, known: DataFrame, text: str = "text", doc_id: s
         lambda _, x: {"x": list(x)}).select("_row.*", "x")
 
 
-def quantile(df: DataFrame, groups: list[str], value: str, share: float) -> DataFrame:
-    """(groups, ``value``): the exact quantile of every group, interpolated between neighbours."""
+def quantiles(df: DataFrame, groups: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(groups, k, ``value``): the exact quantile of every group for each share, interpolated as numpy does."""
     ranked = distribution(counted(df, groups, value), groups, value)
-    end, at = F.col("below") + F.col("weight"), (F.col("total") - 1) * share
-    of = lambda rank: F.max(F.when((F.col("below") <= rank) & (rank < end), F.col(value)))
-    return ranked.groupBy(*groups).agg(
-        of(F.floor(at)).alias("low"), of(F.ceil(at)).alias("high"), F.first(at - F.floor(at)).alias("part")).select(
-        *groups, (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias(value))
+    every = F.array(*[F.struct(F.lit(k).alias("k"), ((F.col("total") - 1) * share).alias("at")) for k, share in enumerate(shares)])
+    inside = lambda rank: (F.col("below") <= rank) & (rank < F.col("below") + F.col("weight"))
+    hits = ranked.select(*groups, value, "below", "weight", F.inline(F.filter(
+        every, lambda x: inside(F.floor(x["at"])) | inside(F.ceil(x["at"])))))
+    ends = hits.groupBy(*groups, "k").agg(
+        F.max(F.when(inside(F.floor("at")), F.col(value))).alias("low"),
+        F.max(F.when(inside(F.ceil("at")), F.col(value))).alias("high"), F.first(F.col("at") - F.floor("at")).alias("part"))
+    gap, part = F.col("high") - F.col("low"), F.col("part")
+    return ends.select(*groups, "k", F.when(part >= 0.5, F.col("high") - gap * (1 - part)).otherwise(
+        F.col("low") + gap * part).alias(value))
 
 
 def sample_features(docs: DataFrame, sample: DataFrame, text: str = "text",

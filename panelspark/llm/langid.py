@@ -427,7 +427,7 @@ def _calibrated(model: Fitted, found: DataFrame) -> Fitted:
     loss = dict(found.mapInArrow(losses, "k int, loss long").groupBy("k").agg(F.sum(F.col("loss").cast("decimal(38,0)"))).collect())
     place = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int")
     own = found.select("lang", F.element_at("h", place).alias("x"))
-    limit = dict(doc_stats.quantile(own, ["lang"], "x", 1 - MAX_REJECTED).collect())
+    limit = dict(doc_stats.quantiles(own, ["lang"], "x", [1 - MAX_REJECTED]).select("lang", "x").collect())
     if not limit:
         return model
     return replace(model, temperature=float(TEMPERATURES[min(loss, key=lambda k: (loss[k], k))]),

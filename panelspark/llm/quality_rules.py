@@ -85,15 +85,14 @@ def _summed(state: DataFrame, most: int, n: int):
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LOCAL) -> tuple[trees.Forest | None, float]:
     """(trees, least probability to keep)."""
     rows = written(doc_stats.features_of(docs, doc_stats.trusted(labels)), "labelled-features")
-    places = [k / trees.BINS for k in range(1, trees.BINS)]
-    width = len(doc_stats.FEATURES)
-    found = rows.agg(
-        F.count("*").alias("n"), F.count_if(F.col("y") > 0).alias("good"),
-        *[F.percentile_approx(F.col("x")[j], places, 100 * trees.BINS).alias(f"e{j}") for j in range(width)]).first()
-    n, good = found["n"], found["good"]
+    n, good = rows.agg(F.count("*"), F.count_if(F.col("y") > 0)).first()
     if not 0 < good < n:
         return None, 0.0
-    edges = [np.unique(found[f"e{j}"]) for j in range(width)]
+    ends: dict[int, list[float]] = {}
+    shares = [k / trees.BINS for k in range(1, trees.BINS)]
+    for r in doc_stats.quantiles(rows.select(F.posexplode("x").alias("j", "v")), ["j"], "v", shares).collect():
+        ends.setdefault(r["j"], []).append(r["v"])
+    edges = [np.unique(ends[j]) for j in range(len(doc_stats.FEATURES))]
     state = written(_binned(rows, edges), "binned-features")
     signs = np.array([SIGNS.get(f, 0) for f in doc_stats.FEATURES])
     forest, grown = trees.grow(edges, signs, good / n, _summed(state, most, n))
@@ -106,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LOCAL) -> tuple[tree
                 yield pa.RecordBatch.from_arrays([pa.array(1 / (1 + np.exp(-np.clip(margin, -40, 40))))], names=["p"])
 
     kept = state.mapInArrow(scores, "p double").withColumn("all", F.lit(0))
-    return forest, float(min(0.5, doc_stats.quantile(kept, ["all"], "p", MAX_LOSS).first()["p"]))
+    return forest, float(min(0.5, doc_stats.quantiles(kept, ["all"], "p", [MAX_LOSS]).first()["p"]))
 
 
 def judge(docs: DataFrame, labels: DataFrame, keep: list[str], text: str = "text",

@@ -98,6 +98,11 @@ def test_rules_learn_from_all_labels_in_tasks_as_on_the_driver(spark):
     assert (here.feature == there.feature).all() and (here.threshold == there.threshold).all()
     assert np.allclose(here.value, there.value) and abs(least - other) < 1e-9
     known = doc_stats.trusted(labels)
+    rows = doc_stats.features_of(docs, known).toPandas()
+    x, y = np.stack(rows["x"].to_list()), (rows["y"] > 0).to_numpy()
+    plain = trees.fit(x, y.astype(float), np.array([quality_rules.SIGNS.get(f, 0) for f in doc_stats.FEATURES]))
+    assert (here.feature == plain.feature).all() and np.allclose(here.threshold, plain.threshold)
+    assert abs(least - min(0.5, np.quantile(plain.probability(x)[y], quality_rules.MAX_LOSS))) < 1e-9
     assert doc_stats.features_of(docs, known).count() == docs.join(known, docs.doc_id == known.id).select("id").distinct().count()
 
 
