@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Values of a column that a range should hold; ranges of a column at most, and sampled rows for each.
-RANGE_ROWS = 1 << 20
-MAX_CUTS, SAMPLE_PER_CUT = 2_000, 20
+RANGE_ROWS = 1 << 18
+MAX_CUTS, SAMPLE_PER_CUT = 8_000, 20
 #: Numbers that a task sorts at once.
-HELD = 1 << 21
+HELD = 1 << 19
 RUN = "_pos int, _range int, v binary, w binary, s binary, q binary, bad double"
 PART = "_pos int, _range int, n double, bad double, s_y double, s_yy double, s_ly double, s_ll double"
 
