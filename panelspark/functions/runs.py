@@ -49,8 +49,17 @@ def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.diff(offsets) // 8
 
 
-def sorted_runs(groups: list[str], schema: pa.Schema, p: int, cuts: list[np.ndarray] | None):
-    """Batches with group columns, ``_x``, ``_ry`` and ``_w`` to runs."""
+def _places(v: np.ndarray, code: np.ndarray, own: list[np.ndarray | None]) -> np.ndarray:
+    """The range of each value; values are sorted by group, ``own`` has the ends of every group's ranges."""
+    at = np.zeros(len(v), np.int64)
+    for g in np.flatnonzero([ends is not None and len(ends) > 0 for ends in own]):
+        lo, hi = np.searchsorted(code, [g, g + 1])
+        at[lo:hi] = np.searchsorted(own[g], v[lo:hi], "left")
+    return at
+
+
+def sorted_runs(groups: list[str], schema: pa.Schema, p: int, cuts: dict[int, list[np.ndarray]]):
+    """Batches with group columns, ``_h``, ``_x``, ``_ry`` and ``_w`` to runs."""
 
     def emit(parts: list[pa.RecordBatch]):
         table = pa.Table.from_batches(parts).combine_chunks()
@@ -58,6 +67,7 @@ def sorted_runs(groups: list[str], schema: pa.Schema, p: int, cuts: list[np.ndar
         code, first = _codes(keys) if keys else (np.zeros(table.num_rows, np.int64), np.zeros(1, np.int64))
         x = table.column("_x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, p)
         ry, weight = (table.column(c).to_numpy().astype(np.float64) for c in ("_ry", "_w"))
+        ends = [cuts.get(h) for h in table.column("_h").combine_chunks().take(pa.array(first)).to_pylist()] if cuts else []
         for k in range(p):
             good = ~(np.isnan(x[:, k]) | np.isnan(ry))
             bad = np.bincount(code[~good], weight[~good], len(first))
@@ -67,7 +77,7 @@ def sorted_runs(groups: list[str], schema: pa.Schema, p: int, cuts: list[np.ndar
                 new = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (v[1:] != v[:-1])]))
                 c, v = c[new], v[new]
                 w, s, q = (np.add.reduceat(z, new) for z in (w, w * y, w * y * y))
-                at = np.searchsorted(cuts[k], v, "left") if cuts else np.zeros(len(v), np.int64)
+                at = _places(v, c, [e and e[k] for e in ends])
                 starts = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (at[1:] != at[:-1])]))
                 yield pa.RecordBatch.from_arrays(
                     [*(key.take(pa.array(first[c[starts]])) for key in keys), pa.array(np.full(len(starts), k, np.int32)),
@@ -145,39 +155,55 @@ def merged_runs(groups: list[str], schema: pa.Schema):
     return run
 
 
-def _cuts(df: DataFrame, features: list[str], n: int) -> list[np.ndarray] | None:
-    """Ends of the ranges of every column, from a bounded sample; they decide balance only, never a result."""
+def _cuts(df: DataFrame, groups: list[str], features: list[str], n: int) -> dict[int, list[np.ndarray]]:
+    """Ends of the ranges of every column, by the hash of a group; they decide balance only, never a result.
+
+    They come from a bounded sample. A group gets as many ranges as its share of the sample asks for, so runs do
+    not get shorter as groups get more; groups that the sample hardly holds have one range.
+    """
     count = min(MAX_CUTS, -(-n // RANGE_ROWS) - 1)
     if count < 1:
-        return None
+        return {}
     most = SAMPLE_PER_CUT * (count + 1)
     drawn = F.pmod(F.xxhash64(*features), F.lit(1 << 30))
     share = min(1.0, 2 * most / n)
-    table = df.select(*[F.col(f).cast("double").alias(f"_c{i}") for i, f in enumerate(features)]).where(
+    table = df.select(_hash(groups).alias("_h"), *[F.col(f).cast("double").alias(f"_c{i}") for i, f in enumerate(features)]).where(
         drawn < int(share * (1 << 30))).limit(4 * most).toArrow()
-    found = []
-    for i in range(len(features)):
-        v = table.column(f"_c{i}").drop_null().to_numpy()
-        found.append(np.unique(np.quantile(v, np.arange(1, count + 1) / (count + 1), method="lower")) if len(v) else np.zeros(0))
+    code = table.column("_h").to_numpy()
+    order = np.argsort(code, kind="stable")
+    names, starts = np.unique(code[order], return_index=True)
+    found: dict[int, list[np.ndarray]] = {}
+    for name, rows in zip(names.tolist(), np.split(order, starts[1:])):
+        own = -(-len(rows) * (count + 1) // len(order)) - 1
+        if own:
+            columns = (table.column(f"_c{i}").take(pa.array(rows)).drop_null().to_numpy() for i in range(len(features)))
+            found[name] = [
+                np.unique(np.quantile(v, np.arange(1, own + 1) / (own + 1), method="lower")) if len(v) else np.zeros(0) for v in columns]
     return found
 
 
+def _hash(groups: list[str]):
+    return F.xxhash64(*groups) if groups else F.lit(0).cast("long")
+
+
 def run_correlations(
-    ranked: DataFrame, groups: list[str], features: list[str], rows: int, weight: str | None = None
+    ranked: DataFrame, groups: list[str], features: list[str], rows: int, weight: str | None = None,
+    sampled: DataFrame | None = None,
 ) -> DataFrame:
     """(groups, _pos, corr, n): correlation of each column's ranks with ``_ry``, the other side's centred ranks.
 
-    A group with a missing value on either side has no correlation. ``rows`` tells about how many rows there are.
+    A group with a missing value on either side has no correlation. ``rows`` tells about how many rows there are,
+    ``sampled`` has the same rows without the rank, so that the sample needs no join.
     """
     spark = ranked.sparkSession
     own = [f"_g{i}" for i in range(len(groups))]
     source = ranked.select(
-        *[F.col(g).alias(o) for g, o in zip(groups, own)], F.array(*[F.col(f).cast("double") for f in features]).alias("_x"),
+        *[F.col(g).alias(o) for g, o in zip(groups, own)], _hash(groups).alias("_h"), F.array(*[F.col(f).cast("double") for f in features]).alias("_x"),
         F.col("_ry").cast("double").alias("_ry"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"))
     kept = "".join(f"{o} {source.schema[o].dataType.simpleString()}, " for o in own)
     arrow = lambda text: to_arrow_schema(spark.createDataFrame([], text).schema)
     runs = source.mapInArrow(
-        sorted_runs(own, arrow(kept + RUN), len(features), _cuts(ranked, features, rows)), kept + RUN)
+        sorted_runs(own, arrow(kept + RUN), len(features), _cuts(sampled if sampled is not None else ranked, groups, features, rows)), kept + RUN)
     keys = [*own, "_pos", "_range"]
     parts = runs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merged_runs(own, arrow(kept + PART)), kept + PART)
     whole = Window.partitionBy(*own, "_pos")

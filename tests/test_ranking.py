@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from panelspark import session
 from panelspark.functions import runs
 from panelspark.functions.correlation import pearson, spearman, spearman_features, to_long
 from panelspark.functions.ranking import counted, distribution, exact_median, median_and_mad, top_rows
@@ -152,3 +153,31 @@ def test_runs_in_small_ranges_equal_pandas(spark, monkeypatch, range_rows, held)
         want = long["x"].rank().corr(long["y"].rank())
         assert heavy[g, k]["n"] == part["w"].sum()
         assert (heavy[g, k]["corr"] is None and np.isnan(want)) or heavy[g, k]["corr"] == pytest.approx(want, abs=1e-9)
+
+
+def test_ranges_of_a_group_follow_its_size(spark, monkeypatch):
+    """Many groups share the ranges out, so that runs stay long; a large group keeps many."""
+    monkeypatch.setattr(runs, "RANGE_ROWS", 100)
+    table = pd.DataFrame({"g": [i % 100 if i % 2 else -1 for i in range(20_000)], "x": [float(i * 7919 % 20_011) for i in range(20_000)]})
+    table["y"] = table["x"] % 97
+    df = spark.createDataFrame(table)
+    seen = []
+    plain = runs.sorted_runs
+    monkeypatch.setattr(runs, "sorted_runs", lambda groups, schema, p, cuts: seen.append(cuts) or plain(groups, schema, p, cuts))
+    got = {r["g"]: r["corr"] for r in spearman(df, ["g"], "x", "y").collect()}
+    ranges = sorted(len(ends[0]) + 1 for ends in seen[0].values())
+    assert sum(ranges) <= 2 * len(table) / 100 and ranges[-1] >= 50
+    for g, part in table.groupby("g"):
+        assert got[g] == pytest.approx(part["x"].rank().corr(part["y"].rank()), abs=1e-9)
+
+
+def test_hashed_ranks_equal_pandas(spark, monkeypatch):
+    """Ranks that fit in the tasks are hashed, larger ones sorted, with the same results."""
+    table = pd.DataFrame({"g": [["a", "b"][i % 3 // 2] for i in range(3000)], "x": [float(i * 37 % 501) for i in range(3000)]})
+    table["y"] = table["x"] + [i % 211 for i in range(3000)]
+    df = spark.createDataFrame(table)
+    for fewest, most in ((0, 1 << 19), (0, 1)):
+        monkeypatch.setattr(session, "HASHED", (fewest, most))
+        got = {r["g"]: r["corr"] for r in spearman(df, ["g"], "x", "y").collect()}
+        for g, part in table.groupby("g"):
+            assert got[g] == pytest.approx(part["x"].rank().corr(part["y"].rank()), abs=1e-9)
