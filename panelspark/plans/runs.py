@@ -32,6 +32,8 @@ def stability_run(
 ) -> tuple[DataFrame, DataFrame]:
     """Verdicts under percentile regimes and the curated list with its ratio expressions."""
     labelled = join_regimes(df, regime_by_percentile(indicator))
+    # written once: verdicts and ratios would each work out the panel several times
+    labelled = written(labelled.select("regime", *dict.fromkeys([*feature_names, target])), "labelled-rows")
     verdicts = written(stability.stability_engine(labelled, feature_names, target), "verdicts")
     stable = [
         r["feature"]
@@ -48,7 +50,8 @@ def purge_run(
 
     When nothing survives, the input features are used.
     """
-    rows = join_indicator(df, indicator)
+    # written once: verdicts, neutralisation and the caller would each work out the panel several times
+    rows = written(join_indicator(df, indicator), "purge-rows")
     verdicts = written(
         stability.stability_purge(purge_regimes(rows), feature_names, target), "verdicts"
     )
