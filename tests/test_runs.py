@@ -1,7 +1,8 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.operators import boosting
+from panelspark.operators import boosting, metrics, models
 from panelspark.plans import fixtures as fx
 from panelspark.plans import runs
 
@@ -43,3 +44,43 @@ def test_regime_model_run(spark, sf, panel):
         settings=boosting.Settings(rounds=2, depth=2),
     )
     assert {r["metric"] for r in out.collect()} >= {"overall_correlation", "sharpe_ratio"}
+
+
+def _marked(spark, frame, column, kind):
+    """(a table that is worked out row by row, how many rows it was asked for)"""
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(value):
+        seen.add(1)
+        return value
+
+    df = spark.createDataFrame(frame).repartition(3)
+    return df.withColumn(column, F.udf(touch, kind)(column)), seen
+
+
+def test_evaluation_works_out_its_rows_once(spark):
+    rows = [(f"{i % 4:04d}", "ab"[i % 2], float(i % 7), float(i * 37 % 41)) for i in range(200)]
+    df, seen = _marked(spark, pd.DataFrame(rows, columns=["era", "regime", "target", "prediction"]), "prediction", "double")
+    df = df.withColumn("target", F.col("target") + 0 * F.col("prediction"))
+    found = {r["metric"]: r["value"] for r in metrics.evaluate_predictions(df).collect()}
+    table = pd.DataFrame(rows, columns=["era", "regime", "target", "prediction"])
+    assert found["overall_correlation"] == pytest.approx(table["target"].rank().corr(table["prediction"].rank()), abs=1e-9)
+    assert seen.value == len(rows)
+
+
+def test_purge_run_works_out_its_rows_once(spark):
+    rows = [(f"{i % 4:04d}", float(i * 37 % 41), float(i % 41 * 3), float(i * 37 % 41) + i % 5) for i in range(800)]
+    df, seen = _marked(spark, pd.DataFrame(rows, columns=["era", "feature_a", "feature_b", "y"]), "y", "double")
+    indicator = spark.createDataFrame([("0000", 30.0), ("0001", 10.0), ("0002", 20.0), ("0003", 20.0)], "era string, vix double")
+    _, final, wide = runs.purge_run(df, indicator, ["feature_a", "feature_b"], "y")
+    assert "feature_a" in final
+    assert wide.count() == len(rows)
+    assert seen.value == len(rows)
+
+
+def test_cross_validation_works_out_its_rows_once(spark):
+    rows = [(f"{i // 4:04d}", "ab"[i % 2], float(i * 37 % 41), float(i * 37 % 41) + i % 5) for i in range(4 * 240)]
+    df, seen = _marked(spark, pd.DataFrame(rows, columns=["era", "regime", "x", "y"]), "era", "string")
+    tests = models.cross_validate(df, ["x"], "y", 2, 200)["honesty"].first()
+    assert tests["n_tests"] >= 1
+    assert seen.value == len(rows)
