@@ -12,8 +12,8 @@ from panelspark.plans.source_queries import KEY_SQL
 OUT = ["era", *fx.KEYS]
 
 
-def _weights(spark, sf):
-    return ops.tidy_to_arrays(fx.era_weights(spark, sf))
+def _weights(spark, sf, days=None):
+    return ops.tidy_to_arrays(fx.era_weights(spark, sf, days))
 
 
 def _out(df):
@@ -40,7 +40,8 @@ FROM m""",
     )
 )
 def adaptive_target(spark, sf):
-    return _out(ops.adaptive_target(fx.gappy_panel(spark, sf), _weights(spark, sf), fx.TARGETS))
+    days = fx.calendar(spark, sf)
+    return _out(ops.adaptive_target(fx.gappy_panel(spark, sf, days), _weights(spark, sf, days), fx.TARGETS))
 
 
 # targets in name order: gross, net, order
@@ -58,8 +59,9 @@ FROM panel p LEFT JOIN wide_weights w ON p.era = w.era CROSS JOIN m""",
     )
 )
 def adaptive_target_per_era(spark, sf):
+    days = fx.calendar(spark, sf)
     return _out(
-        ops.adaptive_target_per_era(fx.panel(spark, sf), _weights(spark, sf), "ensemble", 5)
+        ops.adaptive_target_per_era(fx.panel(spark, sf, days=days), _weights(spark, sf, days), "ensemble", 5)
     )
 
 
@@ -74,7 +76,8 @@ FROM panel CROSS JOIN m""",
     )
 )
 def adaptive_target_ensemble(spark, sf):
-    return _out(ops.adaptive_target_ensemble(fx.panel(spark, sf), _weights(spark, sf), 7))
+    days = fx.calendar(spark, sf)
+    return _out(ops.adaptive_target_ensemble(fx.panel(spark, sf, days=days), _weights(spark, sf, days), 7))
 
 
 @query(
@@ -88,10 +91,11 @@ FROM panel p LEFT JOIN (SELECT * FROM wide_weights WHERE cast(era AS int) % 7 <>
 )
 def adaptive_target_apply(spark, sf):
     """Vectors of every seventh era are too short and give way to equal weights."""
-    w = _weights(spark, sf)
+    days = fx.calendar(spark, sf)
+    w = _weights(spark, sf, days)
     short = F.when(F.col("era").cast("int") % 7 == 0, F.slice("weights", 1, 2))
     w = w.withColumn("weights", F.coalesce(short, F.col("weights")))
-    return _out(ops.adaptive_target_apply(fx.panel(spark, sf), w))
+    return _out(ops.adaptive_target_apply(fx.panel(spark, sf, days=days), w))
 
 
 @query(
@@ -106,7 +110,8 @@ LEFT JOIN era_weights w ON p.era = w.era AND w.target_idx = j.target_idx""",
 def join_weights(spark, sf):
     from panelspark.functions.expr import equal_weights
 
-    joined = ops.join_weights(fx.panel(spark, sf), _weights(spark, sf), equal_weights(3))
+    days = fx.calendar(spark, sf)
+    joined = ops.join_weights(fx.panel(spark, sf, days=days), _weights(spark, sf, days), equal_weights(3))
     return joined.select(*OUT, F.posexplode("weights").alias("target_idx", "w")).withColumn(
         "w", r("w")
     )

@@ -1,11 +1,14 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions import expr
 from panelspark.operators import regimes, targets
+from panelspark.plans import fixtures, target_queries
+from panelspark.session import bounded
 
 NAN, INF = float("nan"), float("inf")
 
@@ -149,3 +152,22 @@ def test_array_median(spark):
     got = [r[0] for r in df.select(expr.array_median(F.col("v"))).collect()]
     assert got == [2.0, 2.5, None]
     assert np.isclose(expr.cost_impact(), 25 / 1e4 / 0.15)
+
+
+def test_calendar_is_worked_out_once_and_tells_days_of_any_time(spark, tmp_path, monkeypatch):
+    times = pd.to_datetime(["2020-01-31 23:59:59", "2020-01-01", "2020-02-01", "2020-04-07 06:00", "1969-12-31 23:00", "2020-04-30", None], format="ISO8601")
+    lines = pd.DataFrame({
+        "l_orderkey": range(7), "l_linenumber": 1, "l_partkey": 2, "l_suppkey": 3, "l_quantity": 1.0, "l_extendedprice": 100.0,
+        "l_discount": 0.1, "l_tax": 0.2, "l_shipdate": times})
+    lines.to_parquet(tmp_path / "lineitem.parquet", coerce_timestamps="us")
+    pd.DataFrame({"o_orderkey": range(7), "o_totalprice": 50.0}).to_parquet(tmp_path / "orders.parquet")
+    seen = []
+    monkeypatch.setattr(fixtures, "bounded", lambda df: (seen.append(df), bounded(df))[1])
+    got = {r["l_orderkey"]: r for r in target_queries.adaptive_target_ensemble(spark, str(tmp_path)).collect()}
+    assert len(seen) == 1
+    # rows without a date have the first era, which no row of the panel has
+    assert {k: r["era"] for k, r in got.items()} == {4: "0002", 0: "0003", 1: "0003", 2: "0004", 3: "0005", 5: "0005"}
+    weights = [np.mean([(1 + (era + k) % 3) / 6 for era in range(1, 6)]) for k in range(3)]
+    assert got[0]["adaptive_target"] == pytest.approx(np.dot(weights, [120.0, 90.0, 50.0]), abs=1e-6)
+    daily = {r["l_orderkey"]: r["era_idx"] for r in fixtures.panel(spark, str(tmp_path), "day").collect()}
+    assert daily == {4: 2, 1: 3, 0: 4, 2: 5, 3: 6, 5: 7}
