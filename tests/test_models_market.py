@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import boosting, market, metrics, models, quality
 from panelspark.operators.splits import era_cv_splits
-from panelspark.session import written
+from panelspark.session import uncounted, written
 
 
 @pytest.fixture(scope="module")
@@ -246,6 +246,50 @@ def test_boosting_draws_rows_and_features_by_seed(spark):
     assert got[0] == pytest.approx(2.0) and got[1] == pytest.approx(2.0)
 
 
+def test_rows_of_few_segments_are_neither_sorted_nor_shuffled(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    data = pd.DataFrame({"a": rng.integers(0, 9, 900) / 2, "b": rng.normal(size=900), "seg": np.array(["u", "v", None])[np.arange(900) % 3]})
+    df = spark.createDataFrame(data.assign(y=data["a"] + rng.normal(size=900))).repartition(spark.sparkContext.defaultParallelism)
+    keys = [boosting.ModelKey("v", (1.0,)), boosting.ModelKey("u", (1.0,), 1)]
+    settings = boosting.Settings(rounds=3, depth=2, step=0.5, row_share=1.0, feature_share=1.0)
+    plans, limits, fitted = [], [], []
+    real, key = boosting.written, "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    monkeypatch.setattr(boosting, "written", lambda df, name: (
+        plans.append(df._jdf.queryExecution().executedPlan().toString()), limits.append(spark.conf.get(key)), real(df, name))[2])
+    for few in (8, 0):
+        monkeypatch.setattr(boosting, "FEW_SEGMENTS", few)
+        fitted.append(boosting.boost(df, ["a", "b"], ["y"], keys, "seg", settings))
+    assert ["rangepartitioning" in p for p in plans] == [False, False, False, True]
+    assert "Sort [" not in plans[1] and limits[1] == str(2**31 - 1) and spark.conf.get(key) == limits[0] == was
+    for name in ("feature", "bin", "value"):
+        for one, other in zip(getattr(fitted[0], name), getattr(fitted[1], name)):
+            np.testing.assert_allclose(one, other, rtol=1e-9, atol=1e-12)
+    scored = [boosting.predict(df, f, F.col("seg")).where("seg IS NOT NULL").agg(F.sum("prediction"), F.count("*")).first() for f in fitted]
+    assert scored[0][0] == pytest.approx(scored[1][0]) and scored[0][1] == 600
+
+
+def test_bytes_are_counted_where_a_batch_could_pass_the_limit(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was, rows = spark.conf.get(key), int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    with uncounted(spark, (64 << 20) // rows // 9 + 1):
+        assert spark.conf.get(key) == was
+    with pytest.raises(KeyError), uncounted(spark, 5):
+        assert spark.conf.get(key) == str(2**31 - 1)
+        raise KeyError
+    assert spark.conf.get(key) == was
+
+
+def test_stump_queries_work_out_their_panel_once(spark, sf, monkeypatch):
+    from panelspark.plans import model_queries
+
+    rows = []
+    monkeypatch.setattr(model_queries, "written", lambda df, name: (rows.append(df.columns), written(df, name))[1])
+    scored = model_queries.train_ensemble_stumps(spark, sf)
+    assert rows == [["era", "feature_discount", "feature_quantity", "target_net"]]
+    assert all("panel-rows-" in f for f in scored.inputFiles())
+
+
 def test_compare_models(spark):
     valid = spark.createDataFrame([(i, float(i)) for i in range(10)], "id long, target double")
     good = valid.select("id", F.col("target").alias("prediction")).where("id < 8")
