@@ -190,6 +190,64 @@ def test_boosted_trees_against_plain_ones(spark, monkeypatch, state_rounds, bloc
         assert fitted.checks[-1][m][-1] == pytest.approx(error) and fitted.checks[-1][m][0] == out.sum()
 
 
+def _sampled(spark, n=3000):
+    rng = np.random.default_rng(8)
+    data = pd.DataFrame({"a": rng.integers(0, 9, n) / 2, "b": rng.normal(size=n), "seg": np.array(["u", "v", None])[np.arange(n) % 3]})
+    # a hot cell: a third of the rows share their bins
+    data.loc[data.index < n // 3, ["a", "b"]] = 1.0
+    data["y"], data["z"] = data["a"] * data["b"] + rng.normal(size=n), data["b"] + rng.normal(size=n)
+    return spark.createDataFrame(data).repartition(3)
+
+
+SAMPLED = boosting.Settings(rounds=7, depth=4, step=0.3, row_share=0.7, feature_share=0.5, min_rows=5)
+
+
+def test_trees_from_cells_equal_trees_from_passes_over_rows(spark, monkeypatch):
+    df = _sampled(spark)
+    keys = [boosting.ModelKey("v", (1.0, 0.0)), boosting.ModelKey("u", (0.5, 0.5), 1), boosting.ModelKey("u", (1.0, 0.0), 1, (1,)),
+            boosting.ModelKey("w", (1.0, 0.0))]
+    monkeypatch.setattr(boosting, "BLOCK_CELLS", 100)
+    fitted, scored = [], []
+    for cells, rows, looked_up in ((1 << 24, 1 << 19, 1 << 21), (1 << 24, 200, 0), (0, 1 << 19, 0)):
+        for name, value in (("CELLS", cells), ("TASK_ROWS", rows), ("LOOKED_UP", looked_up)):
+            monkeypatch.setattr(boosting, name, value)
+        fitted.append(boosting.boost(df, ["a", "b"], ["y", "z"], keys, "seg", SAMPLED))
+        scored.append(boosting.predict(df, fitted[-1], F.col("seg"), missing=-7.0).select("a", "b", "seg", "y", "prediction").toPandas().sort_values(
+            ["y", "a", "b"])["prediction"].to_numpy())
+    for other in (1, 2):
+        for name in ("feature", "bin", "value"):
+            for one, two in zip(getattr(fitted[0], name), getattr(fitted[other], name), strict=True):
+                np.testing.assert_allclose(one, two, rtol=1e-9, atol=1e-12)
+        np.testing.assert_allclose(scored[0], scored[other], rtol=1e-9)
+    assert max((f >= 0).sum() for f in fitted[0].feature) > 10 and (scored[0] == -7.0).sum() == 1000
+
+
+def test_jobs_of_boosting_do_not_grow_with_rounds(spark, monkeypatch):
+    """Without held-out rows, a round is no pass over the rows."""
+    tracker, counts = spark.sparkContext.statusTracker(), []
+    for rounds in (1, 12):
+        spark.sparkContext.setJobGroup(f"rounds-{rounds}", "")
+        settings = boosting.Settings(rounds=rounds, depth=3, row_share=0.7)
+        boosting.boost(_sampled(spark, 300), ["a", "b"], ["y"], [boosting.ModelKey("u", (1.0,))], "seg", settings)
+        counts.append(len(tracker.getJobIdsForGroup(f"rounds-{rounds}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[0] == counts[1] > 0
+
+
+def test_regime_models_work_out_their_rows_once(spark, df):
+    counted = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(x):
+        counted.add(1)
+        return x
+
+    rows = df.where("era <= '0010'")
+    n = rows.count()
+    models.train_by_regime(rows.withColumn("target", seen(F.col("target"))), ["x1", "x2"], "target", boosting.Settings(rounds=1, depth=1))
+    assert counted.value <= 2 * n  # for the filter and for the columns that are written
+
+
 def test_places_of_rows_equal_a_walk_down_the_tree():
     rng = np.random.default_rng(5)
     depth, nodes = 5, 2**6 - 1
